@@ -152,7 +152,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Texts to ids; a match that is a token as it stands isn't merged at all."""
-        if len(self.known) > 400_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         find = self.matches
         found = [[x] if x[1:].isalpha() and x[0] == " " else find(x) for x in texts]

@@ -34,7 +34,7 @@ class PieceCache:
     held, they are forgotten and encoded anew; this bounds memory and changes no result.
     """
 
-    def __init__(self, encode, most: int = 700_000):
+    def __init__(self, encode, most: int = 300_000):
         self.encode, self.most, self.parts, self.whole = encode, most, {}, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -54,7 +54,7 @@ class PieceCache:
         return [head[c[0]] + b"".join(map(of, c[1:])) for c in cuts]
 
 
-def groups(texts: list[str], most: int = 4_000_000):
+def groups(texts: list[str], most: int = 2_000_000):
     """Index ranges of texts with about ``most`` characters together."""
     start, total = 0, 0
     for i, x in enumerate(texts):
