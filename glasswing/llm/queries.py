@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glasswing.llm import bpe, simhash
+from glasswing.llm import ann, bpe, mixing, quality, simhash, tokenbin, warc
 from glasswing.llm.common import table
 
 #: The folder of the public vocabulary files; None: where the package of that name is installed.
@@ -22,11 +22,49 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source with the same weight, as many characters as the table has."""
+    return mixing.replicate(table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.derive(warc.responses(table(spark, sf_dir, "pages")), key="page_id")
+    header = lambda name: F.element_at(F.filter("headers", lambda h: h["name"] == name), 1)["value"]
+    return out.select(
+        "page_id",
+        "record_id",
+        "type",
+        "uri",
+        "date",
+        header("WARC-Refers-To").alias("refers_to"),
+        header("WARC-Block-Digest").alias("block_digest"),
+        header("WARC-Source-Payload-Digest").alias("source_payload_digest"),
+        F.octet_length("block").cast("long").alias("content_length"),
+        F.to_json("headers").alias("headers"),
+        F.decode("block", "UTF-8").alias("content"),
+    )
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "expected_grade", "tail_probability", "keep")
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_tokenbin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = tokenbin.vocabulary(vocabulary("byte_bpe_50k.json"))
+    folder, manifest = tokenbin.write(table(spark, sf_dir, "documents"), data, end=0)
+    return tokenbin.read(spark, folder, manifest)
+
+
 def bpe_digests(docs: DataFrame, data: bytes) -> DataFrame:
     """Adds what the contract asks of ids and of what they decode to."""
     import public_tokenizers
@@ -47,8 +85,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op3_warc": op3_warc,
+    "op5_quality": op5_quality,
+    "op6_ann": op6_ann,
     "op7_simhash": op7_simhash,
+    "op8_tokenbin": op8_tokenbin,
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_mixing": mixing.ORACLE.format(docs="documents"),
+}
