@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glasswing.llm.common import short_batches
 from glasswing.llm.pieces import PieceCache, groups
 
 NONE = np.int64(1 << 40)
@@ -206,6 +207,7 @@ def encode(docs: DataFrame, data: bytes, pattern: str, text: str = "text", name:
 
     ``data``: the bytes of a rank file, one line of base64 token and rank each, which are broadcast.
     """
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(data)
 
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -51,3 +51,10 @@ def uniform(*parts: Column | str | int) -> Column:
     """
     key = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) if isinstance(p, Column) else F.lit(str(p)) for p in parts])
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def short_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Python workers get at most so many rows at once, as a row may hold a very long text."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
