@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glasswing.llm import ann, bpe, mixing, quality, simhash, tokenbin, warc
+from glasswing.llm import ann, bpe, iblt, mixing, quality, simhash, tokenbin, warc
 from glasswing.llm.common import table
 
 #: The folder of the public vocabulary files; None: where the package of that name is installed.
@@ -65,6 +65,10 @@ def op8_tokenbin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read(spark, folder, manifest)
 
 
+def op9_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.compare(table(spark, sf_dir, "documents"))
+
+
 def bpe_digests(docs: DataFrame, data: bytes) -> DataFrame:
     """Adds what the contract asks of ids and of what they decode to."""
     import public_tokenizers
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ann": op6_ann,
     "op7_simhash": op7_simhash,
     "op8_tokenbin": op8_tokenbin,
+    "op9_iblt": op9_iblt,
     "op10_bpe": op10_bpe,
 }
 

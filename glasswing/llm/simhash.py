@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from glasswing.llm.common import partitions, written
+from glasswing.llm.common import partitions, short_batches, written
 from glasswing.llm.components import connected_components
 
 PIVOTS = 24
@@ -60,6 +60,7 @@ def with_fingerprint(docs: DataFrame, name: str = "fp", text: str = "text", shin
         for batch in batches:
             yield pd.Series([fingerprint(x, shingle) for x in batch], dtype="int64")
 
+    short_batches(docs.sparkSession)
     return docs.withColumn(name, F.pandas_udf(of, "long")(F.coalesce(F.col(text), F.lit(""))))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glasswing.llm.bpe import once
-from glasswing.llm.common import partitions, shared_dir
+from glasswing.llm.common import partitions, shared_dir, short_batches
 from glasswing.llm.pieces import PieceCache, groups
 
 MAGIC = b"GWTB0001"
@@ -162,6 +162,7 @@ def write(docs: DataFrame, data: bytes, folder: str | None = None, end: int = 0,
     stay in the order of their texts. Columns other than ``doc_id`` and ``text`` aren't written.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     if "://" not in folder and ":/" not in folder:
         folder = f"file://{folder}"
