@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glasswing.llm import ann, bpe, iblt, mixing, quality, simhash, tokenbin, warc
+from glasswing.llm import ann, bpe, iblt, mixing, pii, quality, simhash, tokenbin, warc
 from glasswing.llm.common import table
 
 #: The folder of the public vocabulary files; None: where the package of that name is installed.
@@ -27,6 +27,20 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
+
+    return out.select(
+        "doc_id",
+        *[count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)],
+        F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.col("found")).alias("spans"),
+    )
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.derive(warc.responses(table(spark, sf_dir, "pages")), key="page_id")
     header = lambda name: F.element_at(F.filter("headers", lambda h: h["name"] == name), 1)["value"]
@@ -90,6 +104,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_pii": op2_pii,
     "op3_warc": op3_warc,
     "op5_quality": op5_quality,
     "op6_ann": op6_ann,
