@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glasswing.llm import ann, bpe, iblt, mixing, pii, quality, simhash, tokenbin, warc
+from glasswing.llm import ann, bpe, iblt, linededup, mixing, pii, quality, simhash, tokenbin, warc
 from glasswing.llm.common import table
 
 #: The folder of the public vocabulary files; None: where the package of that name is installed.
@@ -59,6 +59,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "expected_grade", "tail_probability", "keep")
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
     "op3_warc": op3_warc,
+    "op4_linededup": op4_linededup,
     "op5_quality": op5_quality,
     "op6_ann": op6_ann,
     "op7_simhash": op7_simhash,
