@@ -18,6 +18,7 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("start", "<u8"), ("end", "
 #: Documents that the dictionary is trained on, at most, and ids of each that it sees.
 SAMPLE, SAMPLE_IDS, DICTIONARY = 1_000, 2_048, 64 << 10
 LEVEL = 3
+#: Encoded words that a worker holds before it forgets them.
+MOST_WORDS = 800_000
 MOST_BYTES = 64 << 20
 
 
@@ -68,18 +71,18 @@ class LibraryEncoder:
         self.by_piece = plain and not made.get("normalizer") and not made.get("post_processor")
         self.letters = {b: x for b, x in enumerate(byte_letters())}
         self.model, self.known = self.tokenizer.model, {}
-        self.cache = PieceCache(self.pieces)
+        self.cache = PieceCache(self.pieces, MOST_WORDS)
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def word(self, text: str) -> bytes:
         out = self.known.get(text)
         if out is None:
-            if len(self.known) > 200_000:
+            if len(self.known) > MOST_WORDS:
                 self.known.clear()
             seen = text.encode("utf-8").decode("latin-1").translate(self.letters)
-            out = self.known[text] = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
+            out = self.known[text] = array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
         return out
 
     def pieces(self, texts: list[str]) -> list[bytes]:
