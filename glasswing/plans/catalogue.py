@@ -84,7 +84,7 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", "source", "n_chars", media.sha256_hex(F.col("text").cast("binary")).alias("hash"))
+    return documents(spark, sf_dir).select("doc_id", "source", "lang", "n_chars", media.sha256_hex(F.col("text").cast("binary")).alias("hash"))
 
 
 @query("duplicates", "SELECT doc_id, source, hash, copies FROM (SELECT doc_id, source, sha256(text) AS hash, count(*) OVER (PARTITION BY sha256(text)) AS copies FROM documents) WHERE copies > 1")
@@ -97,9 +97,9 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.groups(hashed(spark, sf_dir), "doc_id", "n_chars")
 
 
-@query("duplicates_scoped", "SELECT doc_id, hash, copies FROM (SELECT doc_id, sha256(text) AS hash, count(*) OVER (PARTITION BY sha256(text)) AS copies FROM documents WHERE source = 'src3') WHERE copies > 1")
+@query("duplicates_scoped", "SELECT doc_id, hash, copies FROM (SELECT doc_id, sha256(text) AS hash, count(*) OVER (PARTITION BY sha256(text)) AS copies FROM documents WHERE lang = 'en') WHERE copies > 1")
 def duplicates_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.repeated(hashed(spark, sf_dir).where("source = 'src3'")).select("doc_id", "hash", "copies")
+    return duplicates.repeated(hashed(spark, sf_dir).where("lang = 'en'")).select("doc_id", "hash", "copies")
 
 
 @query("search_text", "SELECT doc_id FROM documents WHERE contains(lower(text), 'tion') ORDER BY doc_id LIMIT 500")
