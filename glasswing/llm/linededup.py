@@ -30,29 +30,28 @@ BUCKETS, BITS = 1 << 16, 1 << 23
 _MASK = (1 << 48) - 1
 
 
-def words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != "")
+def plain(line: Column) -> Column:
+    """A line's words in lower case with one space between."""
+    loose = line.rlike(r"^\s|\s$|\s\s|[\t\x0B\f\r]")
+    return F.lower(F.when(loose, F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line))
 
 
-def tokens(w: Column, shingle: int) -> Column:
-    """The distinct hashed shingles of an array of words."""
+def tokens(line: Column, shingle: int) -> Column:
+    """The distinct hashed shingles of a plain line."""
+    slide = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - shingle + 1), lambda i: F.xxhash64(F.slice(w, i, shingle)))
+    short = lambda w: F.size(w) < shingle
+    each = F.transform(F.array(F.split(line, " ")), lambda w: F.when(short(w), F.array(F.xxhash64(w))).otherwise(F.array_distinct(slide(w))))
+    return F.element_at(each, 1)
 
-    def slide(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(h) - shingle), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(shingle)]))
 
-    hashed = F.array(F.transform(w, lambda x: F.xxhash64(x)))
-    return F.when(F.size(w) < shingle, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array_distinct(F.element_at(F.transform(hashed, slide), 1)))
-
-
-def lines(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(at, c, t)`` for each line with words: its place in the order of lines, its class and its tokens.
+def lines(docs: DataFrame) -> DataFrame:
+    """``(at, c, l)`` for each line with words: its place in the order of lines, its class and its words.
 
     The order is that of ``doc_id``, nulls last, then of the text's hash, then of lines.
     """
     rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text")).alias("d"), F.split("text", "\n").alias("ls"))
-    rows = rows.select("d", F.posexplode("ls").alias("line", "l")).where(F.col("l").rlike(r"\S")).withColumn("w", words(F.col("l")))
-    same = F.array_join("w", " ")
-    return rows.select(F.struct("d.none", "d.doc", "d.text", "line").alias("at"), F.struct(F.xxhash64(same).alias("a"), F.hash(same).alias("b")).alias("c"), tokens(F.col("w"), shingle).alias("t"))
+    rows = rows.select("d", F.posexplode("ls").alias("line", "l")).where(F.col("l").rlike(r"\S")).withColumn("l", plain(F.col("l")))
+    return rows.select(F.struct("d.none", "d.doc", "d.text", "line").alias("at"), F.struct(F.xxhash64("l").alias("a"), F.hash("l").alias("b")).alias("c"), "l")
 
 
 def fixed_array(rows: DataFrame, at: str, value: str, size: int) -> Column:
@@ -64,8 +63,8 @@ def fixed_array(rows: DataFrame, at: str, value: str, size: int) -> Column:
     return full.agg(whole.alias("x")).scalar()
 
 
-def token_counts(rows: DataFrame) -> Column:
-    counted = rows.select(F.explode("t").alias("x")).groupBy(F.col("x").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
+def token_counts(rows: DataFrame, shingle: int) -> Column:
+    counted = rows.select(F.explode(tokens(F.col("l"), shingle)).alias("x")).groupBy(F.col("x").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
     return fixed_array(counted, "b", "count", BUCKETS)
 
 
@@ -92,9 +91,9 @@ def needed(n: Column, similarity: float) -> Column:
     return F.ceil(n * F.lit(similarity) - 1e-9).cast("int")
 
 
-def postings(rows: DataFrame, similarity: float) -> DataFrame:
+def postings(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """``(c, at, n, i, x)``: each class's prefix tokens with their places, the class's first line and size."""
-    rows = rows.withColumn("counts", token_counts(rows)).withColumn("o", by_rarity(F.col("t"), F.col("counts"))).withColumn("n", F.size("o"))
+    rows = rows.withColumn("counts", token_counts(rows, shingle)).withColumn("o", by_rarity(tokens(F.col("l"), shingle), F.col("counts"))).withColumn("n", F.size("o"))
     rows = rows.select("c", "at", "n", F.slice("o", F.lit(1), F.col("n") - needed(F.col("n"), similarity) + 1).alias("p"))
     rows = rows.groupBy("c").agg(F.min(F.struct("at", "n", "p")).alias("m"))
     return rows.select("c", "m.at", "m.n", F.posexplode("m.p").alias("i", "x"))
@@ -108,27 +107,28 @@ def possible(x: str, y: str, similarity: float) -> Column:
     return (F.col(f"{y}.at") < F.col(f"{x}.at")) & (ny >= nx * F.lit(similarity) - 1e-9) & (nx >= ny * F.lit(similarity) - 1e-9) & (reach >= least)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The classes ``x`` of pairs ``(x, y)`` that are similar on all tokens."""
-    a, b = sets.select(F.col("c").alias("x"), F.col("t").alias("tx")), sets.select(F.col("c").alias("y"), F.col("t").alias("ty"))
-    both = F.size(F.array_intersect("tx", "ty"))
-    return pairs.join(a, "x").join(b, "y").where(both >= (F.size("tx") + F.size("ty") - both) * F.lit(similarity) - 1e-9).select("x").distinct()
+    a, b = texts.select(F.col("c").alias("x"), F.col("l").alias("lx")), texts.select(F.col("c").alias("y"), F.col("l").alias("ly"))
+    met = pairs.join(a, "x").join(b, "y").select("x", tokens(F.col("lx"), shingle).alias("tx"), tokens(F.col("ly"), shingle).alias("ty"))
+    met = met.select("x", F.size("tx").alias("nx"), F.size("ty").alias("ny"), F.size(F.array_intersect("tx", "ty")).alias("both"))
+    return met.where(F.col("both") >= (F.col("nx") + F.col("ny") - F.col("both")) * F.lit(similarity) - 1e-9).select("x").distinct()
 
 
-def removed_classes(rows: DataFrame, firsts: DataFrame, similarity: float) -> DataFrame:
+def removed_classes(rows: DataFrame, firsts: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The classes ``c`` of lines that are similar to an earlier line of other words."""
     often = firsts.groupBy("x").count().where("count > 1").select("x")
     posted = written(firsts.where(maybe(bitmap(often, F.col("x")), F.col("x"))).join(often, "x", "left_semi").select("x", F.struct("c", "at", "n", "i").alias("v")), "lines-posted")
     lead = posted.groupBy("x").agg(F.min(F.struct("v.at", "v.c", "v.n", "v.i")).alias("y"))
     pairs = posted.join(lead, "x").where(possible("v", "y", similarity)).select(F.col("v.c").alias("x"), F.col("y.c").alias("y")).distinct()
     met = posted.select("v.c").distinct()
-    sets = rows.where(maybe(bitmap(met, F.col("c.a")), F.col("c.a"))).groupBy("c").agg(F.first("t").alias("t")).join(met, "c", "left_semi")
-    sets = written(sets, "lines-tokens")
-    first = written(verified(written(pairs, "lines-pairs"), sets, similarity), "lines-removed")
+    texts = rows.where(maybe(bitmap(met, F.col("c.a")), F.col("c.a"))).select("c", "l").distinct().join(met, "c", "left_semi")
+    texts = written(texts, "lines-texts")
+    first = written(verified(written(pairs, "lines-pairs"), texts, similarity, shingle), "lines-removed")
     rest = posted.join(first.select(F.col("x").alias("_c")), F.col("v.c") == F.col("_c"), "left_anti")
     others = posted.select("x", F.col("v").alias("y"))
     pairs = rest.join(others, "x").where(possible("v", "y", similarity)).select(F.col("v.c").alias("x"), F.col("y.c").alias("y")).distinct()
-    return first.unionByName(verified(pairs, sets, similarity)).select(F.col("x").alias("c"))
+    return first.unionByName(verified(pairs, texts, similarity, shingle)).select(F.col("x").alias("c"))
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -141,10 +141,10 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGL
     """
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*kept_columns).withColumn("text", F.coalesce("text", F.lit("")))
-    rows = lines(docs, shingle)
-    firsts = postings(rows, similarity)
-    gone = removed_classes(rows, firsts, similarity)
-    kept = firsts.where("i = 0").select("c", "at").join(gone, "c", "left_anti")
+    rows = lines(docs)
+    firsts = postings(rows, similarity, shingle)
+    gone = removed_classes(rows, firsts, similarity, shingle)
+    kept = rows.groupBy("c").agg(F.min("at").alias("at")).join(gone, "c", "left_anti")
     kept = kept.groupBy(F.coalesce("at.doc", F.lit(0)).alias("_doc"), F.col("at.none").alias("_none"), F.col("at.text").alias("_text")).agg(F.array_sort(F.collect_list("at.line")).alias("_kept"))
     docs = docs.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_null", F.col("doc_id").isNull()).withColumn("_hash", F.xxhash64("text"))
     out = docs.join(kept, (F.col("_id") == F.col("_doc")) & (F.col("_null") == F.col("_none")) & (F.col("_hash") == F.col("_text")), "left")
