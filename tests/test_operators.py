@@ -1,0 +1,132 @@
+import datetime as dt
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from glasswing.operators import analysis, duplicates, fileops, frames, listing, scoring, search, store
+
+KEY = "root_id string, rel_path string"
+
+
+def test_argmax_takes_the_first_and_small_groups_always_emit(spark):
+    labels = spark.createDataFrame([(n, i, "g", [1.0, 0.0]) for i, n in enumerate("abcde")] + [("u", 9, None, [0.0, 1.0])], "label string, ord int, grp string, prototype array<float>")
+    items = spark.createDataFrame([(1, [0.5, 0.5]), (2, None)], "id int, embedding array<float>")
+    scored = scoring.similarities(items, labels)
+    out = scoring.grouped_tags(scored, "id", threshold=0.2 - 1e-12).collect()
+    assert [(r.id, r.label) for r in out] == [(1, "a")] and abs(out[0].p - 0.2) < 1e-9
+    assert [r.label for r in scoring.plain_tags(scored.where("grp is null"), 0.5).collect()] == ["u"]
+    assert [r.label for r in scoring.top(scored, "id", "cosine", 2, "ord").orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_frames(spark):
+    tags = spark.createDataFrame([("v", "a", 0.3), ("v", "a", 0.7), ("v", "b", 0.0)], "v string, label string, score double")
+    assert [tuple(r) for r in frames.highest_tags(tags, "v").collect()] == [("v", "a", 0.7)]
+    texts = spark.createDataFrame([("v", 1, " x "), ("v", 2, "y"), ("v", 3, "x"), ("v", 4, " ")], "v string, at int, text string")
+    assert frames.joined_text(texts, "v", "at").first().text == "x\ny"
+    found = spark.createDataFrame([("v", False, 0.1), ("v", True, 0.6)], "v string, has_person boolean, confidence double")
+    assert tuple(frames.any_person(found, "v").first()) == ("v", True, 0.6)
+
+
+def test_replacing_migrating_and_planning(spark):
+    tag = f"{KEY}, label string"
+    old = spark.createDataFrame([("r", "x", "legacy"), ("r", "x", "stale"), ("r", "y", "other")], tag)
+    new = spark.createDataFrame([("r", "x", "fresh")], tag)
+    assert {r.label for r in store.children_replaced(old, new, new).collect()} == {"fresh", "other"}
+    assert {r.label for r in store.cascaded(old, new).collect()} == {"legacy", "stale"}
+    at = dt.datetime(2024, 1, 1, 12)
+    rows = [("r", "/legacy.jpg", at, "l"), ("r", "/dupe.jpg", at - dt.timedelta(hours=1), "old"), ("r", "dupe.jpg", at, "new"), ("r", "/tie", at, "no"), ("r", "tie", at, "yes")]
+    moved = store.migrated(spark.createDataFrame(rows, f"{KEY}, scanned_at timestamp, text string")).collect()
+    assert {(r.rel_path, r.text) for r in moved} == {("legacy.jpg", "l"), ("dupe.jpg", "new"), ("tie", "yes")}
+    files = spark.createDataFrame([("r", "same", 1, 10), ("r", "touched", 2, 10), ("r", "version", 1, 10), ("r", "new", 1, 1)], f"{KEY}, mtime long, size long")
+    kept = spark.createDataFrame([("r", "same", 1, 10, "m"), ("r", "touched", 1, 10, "m"), ("r", "version", 1, 10, "old")], f"{KEY}, mtime long, size long, model_ver string")
+    work = {r.rel_path: (r.needs_detection, r.needs_ocr) for r in store.work(files, {"detection": kept, "ocr": kept}, {"ocr": "m"}).collect()}
+    assert work == {"touched": (True, True), "version": (False, True), "new": (True, True)}
+    assert store.work(files, {"ocr": kept}, {"ocr": "m"}, force=True).count() == 4
+
+
+def tables(spark):
+    files = spark.createDataFrame([("r", "d", "d", True, 0), ("r", "d/a [0a1b2c3d].jpg", "a [0a1b2c3d].jpg", False, 5), ("r", "d/b.jpg", "b.jpg", False, 7), ("r", "d/e/c.jpg", "c.jpg", False, 9), ("r", "d/e", "e", True, 0)], f"{KEY}, name string, is_dir boolean, size long")
+    found = spark.createDataFrame([("r", "d/b.jpg", True)], f"{KEY}, has_person boolean")
+    tags = spark.createDataFrame([("r", "d/b.jpg", "dog", 0.4), ("r", "d/b.jpg", "cat", 0.9), ("r", "d/e/c.jpg", "dog", 0.5), ("r", "gone.jpg", "dog", 0.5)], f"{KEY}, label string, score double")
+    hashes = spark.createDataFrame([("r", "d/b.jpg", "h", None)], f"{KEY}, sha256 string, crc32 string")
+    texts = spark.createDataFrame([("r", "d/a [0a1b2c3d].jpg", "A 100% Dog"), ("r", "d/e/c.jpg", "nested")], f"{KEY}, text string")
+    return files, found, tags, hashes, texts
+
+
+def test_listing(spark):
+    out = {r.name: r for r in listing.list_directory(*tables(spark), "/d").collect()}
+    assert list(out) == ["e", "a [0a1b2c3d].jpg", "b.jpg"]
+    assert [t.label for t in out["b.jpg"].tags] == ["cat", "dog"] and out["b.jpg"].has_person
+    assert out["a [0a1b2c3d].jpg"].crc32 == "0A1B2C3D" and out["a [0a1b2c3d].jpg"].has_person is None
+    assert [r.name for r in listing.list_directory(*tables(spark), "d", no_people=True).collect()] == ["e", "a [0a1b2c3d].jpg"]
+    assert [r.name for r in listing.list_directory(*tables(spark), "d", tag="dog").collect()] == ["e", "b.jpg"]
+    assert tuple(listing.disk_usage(tables(spark)[0]).first()) == (21, 3, 2)
+    assert tuple(listing.detection_status(tables(spark)[1]).first()) == (1, 1)
+
+
+def test_search(spark):
+    files, _, tags, _, texts = tables(spark)
+    out = search.search(files, tags, texts, "DOG").orderBy("priority", "rel_path").collect()
+    assert [(r.rel_path, r.priority) for r in out] == [("d/b.jpg", 2), ("d/e/c.jpg", 2), ("d/a [0a1b2c3d].jpg", 3)]
+    assert [r.rel_path for r in search.search(files, tags, texts, "100%").collect()] == ["d/a [0a1b2c3d].jpg"]
+    assert search.search(files, tags, texts, " ").count() == 0
+    many = spark.range(501).select(F.format_string("n%04d", "id").alias("rel_path"), F.format_string("n%04d", "id").alias("name"), F.lit(False).alias("is_dir"))
+    extra = tags.select(F.lit("n0000").alias("rel_path"), F.lit("n").alias("label"))
+    assert search.search(many, extra, texts, "n").where("priority = 1").count() == 500
+
+
+def test_duplicates(spark):
+    rows = spark.createDataFrame([("a", 1, "h"), ("b", 2, "h"), ("c", 3, "i"), ("d", 4, None), ("e", 5, None)], "key string, size int, hash string")
+    assert sorted(r.key for r in duplicates.repeated(rows).collect()) == ["a", "b"]
+    assert tuple(duplicates.groups(rows, "key", "size").first()) == ("h", 2, "a", 1, 3)
+    assert duplicates.grouped_files(rows, "key").first().files == ["a", "b"]
+
+
+def test_recognition():
+    steps = np.array([[0.1, 0.9, 0, 0], [0.1, 0.9, 0, 0], [0.9, 0, 0.1, 0], [0, 0, 0.8, 0.2]])
+    text, confidence = analysis.ctc(steps, ["", "a", "b", " "])
+    assert text == "ab" and abs(confidence - 0.85) < 1e-9
+    assert analysis.ctc(np.array([[1.0, 0, 0, 0]]), ["", "a", "b", " "]) == ("", 0.0)
+    plane = np.zeros((20, 20))
+    plane[5:9, 4:10] = 0.9
+    (box,) = analysis.boxes(plane, 20, 20)
+    assert box[0] <= 4 and box[1] <= 5 and box[2] >= 10 and box[3] >= 9
+    plane[:] = 0
+    plane[2, 2] = 0.9
+    assert analysis.boxes(plane, 20, 20) == []
+
+
+def test_analysers_with_a_stub(spark):
+    files = spark.createDataFrame([("r", "a", b"ok"), ("r", "b", b"bad")], f"{KEY}, content binary")
+
+    def make():
+        def scorer(content):
+            if content == b"bad":
+                raise ValueError("unreadable")
+            return {"scores": [0.2, 0.7, 0.6]}
+
+        return scorer
+
+    out = analysis.analysed(files, make, "scores array<double>").withColumn("p", analysis.person(F.col("scores"))).orderBy("rel_path").collect()
+    assert (out[0].p.has_person, out[0].p.confidence) == (True, 0.7) and out[1].error == "unreadable"
+
+
+def test_file_operations(tmp_path):
+    a, b = tmp_path / "a", tmp_path / "b"
+    a.mkdir(), b.mkdir()
+    (a / "file.jpg").write_text("one")
+    (b / "file.jpg").write_text("two")
+    assert fileops.copy(str(a / "file.jpg"), str(b)) == str(b / "file (2).jpg")
+    assert fileops.plan(str(a / "file.jpg"), str(b / "file (2).jpg"))[0] == "skip"
+    with pytest.raises(OSError):
+        fileops.delete(str(a), str(tmp_path))
+    with pytest.raises(ValueError):
+        fileops.delete(str(tmp_path), str(tmp_path), recursive=True)
+    with pytest.raises(ValueError):
+        fileops.rename(str(a / "file.jpg"), "x/y")
+    results = fileops.bulk("move", [str(a / "file.jpg"), str(a / "none")], str(b))
+    assert fileops.status(results) == 207 and fileops.status(results[1:]) == 500 and fileops.status(results[:1]) == 200
+    os.utime(b / "file.jpg", (0, 0))
+    assert fileops.prune(str(b), 90 * 86400, 100 * 86400) == 1
