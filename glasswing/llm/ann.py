@@ -14,6 +14,7 @@ of them; no other row is set aside.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 
 from glasswing.llm.common import partitions, written
 
-BOOKS, WORDS, BEAM = 8, 256, 8
-SAMPLE = 16_000
+BOOKS, WORDS, BEAM = 16, 256, 8
+SAMPLE = 10_000
 #: Rows of an index block, queries of a query block.
 BLOCK, QUERIES = 16_384, 1_024
-RERANK = 400
+#: Rows reranked for each query: this share of all, so that recall doesn't fall as rows grow, and at least so many.
+SHARE, RERANK = 0.02, 1_000
 
 
 def beam_encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -57,7 +59,7 @@ def total(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return sum(books[m][codes[:, m]] for m in range(len(books)))
 
 
-def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 3, seed: int = 7) -> np.ndarray:
+def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 2, seed: int = 7) -> np.ndarray:
     """Codebooks (books, words, dimensions) for a sample: residual k-means, then joint least squares."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float64)
@@ -113,7 +115,7 @@ def index(rows: DataFrame, books: np.ndarray) -> DataFrame:
     return rows.mapInPandas(of, "vec_id long, n int, h long, codes binary, norm double")
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, share: float = SHARE, least: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest found of each row whose id ``every`` divides.
 
     ``score`` is the Euclidean distance in double precision; ties go to the smaller id. All
@@ -124,6 +126,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = RER
     spark = vectors.sparkSession
     rows = written(usable(vectors), "ann-rows")
     count = rows.count()
+    rerank = max(least, math.ceil(share * count))
     fitted = rows.orderBy(F.xxhash64("vec_id", F.lit(7)), "n").limit(sample).select("v").toPandas()
     dims = len(fitted.v.iloc[0]) if len(fitted) else 1
     books = fit(np.stack(fitted.v.to_numpy())) if len(fitted) else np.zeros((BOOKS, WORDS, dims))
