@@ -26,7 +26,7 @@ from glasswing.llm.common import written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Buckets of token counts, bits of a bitmap.
-BUCKETS, BITS = 1 << 16, 1 << 23
+BUCKETS, BITS = 1 << 16, 1 << 25
 _MASK = (1 << 48) - 1
 
 
@@ -117,16 +117,19 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
 
 def removed_classes(rows: DataFrame, firsts: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The classes ``c`` of lines that are similar to an earlier line of other words."""
-    often = firsts.groupBy("x").count().where("count > 1").select("x")
-    posted = written(firsts.where(maybe(bitmap(often, F.col("x")), F.col("x"))).join(often, "x", "left_semi").select("x", F.struct("c", "at", "n", "i").alias("v")), "lines-posted")
+    often = firsts.groupBy("x").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    posted = firsts.where(maybe(bitmap(often, F.col("x")), F.col("x"))).join(often, "x").select("x", "k", F.struct("c", "at", "n", "i").alias("v"))
     lead = posted.groupBy("x").agg(F.min(F.struct("v.at", "v.c", "v.n", "v.i")).alias("y"))
-    pairs = posted.join(lead, "x").where(possible("v", "y", similarity)).select(F.col("v.c").alias("x"), F.col("y.c").alias("y")).distinct()
-    met = posted.select("v.c").distinct()
+    posted = written(posted.join(lead, "x"), "lines-posted")
+    pairs = posted.where(possible("v", "y", similarity)).select(F.col("v.c").alias("x"), F.col("y.c").alias("y")).distinct()
+    many = posted.where("k > 2").select("x", "v")  # where two lines meet, both have been compared
+    met = pairs.select(F.explode(F.array("x", "y")).alias("c")).unionByName(many.select("v.c")).distinct()
     texts = rows.where(maybe(bitmap(met, F.col("c.a")), F.col("c.a"))).select("c", "l").distinct().join(met, "c", "left_semi")
     texts = written(texts, "lines-texts")
-    first = written(verified(written(pairs, "lines-pairs"), texts, similarity, shingle), "lines-removed")
-    rest = posted.join(first.select(F.col("x").alias("_c")), F.col("v.c") == F.col("_c"), "left_anti")
-    others = posted.select("x", F.col("v").alias("y"))
+    first = written(verified(pairs, texts, similarity, shingle), "lines-removed")
+    settled = maybe(bitmap(first, F.col("x.a")), F.col("v.c.a"))
+    some = many.where(settled).join(first.select(F.col("x").alias("_c")), F.col("v.c") == F.col("_c"), "left_anti")
+    rest, others = many.where(~settled).unionByName(some), many.select("x", F.col("v").alias("y"))
     pairs = rest.join(others, "x").where(possible("v", "y", similarity)).select(F.col("v.c").alias("x"), F.col("y.c").alias("y")).distinct()
     return first.unionByName(verified(pairs, texts, similarity, shingle)).select(F.col("x").alias("c"))
 
