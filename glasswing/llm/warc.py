@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glasswing.llm.common import text_of
+from glasswing.llm.common import short_batches, text_of
 from glasswing.llm.tokenbin import _put, _store
 
 VERSION = "WARC/1.1"
@@ -107,6 +107,7 @@ def derive(records: DataFrame, key: str | None = None) -> DataFrame:
     ``key`` names a column that is carried over. Null ids, targets and blocks are empty ones, and
     repeated responses are derived again. An empty table gives an empty result.
     """
+    short_batches(records.sparkSession)
     kept = f"{key} {records.schema[key].dataType.simpleString()}, " if key else ""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
