@@ -26,21 +26,22 @@ from glasswing.llm.common import written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Buckets of token counts, bits of a bitmap.
-BUCKETS, BITS = 1 << 16, 1 << 25
+BUCKETS, BITS = 1 << 16, 1 << 22
 _MASK = (1 << 48) - 1
 
 
 def plain(line: Column) -> Column:
     """A line's words in lower case with one space between."""
-    loose = line.rlike(r"^\s|\s$|\s\s|[\t\x0B\f\r]")
+    loose = line.startswith(" ") | line.endswith(" ")
+    for space in ("  ", "\t", "\x0b", "\f", "\r"):
+        loose = loose | F.contains(line, F.lit(space))
     return F.lower(F.when(loose, F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line))
 
 
 def tokens(line: Column, shingle: int) -> Column:
     """The distinct hashed shingles of a plain line."""
-    slide = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - shingle + 1), lambda i: F.xxhash64(F.slice(w, i, shingle)))
-    short = lambda w: F.size(w) < shingle
-    each = F.transform(F.array(F.split(line, " ")), lambda w: F.when(short(w), F.array(F.xxhash64(w))).otherwise(F.array_distinct(slide(w))))
+    slide = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - shingle), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(shingle)]))
+    each = F.transform(F.array(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), lambda h: F.when(F.size(h) < shingle, F.array(F.xxhash64(h))).otherwise(F.array_distinct(slide(h))))
     return F.element_at(each, 1)
 
 
