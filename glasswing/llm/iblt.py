@@ -62,7 +62,7 @@ def _third(i: Column) -> Column:
 def sketch(digests: Column) -> Column:
     """The cells of a set of digests."""
     none = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("sum"))
-    fill = lambda es: F.transform(F.sequence(F.lit(0), F.lit(3 * THIRD - 1)), lambda i: F.aggregate(F.filter(es, lambda e: F.get(e["at"], _third(i)) == i), none, lambda c, e: put(c, e, 1)))
+    fill = lambda es: F.transform(F.sequence(F.lit(0), F.lit(3 * THIRD - 1)), lambda i: let(_third(i), lambda t: F.aggregate(F.filter(es, lambda e: F.get(e["at"], t) == i), none, lambda c, e: put(c, e, 1))))
     return let(F.transform(digests, lambda d: entry(d, F.lit(1))), fill)
 
 
@@ -77,7 +77,7 @@ def peel(cells: Column) -> Column:
     def step(s: Column) -> Column:
         pure = F.filter(s["cells"], lambda c: (F.abs(c["n"]) == 1) & (check(c["key"]) == c["sum"]))
         found = F.array_distinct(F.transform(pure, lambda c: entry(c["key"], c["n"])))
-        take = lambda es: F.struct(F.transform(s["cells"], lambda c, i: F.aggregate(F.filter(es, lambda e: F.get(e["at"], _third(i)) == i), c, lambda a, e: put(a, e, -1))).alias("cells"), (s["found"] + F.size(es)).alias("found"), (F.size(es) == 0).alias("over"))
+        take = lambda es: F.struct(F.transform(s["cells"], lambda c, i: let(_third(i), lambda t: F.aggregate(F.filter(es, lambda e: F.get(e["at"], t) == i), c, lambda a, e: put(a, e, -1)))).alias("cells"), (s["found"] + F.size(es)).alias("found"), (F.size(es) == 0).alias("over"))
         return let(found, take)
 
     start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(False).alias("over"))
