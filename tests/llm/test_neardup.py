@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -50,3 +51,12 @@ def test_near_copies_around_the_threshold(spark, sf_dir):
     assert 3 < len(texts) - len(set(label)) < len(texts) - 20
     out = corpus_pipeline.one_of_each(spark, rows_of(spark, list(enumerate(texts))), sf_dir)
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(label.tolist()))
+
+
+def test_rows_that_share_an_id_or_have_none(spark, sf_dir):
+    """Unlike texts stay whatever their ids, and what stays of a group is one of its own rows."""
+    a, b, c = prose(80, 11), prose(80, 12), prose(80, 13)
+    rows = [(5, a), (5, b), (3, b), (None, c), (None, prose(80, 14)), (None, None), (None, a), (7, c), (9, ""), (5, a)]
+    out = corpus_pipeline.one_of_each(spark, rows_of(spark, rows), sf_dir)
+    want = [(5, a), (3, b), (7, c), (None, prose(80, 14)), (9, "")]
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(want)
