@@ -307,12 +307,16 @@ def model(spark: SparkSession, count: int = 3_000, seed: int = 11, precision: fl
     return _models[count, seed, precision]
 
 
+#: Spans of a block, which is passed over whole where a candidate does not meet it.
+SPANS = 32
+
+
 def find(docs: DataFrame, trees: Trees | None = None, text: str = "text") -> DataFrame:
     """Adds ``base`` and ``found``, arrays of ``struct<k, s, e>`` ordered by kind and start.
 
     ``k`` is the index in ``KINDS``, places are code points, ends exclusive. ``found`` holds all of
-    ``base`` and the selected candidates that overlap no base span and no likelier candidate among
-    the sixteen nearest spans. Null texts are empty and have none; rows that repeat an id stay as
+    ``base`` and the selected candidates that overlap no base span and no likelier candidate.
+    Null texts are empty and have none; rows that repeat an id stay as
     they are. Columns of these names in ``docs`` are replaced.
     """
     trees = trees or model(docs.sparkSession)
@@ -326,11 +330,16 @@ def find(docs: DataFrame, trees: Trees | None = None, text: str = "text") -> Dat
     sure = F.transform("base", lambda b: F.struct(b["s"], b["e"], b["k"], cut.alias("p")))
     df = df.withColumn("_all", F.when(F.size("_chosen") > 0, F.array_sort(F.concat("_chosen", sure))).otherwise(F.array().cast("array<struct<s:bigint,e:bigint,k:int,p:double>>")))
 
-    def beaten(x: Column, i: Column) -> Column:
-        near = F.slice(F.col("_all"), F.greatest(i - 7, F.lit(1)), 17)
-        return F.exists(near, lambda o: (o["s"] < x["e"]) & (x["s"] < o["e"]) & ((o["p"] > x["p"]) | ((o["p"] == x["p"]) & (o["k"] < x["k"]))))
+    block = lambda xs: F.struct(F.array_min(F.transform(xs, lambda o: o["s"])).alias("s"), F.array_max(F.transform(xs, lambda o: o["e"])).alias("e"), xs.alias("xs"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / SPANS).cast("int")), lambda b: block(F.slice("_all", b * SPANS + 1, SPANS)))
+    df = df.withColumn("_blocks", F.when(F.size("_all") > 0, blocks))
+    meets = lambda o, x: (o["s"] < x["e"]) & (x["s"] < o["e"])
+
+    def beaten(x: Column) -> Column:
+        better = lambda o: meets(o, x) & ((o["p"] > x["p"]) | ((o["p"] == x["p"]) & (o["k"] < x["k"])))
+        return F.exists("_blocks", lambda b: meets(b, x) & F.exists(b["xs"], better))
 
-    added = F.filter("_all", lambda x, i: (x["p"] < cut) & ~beaten(x, i))
+    added = F.filter("_all", lambda x: (x["p"] < cut) & ~beaten(x))
     found = F.concat("base", F.transform(added, lambda x: F.struct(x["k"], x["s"], x["e"])))
     df = df.withColumn("found", F.when(F.size("_all") == 0, F.col("base")).otherwise(F.array_sort(found)))
     return df.select(*kept, "base", "found")

@@ -84,3 +84,14 @@ def test_redaction_rows_and_columns(docs, empty):
 def test_prefix_sums(spark, n):
     got = spark.range(1).select(pii.prefix_sums(F.expr(f"slice(sequence(1L, {n + 1}L), 1, {n})")).alias("x")).first().x
     assert got == [sum(range(1, i + 1)) for i in range(n)]
+
+
+def test_a_long_base_span_excludes_every_candidate_in_it(spark):
+    """However many spans begin between a base span and a candidate inside it."""
+    local = "%".join(f"0301-555-{i:04d}" for i in range(100, 140))
+    rows = [(0, f"please call {local}@mail.org now"), (1, "please call 0301-555-0199 now")]
+    trees = pii.Trees(0.0, [], (-1.0,) * len(pii.KINDS))  # every candidate is selected
+    for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), trees).collect():
+        base = {tuple(b) for b in r.base}
+        added = [tuple(x) for x in r.found if tuple(x) not in base]
+        assert not [x for x in added for b in base if x[1] < b[2] and b[1] < x[2]]
