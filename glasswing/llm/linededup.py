@@ -1,33 +1,48 @@
-"""Line dedup by an exact set-similarity join, in DataFrame functions only.
-
-A line's tokens are its shingles of ``SHINGLE`` words, lower-cased; a shorter line is one token.
-Lines of the same words are one class and meet nothing. Tokens are ordered from rare to frequent,
-by counts in a fixed number of hashed buckets over all lines. Two lines of Jaccard similarity t or
-more share a token within their prefixes, which are the first n - ceil(t n) + 1 tokens of n, so
-only prefixes are indexed. Of the pairs that meet there, the length filter and the positional
-filter discard those whose sizes or places can't reach t, and the rest are verified on all tokens.
+"""Line dedup by an exact set-similarity join over word tokens, in DataFrame functions only.
+
+A line's tokens are its distinct words, lower-cased. Lines of the same words in the same order are
+one class and meet nothing. Tokens are ordered from rare to frequent, by counts in a fixed number
+of hashed buckets over all classes, with one end mark after the last. Two lines of Jaccard
+similarity t or more share a rare token of their prefixes, the first n - ceil(t n) + 1 of n tokens,
+or they share frequent tokens only. Single frequent tokens would have ever longer posting lists as
+lines grow in number, so lines meet at pairs of them that are neighbours in the order: few tokens
+are only in one of two similar lines, each comes between two common tokens at most once, so near the
+front two common tokens have nothing between them in either line (``frequent_pairs``). Of the lines
+that meet, the length filter, the positional filter and a bitmap of parities discard those that
+can't reach t, and the rest are verified on all their words.
 
 A line is removed if an earlier line, whether removed itself or not, is as similar as t or has the
-same words. Only whether there is such a line matters, so a line is first compared with the
-earliest line at each of its prefix tokens; lines that this settles, the bulk of any group of near
-copies, need no other pair. The others are compared with all earlier lines they meet.
+same words. Only whether there is such a line matters, so at keys of many lines a line is first
+compared with the earliest one and a few others; lines that this settles, the bulk of any group of
+near copies, need no other comparison there. Those still open are compared with all.
 
-Counts come to tasks as arrays of a fixed size. One is the token counts; the others are bitmaps of
-hashed tokens and lines that more than one line needs, by which rows are left out before a shuffle
-that the following join would drop anyway.
+Every step is written before the next one reads it, and deleted when nothing reads it any more.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glasswing.llm.common import written
+from glasswing.llm.common import discard, written
+
+SIMILARITY = 0.8
+#: Buckets of token counts, and how many of them are one row while the array is put together.
+BUCKETS, ROW = 1 << 22, 1 << 11
+#: Tokens in buckets of more lines than this are frequent, and lines don't meet at one such token alone.
+FREQUENT = 24
+#: Posting lists up to this length are compared whole; lines of longer ones at first with so many others.
+SHORT, LEADS = 24, 8
+_HASH = (1 << 56) - 1
+_END = 127 << 56
+_WORDS = 4  # of parities of a line
 
-SHINGLE, SIMILARITY = 5, 0.8
-#: Buckets of token counts, bits of a bitmap.
-BUCKETS, BITS = 1 << 16, 1 << 22
-_MASK = (1 << 48) - 1
+
+def rank(count: Column) -> Column:
+    """A bucket's count on a scale that fits in a byte and stays below the end mark's rank."""
+    return F.least(F.lit(126), F.floor(F.log2(count) * 4) + 1).cast("byte")
 
 
 def plain(line: Column) -> Column:
@@ -38,104 +53,148 @@ def plain(line: Column) -> Column:
     return F.lower(F.when(loose, F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line))
 
 
-def tokens(line: Column, shingle: int) -> Column:
-    """The distinct hashed shingles of a plain line."""
-    slide = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - shingle), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(shingle)]))
-    each = F.transform(F.array(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), lambda h: F.when(F.size(h) < shingle, F.array(F.xxhash64(h))).otherwise(F.array_distinct(slide(h))))
-    return F.element_at(each, 1)
+def tokens(line: Column) -> Column:
+    """The distinct hashed words of a plain line."""
+    return F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """``(at, c, l)`` for each line with words: its place in the order of lines, its class and its words.
+def line_classes(docs: DataFrame) -> DataFrame:
+    """``(r, at, doc, l)``: each class of lines with its first place, and a number of its own.
 
-    The order is that of ``doc_id``, nulls last, then of the text's hash, then of lines.
+    The order of places is that of ``doc_id``, nulls last, then of the text's hash, then of lines.
+    ``doc`` is the first part of the place as one number, for a rough comparison.
     """
-    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text")).alias("d"), F.split("text", "\n").alias("ls"))
-    rows = rows.select("d", F.posexplode("ls").alias("line", "l")).where(F.col("l").rlike(r"\S")).withColumn("l", plain(F.col("l")))
-    return rows.select(F.struct("d.none", "d.doc", "d.text", "line").alias("at"), F.struct(F.xxhash64("l").alias("a"), F.hash("l").alias("b")).alias("c"), "l")
-
-
-def fixed_array(rows: DataFrame, at: str, value: str, size: int) -> Column:
-    """A column of ``rows``, whose ``at`` are below ``size``, as an array of that size, zero where there is none."""
-    every = rows.sparkSession.range(size).select(F.col("id").alias("_i"))
-    full = every.join(rows.select(F.col(at).cast("long").alias("_i"), F.col(value).alias("_v")), "_i", "left")
-    full = full.groupBy((F.col("_i") / F.lit(1024)).cast("int").alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_v", F.lit(0)).cast("long").alias("v")))).alias("x"))
-    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_b", "x"))), lambda s: F.transform(s["x"], lambda y: y["v"])))
-    return full.agg(whole.alias("x")).scalar()
-
-
-def token_counts(rows: DataFrame, shingle: int) -> Column:
-    counted = rows.select(F.explode(tokens(F.col("l"), shingle)).alias("x")).groupBy(F.col("x").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
-    return fixed_array(counted, "b", "count", BUCKETS)
-
-
-def bitmap(rows: DataFrame, key: Column) -> Column:
-    """Which hashes of a key occur, as an array of ``BITS`` bits."""
-    bit = F.pmod(F.xxhash64(key), F.lit(BITS))
-    set_ = rows.select(bit.alias("i")).groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("v"))
-    return fixed_array(set_, "w", "v", BITS >> 6)
-
-
-def maybe(bits: Column, key: Column) -> Column:
-    """False only where a bitmap rules a key out."""
-    bit = F.pmod(F.xxhash64(key), F.lit(BITS))
-    return F.call_function("shiftright", F.get(bits, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
-def by_rarity(t: Column, counts: Column) -> Column:
-    """Tokens from rare to frequent: the logarithm of their bucket's count goes before 48 bits of each."""
-    rank = lambda x: F.floor(F.log2(F.get(counts, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")) + 1) * 6).cast("long")
-    return F.sort_array(F.transform(t, lambda x: F.shiftleft(rank(x), 48).bitwiseOR(x.bitwiseAND(F.lit(_MASK)))))
-
+    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("text")).alias("d"), F.split("text", "\n").alias("ls"))
+    rows = rows.select("d", F.posexplode("ls").alias("line", "l")).withColumn("l", plain(F.col("l"))).where("l != ''")
+    rows = rows.select(F.xxhash64("l").alias("a"), F.hash("l").alias("b"), F.struct("d.none", "d.doc", "d.text", "line").alias("at"), "l")
+    rows = rows.groupBy("a", "b").agg(F.min(F.struct("at", "l")).alias("m"))
+    out = rows.select("m.at", F.coalesce("m.at.doc", F.lit((1 << 63) - 1)).alias("doc"), "m.l")
+    return written(out.withColumn("r", F.monotonically_increasing_id()), "lines-classes")
+
+
+def token_ranks(classes: DataFrame) -> Column:
+    """The logarithm of each bucket's number of tokens, as one array of bytes."""
+    spark = classes.sparkSession
+    bucket = F.col("x").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    counted = classes.select(F.explode(tokens(F.col("l"))).alias("x")).groupBy(bucket.alias("b")).count()
+    ranked = counted.select("b", rank(F.col("count")).alias("v"))
+    every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("byte").alias("v"))
+    full = every.unionByName(ranked).groupBy("b").agg(F.max("v").alias("v"))
+    full = full.groupBy((F.col("b") / F.lit(ROW)).cast("int").alias("at")).agg(F.array_sort(F.collect_list(F.struct("b", "v"))).alias("x"))
+    full = full.select("at", F.transform("x", lambda s: s["v"]).alias("x"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]))
+    table = written(full.agg(whole.alias("x")), "lines-ranks")
+    return table.scalar()
+
+
+def most_missing(n: Column, similarity: float) -> Column:
+    """How many tokens of a line may be missing from a similar one, at most."""
+    return F.floor(n * F.lit(1 - similarity) + 1e-9).cast("int")
+
+
+def frequent_pairs(n: Column, h: Column, similarity: float) -> Column:
+    """How many pairs of a line's frequent tokens have to be indexed, from the front.
+
+    Let a tokens be only in this line of n and b only in the other, and let both share none of their
+    rare tokens, of which this line has h, all among the a. Of the gaps between common tokens at
+    most a + b - h aren't empty, so one of the first a + b - h + 1 is empty in both lines, and it
+    begins at the frequent token a + b - h + a - h or before. As a + b <= (n - a)(1 - t) / t, that is
+    largest where a is. Lines with h > a can't be similar to such a line.
+    """
+    a = most_missing(n, similarity)
+    return F.greatest(F.lit(0), a + F.floor((n - a) * F.lit((1 - similarity) / similarity) + 1e-9).cast("int") + 1 - 2 * h)
 
-def needed(n: Column, similarity: float) -> Column:
-    return F.ceil(n * F.lit(similarity) - 1e-9).cast("int")
 
+def met_keys(classes: DataFrame, similarity: float) -> DataFrame:
+    """``(x, k, r, i, h)``: keys of more than one class, their number of classes, a class, the key's place in it, its rare tokens.
 
-def postings(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """``(c, at, n, i, x)``: each class's prefix tokens with their places, the class's first line and size."""
-    rows = rows.withColumn("counts", token_counts(rows, shingle)).withColumn("o", by_rarity(tokens(F.col("l"), shingle), F.col("counts"))).withColumn("n", F.size("o"))
-    rows = rows.select("c", "at", "n", F.slice("o", F.lit(1), F.col("n") - needed(F.col("n"), similarity) + 1).alias("p"))
-    rows = rows.groupBy("c").agg(F.min(F.struct("at", "n", "p")).alias("m"))
-    return rows.select("c", "m.at", "m.n", F.posexplode("m.p").alias("i", "x"))
+    A line's keys are the rare tokens of its prefix and pairs of frequent ones.
+    """
+    ranked = lambda x: F.get("ranks", x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+    code = lambda x: F.shiftleft(ranked(x), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
+    edge = (math.floor(math.log2(FREQUENT) * 4) + 2) << 56
+    rows = classes.withColumn("ranks", token_ranks(classes)).select("r", F.sort_array(F.transform(tokens(F.col("l")), code)).alias("o"))
+    rows = rows.select("r", F.size("o").alias("n"), F.size(F.filter("o", lambda x: x < edge)).alias("h"), F.concat("o", F.array(F.lit(_END))).alias("o"))
+    count = F.least(frequent_pairs(F.col("n"), F.col("h"), similarity), F.col("n") - F.col("h"))
+    own = F.transform(F.slice("o", F.lit(1), F.least("h", most_missing(F.col("n"), similarity) + 1)), lambda x, i: F.struct(i.alias("i"), x.bitwiseAND(F.lit(_HASH)).alias("x")))
+    first, second = F.slice("o", F.col("h") + 1, count), F.slice("o", F.col("h") + 2, count)
+    pairs = F.transform(F.zip_with(first, second, lambda a, b: F.xxhash64(a, b)), lambda x, i: F.struct((F.col("h") + i).alias("i"), x.alias("x")))
+    rows = rows.select("r", "h", F.explode(F.concat(own, pairs)).alias("p")).select("p.x", "r", "p.i", "h")
+    return written(rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("x"))).where("k > 1"), "lines-met")
+
+
+def parities(t: Column, n: Column) -> list[Column]:
+    """Of each value of a token's last bits, whether an odd number of tokens has it, 64 to a word; the first word has it all for short lines."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+    own = lambda j: word(F.filter(t, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(_WORDS - 1)) == j))
+    short = n < 64
+    return [F.when(short, word(t)).otherwise(own(0)).alias("s0")] + [F.when(short, F.lit(0).cast("long")).otherwise(own(j)).alias(f"s{j}") for j in range(1, _WORDS)]
+
+
+def postings(classes: DataFrame, similarity: float) -> DataFrame:
+    """``(x, k, v)``: ``met_keys`` with a class's place, number of tokens and parities."""
+    met = met_keys(classes, similarity)
+    info = classes.join(met.select("r").distinct(), "r", "left_semi").select("r", "doc", tokens(F.col("l")).alias("t")).withColumn("n", F.size("t"))
+    info = info.select("r", "doc", "n", *parities(F.col("t"), F.col("n")))
+    out = written(met.join(info, "r").select("x", "k", F.struct("doc", "r", "n", "i", "h", *[f"s{j}" for j in range(_WORDS)]).alias("v")), "lines-posted")
+    discard(met)
+    return out
 
 
 def possible(x: str, y: str, similarity: float) -> Column:
-    """Whether an earlier line ``y`` and a line ``x`` that share a token can be similar: order, length, position."""
-    nx, ny, ix, iy = (F.col(f"{s}.{k}") for k in ("n", "i") for s in (x, y))
+    """Whether two lines that share a key can be similar: length, position, parities.
+
+    At most as many parities differ as there are tokens that only one of the two has. At a pair of
+    frequent tokens, both lines' rare tokens count as not shared, or the lines meet at one of these.
+    """
+    at = lambda k: (F.col(f"{x}.{k}"), F.col(f"{y}.{k}"))
+    (nx, ny), (ix, iy), (hx, hy) = at("n"), at("i"), at("h")
     least = F.ceil((nx + ny) * F.lit(similarity / (1 + similarity)) - 1e-9)
-    reach = F.least(ix, iy) + 1 + F.least(nx - ix - 1, ny - iy - 1)
-    return (F.col(f"{y}.at") < F.col(f"{x}.at")) & (ny >= nx * F.lit(similarity) - 1e-9) & (nx >= ny * F.lit(similarity) - 1e-9) & (reach >= least)
-
-
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The classes ``x`` of pairs ``(x, y)`` that are similar on all tokens."""
-    a, b = texts.select(F.col("c").alias("x"), F.col("l").alias("lx")), texts.select(F.col("c").alias("y"), F.col("l").alias("ly"))
-    met = pairs.join(a, "x").join(b, "y").select("x", tokens(F.col("lx"), shingle).alias("tx"), tokens(F.col("ly"), shingle).alias("ty"))
-    met = met.select("x", F.size("tx").alias("nx"), F.size("ty").alias("ny"), F.size(F.array_intersect("tx", "ty")).alias("both"))
-    return met.where(F.col("both") >= (F.col("nx") + F.col("ny") - F.col("both")) * F.lit(similarity) - 1e-9).select("x").distinct()
-
-
-def removed_classes(rows: DataFrame, firsts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The classes ``c`` of lines that are similar to an earlier line of other words."""
-    often = firsts.groupBy("x").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    posted = firsts.where(maybe(bitmap(often, F.col("x")), F.col("x"))).join(often, "x").select("x", "k", F.struct("c", "at", "n", "i").alias("v"))
-    lead = posted.groupBy("x").agg(F.min(F.struct("v.at", "v.c", "v.n", "v.i")).alias("y"))
-    posted = written(posted.join(lead, "x"), "lines-posted")
-    pairs = posted.where(possible("v", "y", similarity)).select(F.col("v.c").alias("x"), F.col("y.c").alias("y")).distinct()
-    many = posted.where("k > 2").select("x", "v")  # where two lines meet, both have been compared
-    met = pairs.select(F.explode(F.array("x", "y")).alias("c")).unionByName(many.select("v.c")).distinct()
-    texts = rows.where(maybe(bitmap(met, F.col("c.a")), F.col("c.a"))).select("c", "l").distinct().join(met, "c", "left_semi")
-    texts = written(texts, "lines-texts")
-    first = written(verified(pairs, texts, similarity, shingle), "lines-removed")
-    settled = maybe(bitmap(first, F.col("x.a")), F.col("v.c.a"))
-    some = many.where(settled).join(first.select(F.col("x").alias("_c")), F.col("v.c") == F.col("_c"), "left_anti")
-    rest, others = many.where(~settled).unionByName(some), many.select("x", F.col("v").alias("y"))
-    pairs = rest.join(others, "x").where(possible("v", "y", similarity)).select(F.col("v.c").alias("x"), F.col("y.c").alias("y")).distinct()
-    return first.unionByName(verified(pairs, texts, similarity, shingle)).select(F.col("x").alias("c"))
-
-
-def dedup(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    apart = nx + ny - 2 * least
+    near = (ny >= nx * F.lit(similarity) - 1e-9) & (nx >= ny * F.lit(similarity) - 1e-9)
+    rare = (ix < hx) & (iy < hy)
+    reach = F.when(rare, F.least(ix, iy)).when(hx + hy <= apart, F.least(ix - hx, iy - hy)).otherwise(-nx) + F.least(nx - ix, ny - iy)
+    folded = lambda s: F.col(f"{s}.s0").bitwiseXOR(F.col(f"{s}.s1")).bitwiseXOR(F.col(f"{s}.s2")).bitwiseXOR(F.col(f"{s}.s3"))
+    each = [F.bit_count(a.bitwiseXOR(b)) for a, b in (at(f"s{j}") for j in range(_WORDS))]
+    unlike = F.when(F.least(nx, ny) >= 64, sum(each[1:], each[0])).otherwise(F.bit_count(folded(x).bitwiseXOR(folded(y))))
+    return (F.col(f"{x}.r") != F.col(f"{y}.r")) & near & (reach >= least) & (unlike <= apart)
+
+
+def unordered(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("v.r", "w.r").alias("a"), F.greatest("v.r", "w.r").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The later classes ``r`` of pairs ``(a, b)`` that are similar on all words."""
+    pairs = written(pairs, "lines-pairs")
+    texts = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("r")).distinct(), "r", "left_semi")
+    side = lambda s: texts.select(F.col("r").alias(s), F.struct("at", "l").alias(f"v{s}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    met = met.select(F.when(F.col("va.at") > F.col("vb.at"), F.col("a")).otherwise(F.col("b")).alias("r"), tokens(F.col("va.l")).alias("ta"), tokens(F.col("vb.l")).alias("tb"))
+    met = met.select("r", (F.size("ta") + F.size("tb")).alias("n"), F.size(F.array_intersect("ta", "tb")).alias("both"))
+    out = written(met.where(F.col("both") >= (F.col("n") - F.col("both")) * F.lit(similarity) - 1e-9).select("r").distinct(), "lines-removed")
+    discard(pairs)
+    return out
+
+
+def removed_classes(classes: DataFrame, similarity: float) -> DataFrame:
+    """The classes ``r`` of lines that are similar to an earlier line of other words."""
+    posted = postings(classes, similarity)
+    few, many = posted.where(f"k <= {SHORT}"), posted.where(f"k > {SHORT}").select("x", "v")
+    later = (F.col("w.doc") <= F.col("v.doc")) & possible("v", "w", similarity)
+    other = lambda rows: rows.select("x", F.col("v").alias("w"))
+    hashed = [F.min(F.struct(F.xxhash64("v.r", F.lit(j)).alias("h"), "v"))["v"].alias(f"w{j}") for j in range(LEADS)]
+    leads = many.groupBy("x").agg(F.min("v").alias("w"), *hashed).select("x", F.explode(F.array_distinct(F.array("w", *[f"w{j}" for j in range(LEADS)]))).alias("w"))
+    pairs = unordered(few.join(other(few), "x").where(later)).unionByName(unordered(many.join(leads, "x").where(later))).distinct()
+    gone = verified(pairs, classes, similarity)
+    open_ = many.join(gone.select(F.col("r").alias("_r")), F.col("v.r") == F.col("_r"), "left_anti")
+    last = verified(unordered(open_.join(other(many), "x").where(later)), classes, similarity)
+    discard(posted)
+    return gone.unionByName(last)
+
+
+def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """All columns of ``docs``, ``text`` without removed lines, with ``n_lines`` and ``n_removed``.
 
     Lines without words are kept and match nothing. A null text is empty and has no lines removed.
@@ -143,14 +202,16 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGL
     an id only, the one with the smaller hash of the text comes first, and null ids come last. A
     document that loses all lines stays with an empty text. Columns of these names are replaced.
     """
+    if not 0.5 <= similarity <= 1:
+        raise ValueError("similarity must be between 0.5 and 1")
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*kept_columns).withColumn("text", F.coalesce("text", F.lit("")))
-    rows = lines(docs)
-    firsts = postings(rows, similarity, shingle)
-    gone = removed_classes(rows, firsts, similarity, shingle)
-    kept = rows.groupBy("c").agg(F.min("at").alias("at")).join(gone, "c", "left_anti")
+    classes = line_classes(docs)
+    kept = classes.select("r", "at").join(removed_classes(classes, similarity), "r", "left_anti")
     kept = kept.groupBy(F.coalesce("at.doc", F.lit(0)).alias("_doc"), F.col("at.none").alias("_none"), F.col("at.text").alias("_text")).agg(F.array_sort(F.collect_list("at.line")).alias("_kept"))
-    docs = docs.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_null", F.col("doc_id").isNull()).withColumn("_hash", F.xxhash64("text"))
+    kept = written(kept, "lines-kept")
+    discard(classes)
+    docs = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("_null", F.col("doc_id").isNull()).withColumn("_hash", F.xxhash64("text"))
     out = docs.join(kept, (F.col("_id") == F.col("_doc")) & (F.col("_null") == F.col("_none")) & (F.col("_hash") == F.col("_text")), "left")
     out = out.withColumn("_lines", F.split("text", "\n"))
     blank = F.filter(F.transform("_lines", lambda x, i: F.when(~x.rlike(r"\S"), i)), lambda i: i.isNotNull())
@@ -158,3 +219,24 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGL
     out = out.withColumn("_stay", stay).withColumn("n_lines", F.size("_lines")).withColumn("n_removed", F.size("_lines") - F.size("_stay"))
     out = out.withColumn("text", F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n"))
     return out.select(*kept_columns, "n_lines", "n_removed")
+
+
+#: DuckDB SQL for ``dedup`` by comparing all lines that share a word.
+ORACLE = r"""
+WITH s AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw,
+                  unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS line FROM {docs}),
+p AS (SELECT doc_id, line, raw, lower(trim(regexp_replace(raw, '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ')) AS l,
+             row_number() OVER (ORDER BY doc_id, line) AS o FROM s),
+c AS (SELECT l, min(o) AS o FROM p WHERE l <> '' GROUP BY l),
+w AS (SELECT o, unnest(list_distinct(string_split(l, ' '))) AS w FROM c),
+n AS (SELECT o, count(*) AS n FROM w GROUP BY o),
+v AS (SELECT w.o, w.w, n.n FROM w JOIN n USING (o)),
+m AS (SELECT DISTINCT o FROM (
+        SELECT x.o FROM v x JOIN v y ON x.w = y.w AND y.o < x.o AND y.n >= 0.8 * x.n - 1e-9 AND x.n >= 0.8 * y.n - 1e-9
+        GROUP BY x.o, y.o, x.n, y.n HAVING count(*) >= 0.8 * (x.n + y.n - count(*)) - 1e-9)),
+k AS (SELECT p.doc_id, p.line, p.raw, p.l = '' OR (c.o = p.o AND m.o IS NULL) AS stays
+      FROM p LEFT JOIN c ON c.l = p.l LEFT JOIN m ON m.o = p.o)
+SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (stays), '') AS text,
+       count(*)::INTEGER AS n_lines, (count(*) FILTER (NOT stays))::INTEGER AS n_removed
+FROM k GROUP BY doc_id
+"""

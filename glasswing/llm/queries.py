@@ -121,4 +121,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE.format(docs="documents"),
+    "op4_linededup": linededup.ORACLE.format(docs="documents"),
 }

@@ -8,7 +8,7 @@ from glasswing.llm import linededup, queries
 
 def tokens(line):
     w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", line.lower()) if x]
-    return w, frozenset([" ".join(w)] if len(w) < 5 else [" ".join(w[i : i + 5]) for i in range(len(w) - 4)])
+    return w, frozenset(w)
 
 
 def brute(rows, similarity=0.8):
@@ -74,7 +74,32 @@ def test_awkward_rows(docs, empty):
     assert set(linededup.dedup(docs).columns) == set(docs.columns) | {"n_removed"}
 
 
-def test_words_as_tokens(spark):
+def test_one_word_of_thirty(spark):
     rows = [(1, "a b c d e f g h i j"), (2, "a b c d e f g h i k"), (3, "j i h g f e d c b a")]
-    got = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1).collect()}
-    assert got == {1: rows[0][1], 2: "", 3: ""}
+    long = [f"t{i}" for i in range(30)]
+    rows += [(4, " ".join(long)), (5, " ".join(["new", *long[1:]])), (6, " ".join([*long[:15], "other", *long[16:]])), (7, " ".join([*long[:22], *[f"u{i}" for i in range(8)]]))]
+    got = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: "", 4: rows[3][1], 5: "", 6: "", 7: rows[6][1]}
+    with pytest.raises(ValueError, match="similarity"):
+        linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.4)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_frequent_words_and_passages(spark, monkeypatch, seed):
+    """With hardly any word rare: pairs of frequent ones, long lists, and lines around one common passage."""
+    import random
+
+    monkeypatch.setattr(linededup, "FREQUENT", 2)
+    monkeypatch.setattr(linededup, "SHORT", 3)
+    monkeypatch.setattr(linededup, "LEADS", 1)
+    rng = random.Random(seed)
+    words, passage, rows = [f"w{i}" for i in range(40)], [f"p{i}" for i in range(20)], []
+    made = [rng.sample(words, rng.randint(1, 30)) for _ in range(60)]
+    for i in range(300):
+        own = list(rng.choice(made))
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        own = own[: rng.randint(1, len(own))] if rng.random() < 0.3 else own
+        rows.append((i, " ".join(own if rng.random() < 0.6 else own[: rng.randint(0, 8)] + passage)))
+    got = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k, _ in rows] == brute(rows)
