@@ -37,7 +37,6 @@ FREQUENT = 24
 SHORT, LEADS = 24, 8
 _HASH = (1 << 56) - 1
 _END = 127 << 56
-_WORDS = 4  # of parities of a line
 
 
 def rank(count: Column) -> Column:
@@ -123,21 +122,18 @@ def met_keys(classes: DataFrame, similarity: float) -> DataFrame:
     return written(rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("x"))).where("k > 1"), "lines-met")
 
 
-def parities(t: Column, n: Column) -> list[Column]:
-    """Of each value of a token's last bits, whether an odd number of tokens has it, 64 to a word; the first word has it all for short lines."""
+def parities(t: Column) -> Column:
+    """Of each value of a token's last six bits, whether an odd number of tokens has it."""
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    word = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
-    own = lambda j: word(F.filter(t, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(_WORDS - 1)) == j))
-    short = n < 64
-    return [F.when(short, word(t)).otherwise(own(0)).alias("s0")] + [F.when(short, F.lit(0).cast("long")).otherwise(own(j)).alias(f"s{j}") for j in range(1, _WORDS)]
+    return F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
 
 
 def postings(classes: DataFrame, similarity: float) -> DataFrame:
     """``(x, k, v)``: ``met_keys`` with a class's place, number of tokens and parities."""
     met = met_keys(classes, similarity)
     info = classes.join(met.select("r").distinct(), "r", "left_semi").select("r", "doc", tokens(F.col("l")).alias("t")).withColumn("n", F.size("t"))
-    info = info.select("r", "doc", "n", *parities(F.col("t"), F.col("n")))
-    out = written(met.join(info, "r").select("x", "k", F.struct("doc", "r", "n", "i", "h", *[f"s{j}" for j in range(_WORDS)]).alias("v")), "lines-posted")
+    info = info.select("r", "doc", "n", parities(F.col("t")).alias("s"))
+    out = written(met.join(info, "r").select("x", "k", F.struct("doc", "r", "n", "i", "h", "s").alias("v")), "lines-posted")
     discard(met)
     return out
 
@@ -155,9 +151,7 @@ def possible(x: str, y: str, similarity: float) -> Column:
     near = (ny >= nx * F.lit(similarity) - 1e-9) & (nx >= ny * F.lit(similarity) - 1e-9)
     rare = (ix < hx) & (iy < hy)
     reach = F.when(rare, F.least(ix, iy)).when(hx + hy <= apart, F.least(ix - hx, iy - hy)).otherwise(-nx) + F.least(nx - ix, ny - iy)
-    folded = lambda s: F.col(f"{s}.s0").bitwiseXOR(F.col(f"{s}.s1")).bitwiseXOR(F.col(f"{s}.s2")).bitwiseXOR(F.col(f"{s}.s3"))
-    each = [F.bit_count(a.bitwiseXOR(b)) for a, b in (at(f"s{j}") for j in range(_WORDS))]
-    unlike = F.when(F.least(nx, ny) >= 64, sum(each[1:], each[0])).otherwise(F.bit_count(folded(x).bitwiseXOR(folded(y))))
+    unlike = F.bit_count(F.col(f"{x}.s").bitwiseXOR(F.col(f"{y}.s")))
     return (F.col(f"{x}.r") != F.col(f"{y}.r")) & near & (reach >= least) & (unlike <= apart)
 
 
