@@ -52,6 +52,16 @@ def sha256_hex(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def short_hash(hexdigest: Column, digits: int = 12) -> Column:
+    """The first digits of a hash, as it is shown."""
+    return F.substring(hexdigest, 1, digits)
+
+
+def version_tag(platform: str, version: Column) -> Column:
+    """A result's version: the platform that the engine ran on before the model's own version."""
+    return F.concat(F.lit(f"{platform}-"), version)
+
+
 def cache_key(root: Column, key: Column, mtime: Column, size: Column) -> Column:
     """The content-independent key of a file's cached derivative: 32 hex digits."""
     return F.substring(F.sha2(F.concat_ws(":", root, key, mtime.cast("string"), size.cast("string")), 256), 1, 32)

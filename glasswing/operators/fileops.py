@@ -7,6 +7,8 @@ import os
 import shutil
 from dataclasses import dataclass
 
+from glasswing.sources.tree import Roots
+
 
 @dataclass(frozen=True)
 class Result:
@@ -45,7 +47,7 @@ def copy(source: str, directory: str) -> str:
     """Copies a file or a tree into a directory; equal files aren't copied again."""
     target = os.path.join(directory, os.path.basename(source.rstrip("/")))
     if os.path.isdir(source):
-        if os.path.realpath(directory).startswith(os.path.realpath(source)):
+        if os.path.commonpath([os.path.realpath(directory), os.path.realpath(source)]) == os.path.realpath(source):
             raise ValueError("a directory can't be copied into itself")
         os.makedirs(target, exist_ok=True)
         for name in sorted(os.listdir(source)):
@@ -115,7 +117,53 @@ def prune(folder: str, older_than: float, now: float) -> int:
     for at, _, names in os.walk(folder):
         for name in names:
             path = os.path.join(at, name)
-            if now - os.lstat(path).st_mtime >= older_than:
-                os.remove(path)
-                gone += 1
+            try:
+                if now - os.lstat(path).st_mtime >= older_than:
+                    os.remove(path)
+                    gone += 1
+            except OSError:  # one that can't be read or removed doesn't end the others
+                continue
     return gone
+
+
+def clean(folder: str, prefix: str = "") -> int:
+    """Removes what earlier runs have left directly in a folder of temporary files; returns how many."""
+    gone = 0
+    for e in os.scandir(folder) if os.path.isdir(folder) else ():
+        if e.is_file(follow_symlinks=False) and e.name.startswith(prefix):
+            os.remove(e.path)
+            gone += 1
+    return gone
+
+
+class Below:
+    """The same changes for paths below named roots; none leads out of its root."""
+
+    def __init__(self, roots: Roots):
+        self.roots = roots
+
+    def path(self, root_id: str, rel: str) -> str:
+        """The path of an entry itself: what its directory links to counts, what it links to doesn't."""
+        above, name = os.path.split(os.path.normpath("/" + rel.replace("\\", "/")))
+        return os.path.join(self.roots.resolve(root_id, above), name) if name else self.roots.resolve(root_id)
+
+    def delete(self, root_id: str, rel: str, recursive: bool = False) -> None:
+        delete(self.path(root_id, rel), self.roots.resolve(root_id), recursive)
+
+    def rename(self, root_id: str, rel: str, name: str) -> str:
+        path = self.path(root_id, rel)
+        if path == self.roots.resolve(root_id):
+            raise ValueError("the root can't be renamed")
+        return rename(path, name)
+
+    def bulk(self, what: str, root_id: str, rels: list[str], to_root: str, directory: str) -> list[Result]:
+        """Moves or copies each path below a root into a directory below another; results name the given paths."""
+        into, out = self.roots.resolve(to_root, directory), []
+        for rel in rels:
+            try:
+                if self.path(root_id, rel) == self.roots.resolve(root_id):
+                    raise ValueError("the root can't be moved or copied")
+                out += [Result(rel, r.target, r.error) for r in bulk(what, [self.path(root_id, rel)], into)]
+            except ValueError as e:
+                out.append(Result(rel, error=str(e)))
+        return out

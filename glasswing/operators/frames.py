@@ -22,6 +22,13 @@ def first_texts(blocks: DataFrame, key: str, order: str, text: str = "text") ->
     return rows.groupBy(key, text).agg(F.min(order).alias(order))
 
 
+def first_blocks(blocks: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
+    """The whole first block of each trimmed, non-empty text: its box and confidence, from the frame that had it first."""
+    rows = blocks.withColumn(text, F.trim(text)).where(F.col(text) != "")
+    whole = F.struct(order, *[c for c in blocks.columns if c not in (key, text, order)])
+    return rows.groupBy(key, text).agg(F.min_by(whole, order).alias("_b")).select(key, text, "_b.*")
+
+
 def joined_text(blocks: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
     """One text for each key: its distinct texts in frame order, a line each."""
     rows = first_texts(blocks, key, order, text)

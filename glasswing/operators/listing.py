@@ -46,6 +46,16 @@ def list_directory(files: DataFrame, detections: DataFrame, tags: DataFrame, has
     return out.orderBy(F.desc("is_dir"), "name")
 
 
+def by_locale(entries: DataFrame, name: str = "name", collation: str = "UNICODE") -> DataFrame:
+    """Directories first, then names as people order them: by letters before case and accents."""
+    return entries.orderBy(F.desc("is_dir"), F.collate(name, collation), name)
+
+
+def images(files: DataFrame) -> DataFrame:
+    """Image files in the order of their names."""
+    return files.where("not is_dir and media_type = 'image'").orderBy("name")
+
+
 def ordered(entries: DataFrame, by: str = "name", descending: bool = False, tie: str = "name") -> DataFrame:
     """Directories first, then by a column, ties by name."""
     return entries.orderBy(F.desc("is_dir"), F.desc(by) if descending else F.asc(by), tie)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glasswing.functions.paths import below
+
 #: Results of a search at most.
 LIMIT = 500
 
@@ -26,11 +28,20 @@ def merged(phases: list[DataFrame], key: str, limit: int = LIMIT) -> DataFrame:
     return all_.groupBy(key).agg(F.min("priority").alias("priority")).orderBy("priority", key).limit(limit)
 
 
-def search(files: DataFrame, tags: DataFrame, texts: DataFrame, query: str, key: str = "rel_path", limit: int = LIMIT) -> DataFrame:
+def scoped(rows: DataFrame, root_id: str | None, path: str) -> DataFrame:
+    """Rows of one root and below one path; of all where there is none."""
+    if root_id is not None:
+        rows = rows.where(F.col("root_id") == root_id)
+    return rows if path.strip("/") == "" else rows.where(below(F.col("rel_path"), path))
+
+
+def search(files: DataFrame, tags: DataFrame, texts: DataFrame, query: str, key: str = "rel_path", limit: int = LIMIT, root_id: str | None = None, path: str = "") -> DataFrame:
     """Files whose name contains a query, then those with such a tag, then those with such a text.
 
-    Tags and texts of files that are gone don't count. An empty query finds nothing.
+    ``root_id`` and ``path`` bound the search, before anything is joined. Tags and texts of files
+    that are gone don't count. An empty query finds nothing.
     """
+    files, tags, texts = (scoped(rows, root_id, path) for rows in (files, tags, texts))
     if not query.strip():
         return files.limit(0).select(key, F.lit(0).alias("priority"))
     gone = files.select(key)

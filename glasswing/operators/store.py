@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,21 @@ def upserted(stored: DataFrame, new: DataFrame, key: list[str] = KEY) -> DataFra
     return stored.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
 
 
+def get_or_compute(files: DataFrame, stored: DataFrame, compute: Callable[[DataFrame], DataFrame], key: list[str] = KEY) -> DataFrame:
+    """Stored rows of the asked files, and computed ones for those that have none.
+
+    A stored row counts whatever its version. ``compute`` gets the files without one and returns
+    rows with the columns of ``stored``; only these files are read.
+    """
+    there = stored.join(files.select(*key).distinct(), key, "left_semi")
+    return there.unionByName(compute(files.join(stored.select(*key), key, "left_anti")).select(*stored.columns))
+
+
+def as_json(rows: DataFrame, name: str = "json") -> DataFrame:
+    """Each row as the JSON text of a response."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias(name))
+
+
 def children_replaced(stored: DataFrame, new: DataFrame, parents: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Stored children with all those of rewritten parents replaced, also where there are no new ones."""
     return stored.join(parents.select(*key).distinct(), key, "left_anti").unionByName(new)

@@ -48,7 +48,7 @@ def characters(text: str) -> list[str]:
 
 def blocks_of(value: Column) -> Column:
     """Recognised blocks from their JSON."""
-    return F.from_json(json_column, BLOCKS)
+    return F.from_json(value, BLOCKS)
 
 
 @dataclass

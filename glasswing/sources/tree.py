@@ -8,10 +8,13 @@ mounted where executors run.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -22,6 +25,10 @@ from glasswing.functions.paths import basename, canonical, extension, parent
 SCHEMA = "root_id string, rel_path string, is_dir boolean, size long, mtime long, mod_time timestamp"
 
 
+#: Directories that the driver opens before it deals them out.
+PARTS = 256
+
+
 class RootError(ValueError):
     """A root or a path below it that can't be used."""
 
@@ -72,11 +79,12 @@ class TreeReader(DataSourceReader):
         self.deep = options.get("recursive", "true").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        out = [_Part(self.start, False)]
-        if self.deep:
-            top = os.path.join(self.root, self.start)
-            out += [_Part(os.path.join(self.start, e.name), True) for e in _entries(top) if e.is_dir(follow_symlinks=False)]
-        return out
+        """Directories are opened level by level until there are enough of them to deal out whole."""
+        flat, level = [], [self.start]
+        while self.deep and level and len(level) < PARTS and len(flat) < PARTS:
+            below = [f"{at}/{e.name}" if at else e.name for at in level for e in _entries(os.path.join(self.root, at)) if e.is_dir(follow_symlinks=False)]
+            flat, level = flat + level, below
+        return [_Part(at, False) for at in flat] + [_Part(at, self.deep) for at in level]
 
     def row(self, rel: str, entry: os.DirEntry) -> tuple | None:
         try:
@@ -117,7 +125,8 @@ def scan(spark: SparkSession, roots: Roots, root_id: str, start: str = "", recur
     """Everything below a directory, or only what lies directly in it, as a typed listing."""
     real = roots.resolve(root_id, start)
     spark.dataSource.register(TreeSource)
-    rel = os.path.relpath(real, roots.paths[root_id]).strip(".")
+    rel = os.path.relpath(real, roots.paths[root_id])
+    rel = "" if rel == "." else rel
     rows = spark.read.format("tree").option("path", roots.paths[root_id]).option("root_id", root_id).option("start", rel).option("recursive", str(recursive).lower()).load()
     return typed(rows)
 
@@ -135,9 +144,24 @@ def media_files(files: DataFrame, videos: bool = True) -> DataFrame:
     return files.where(~F.col("is_dir") & F.col("media_type").isin("image", *(["video"] if videos else [])))
 
 
-def with_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of a folder with their bytes and hashes, read once."""
-    from glasswing.functions.media import crc32_hex, sha256_hex
-
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mod_time"), sha256_hex(F.col("content")).alias("sha256"), crc32_hex(F.col("content")).alias("crc32"), "content")
+def with_hashes(files: DataFrame, roots: Roots) -> DataFrame:
+    """A listing's files with ``sha256`` and ``crc32`` of their bytes, read in pieces; nulls where a file can't be read.
+
+    Files are found by the listing, so names that begin with an underscore count, and rows keep their keys.
+    """
+    def hashes(ids: pd.Series, rels: pd.Series) -> pd.DataFrame:
+        out = []
+        for root_id, rel in zip(ids, rels, strict=True):
+            sha, crc = hashlib.sha256(), 0
+            try:
+                with open(roots.resolve(root_id, rel), "rb") as f:
+                    while piece := f.read(1 << 20):
+                        sha.update(piece)
+                        crc = zlib.crc32(piece, crc)
+                out.append((sha.hexdigest(), f"{crc:08X}"))
+            except (OSError, RootError):
+                out.append((None, None))
+        return pd.DataFrame(out, columns=["sha256", "crc32"])
+
+    of = F.pandas_udf(hashes, "sha256 string, crc32 string")
+    return files.where("not is_dir").withColumn("_h", of("root_id", "rel_path")).withColumns({k: F.col(f"_h.{k}") for k in ("sha256", "crc32")}).drop("_h")

@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
 def file_stream(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
     """New files of a folder of Parquet as a stream; the source waits instead of dropping what is too much."""
     schema = spark.read.parquet(path).schema
-    source = path if not path.endswith(".parquet") else f"{path}*"
+    source = path if not path.endswith(".parquet") else f"{path[:-1]}[{path[-1]}]"  # a pattern, as a stream needs one, that only this name fits
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", "true").parquet(source)
 
 

@@ -36,11 +36,6 @@ def test_paths_stay_below_their_root(root):
         roots.resolve("root-9")
 
 
-def test_hashes_of_files(spark, root):
-    out = tree.with_hashes(spark, str(root / "sub")).collect()
-    assert {r.crc32 for r in out} == {"CBF53A1C"}
-
-
 def test_label_files(spark, tmp_path):
     made = spark.createDataFrame([("a", 0, "p", "g", [3.0, 4.0]), ("b", 1, "q", None, [0.0, 0.0])], "label string, ord int, prompt string, grp string, prototype array<float>")
     labels.export_labels(made, str(tmp_path / "l.json"), "m", 100.0)
