@@ -44,9 +44,8 @@ class PieceCache:
         new: set[str] = set()
         for c in cuts:
             new.update(c[1:])
-        new.difference_update(self.parts.keys())
         heads = list(dict.fromkeys(c[0] for c in cuts))
-        todo = list(new)
+        todo = list(new.difference(self.parts))  # a dict, so that only what is new is gone through
         got = self.encode([piece(x) for x in todo] + heads)
         self.parts.update(zip(todo, got))
         head = dict(zip(heads, got[len(todo) :]))

@@ -30,15 +30,15 @@ from pyspark.sql import functions as F
 
 from glasswing.llm.bpe import once
 from glasswing.llm.common import partitions, shared_dir, short_batches
-from glasswing.llm.pieces import PieceCache, groups
+from glasswing.llm.pieces import cut, piece
 
 MAGIC = b"GWTB0001"
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("start", "<u8"), ("end", "<u8"), ("before", "<u8"), ("tokens", "<u4")])
 #: Documents that the dictionary is trained on, at most, and ids of each that it sees.
 SAMPLE, SAMPLE_IDS, DICTIONARY = 1_000, 2_048, 64 << 10
 LEVEL = 3
-#: Encoded words that a worker holds before it forgets them.
-MOST_WORDS = 800_000
+#: Encoded parts of texts that a worker holds before it forgets them.
+MOST_WORDS = 1_000_000
 MOST_BYTES = 64 << 20
 
 
@@ -49,11 +49,13 @@ def byte_letters() -> list[str]:
     return [chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)]
 
 
-class LibraryEncoder:
-    """Encodes whole texts with the tokenizers library; strings of special tokens are ordinary text.
+class LibraryEncoder(dict):
+    """Encodes whole texts as the tokenizers library does, special tokens' strings included.
 
-    With a byte-level pre-tokenizer and no normalizer, equal pieces of texts are encoded once: plain
-    words by the library's merge model itself, all else by the whole tokenizer.
+    With a byte-level pre-tokenizer and no normalizer, a text is cut where the pre-tokenizer cuts it
+    too, and this dictionary holds the ids of each part: plain words are encoded by the library's
+    merge model itself, all else by the whole tokenizer. Texts that hold an added token's string go
+    through the whole tokenizer. When there are too many parts, they are forgotten and encoded anew.
     """
 
     def __init__(self, data: bytes):
@@ -63,46 +65,43 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(data)
-        self.tokenizer.encode_special_tokens = True
         made = json.loads(data)
         pre = made.get("pre_tokenizer") or {}
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.by_piece = plain and not made.get("normalizer") and not made.get("post_processor")
+        self.added = [x["content"] for x in made.get("added_tokens") or []]
         self.letters = {b: x for b, x in enumerate(byte_letters())}
-        self.model, self.known = self.tokenizer.model, {}
-        self.cache = PieceCache(self.pieces, MOST_WORDS)
+        self.space = self.letters[32]
+        self.model = self.tokenizer.model
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def word(self, text: str) -> bytes:
-        out = self.known.get(text)
-        if out is None:
-            if len(self.known) > MOST_WORDS:
-                self.known.clear()
-            seen = text.encode("utf-8").decode("latin-1").translate(self.letters)
-            out = self.known[text] = array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+        seen = text.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        """A part that stands behind a space, unless it begins with a line feed."""
+        if part.isalpha():
+            out = array("I", [t.id for t in self.model.tokenize(self.space + part)]).tobytes() if part.isascii() else self.word(" " + part)
+        elif part[-1:] in (",", ".") and part[:-1].isalpha():
+            out = self[part[:-1]] + self.word(part[-1])
+        elif part[:1] == "\n" and part[1:].isalpha():
+            out = self.word("\n") + self.word(part[1:])
+        else:
+            out = self.whole(piece(part))
+        self[part] = out
         return out
 
-    def pieces(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = []
-        for x in texts:
-            if x[:1] == " " and x[1:].isalpha():
-                out.append(self.word(x))
-            elif x[:1] == " " and x[-1] in ",." and x[1:-1].isalpha():
-                out.append(self.word(x[:-1]) + self.word(x[-1]))
-            elif x[:1] == "\n" and x[1:].isalpha():
-                out.append(self.word("\n") + self.word(x[1:]))
-            else:
-                out.append(None)
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
-            out[i] = x
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        return self.cache(texts) if self.by_piece else self.whole(texts)
+    def __call__(self, text: str) -> bytes:
+        if not self.by_piece or any(x in text for x in self.added):
+            return self.whole(text)
+        if len(self) > MOST_WORDS:
+            self.clear()
+        first, *rest = cut(text)
+        return self.whole(first) + b"".join(map(self.__getitem__, rest))
 
 
 def vocabulary(path: str) -> bytes:
@@ -142,8 +141,8 @@ def train_dictionary(docs: DataFrame, data: bytes, end: int) -> bytes:
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = once(LibraryEncoder, shared.value)
         for batch in batches:
-            ids = encoder([x or "" for x in batch.text])
-            yield pd.DataFrame({"ids": [serialized(x + struct.pack("<I", end), encoder.wide)[: SAMPLE_IDS * 4] for x in ids]})
+            ids = [encoder(x or "") + struct.pack("<I", end) for x in batch.text]
+            yield pd.DataFrame({"ids": [serialized(x[: SAMPLE_IDS * 4], encoder.wide) for x in ids]})
 
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text").mapInPandas(of, "ids binary").limit(SAMPLE)
     parts = [bytes(r.ids) for r in sample.collect()]
@@ -193,16 +192,13 @@ def write(docs: DataFrame, data: bytes, folder: str | None = None, end: int = 0,
             out.write(MAGIC + struct.pack("<I", len(head)) + head)
             at, before = len(MAGIC) + 4 + len(head), 0
             while first is not None:
-                ids = first.doc_id.astype("Int64")
-                texts = first.text.tolist()
-                for a, b in groups(texts):
-                    for doc, coded in zip(ids[a:b], encoder(texts[a:b]), strict=True):
-                        coded += struct.pack("<I", end)
-                        frame = squeeze.compress(serialized(coded, encoder.wide))
-                        out.write(frame)
-                        null = doc is pd.NA
-                        rows.append((0 if null else int(doc), null, at, at + len(frame), before, len(coded) // 4))
-                        at, before = at + len(frame), before + len(coded) // 4
+                for doc, text in zip(first.doc_id.astype("Int64"), first.text, strict=True):
+                    coded = encoder(text) + struct.pack("<I", end)
+                    frame = squeeze.compress(serialized(coded, encoder.wide))
+                    out.write(frame)
+                    null = doc is pd.NA
+                    rows.append((0 if null else int(doc), null, at, at + len(frame), before, len(coded) // 4))
+                    at, before = at + len(frame), before + len(coded) // 4
                 first = next(batches, None)
             out.write(np.array(rows, INDEX).tobytes() + struct.pack("<QQ", at, len(rows)))
 

@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -13,11 +14,15 @@ def data():
     return tokenbin.vocabulary(queries.vocabulary("byte_bpe_50k.json"))
 
 
-def library(data, text):
+@functools.cache
+def tokenizer(data):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_buffer(data)
-    t.encode_special_tokens = True
+    return Tokenizer.from_buffer(data)
+
+
+def library(data, text):
+    t = tokenizer(data)
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -30,6 +35,18 @@ def test_files_equal_the_library(spark, sf_dir, data):
         start += len(ids)
 
 
+def test_parts_equal_the_library(data, monkeypatch):
+    """Special tokens' strings, spaces that touch, punctuation, other scripts, and a cache that overflows."""
+    import random
+
+    monkeypatch.setattr(tokenbin, "MOST_WORDS", 50)
+    rng, encode = random.Random(3), tokenbin.LibraryEncoder(data)
+    some = ["<|endoftext|>", "a<|endoftext|>b", " ", "\n", "  ", "\t", "word", "Word,", "it's", "we'll.", "naïve", "Größe,", "日本語", "😀", "12", "3.4", "x_y", "\u00a0", "", "<|endoftext", "--", "\r\n"]
+    for text in ["", *("".join(rng.choice(["", " ", " ", "\n"]) + rng.choice(some) for _ in range(rng.randint(1, 12))) for _ in range(3000))]:
+        ids = np.frombuffer(encode(text), "<u4").tolist()
+        assert [*ids, 0] == library(data, text), text
+
+
 def test_awkward_rows_and_reading_one_document(spark, docs, empty, data, tmp_path):
     folder, manifest = tokenbin.write(docs, data, f"file://{tmp_path}/t", shards=3)
     out = tokenbin.read(spark, folder, manifest, "ids").collect()
