@@ -1,4 +1,4 @@
-"""One document of each group of near copies: an exact set-similarity join over whole texts.
+"""The near copies that fingerprints miss: an exact set-similarity join over whole texts.
 
 A text's tokens are its distinct shingles of ``SHINGLE`` words. Rows of the same tokens are one class
 before anything is compared. Two classes of Jaccard similarity t or more share a token within their
@@ -6,9 +6,10 @@ prefixes, the first n - ceil(t n) + 1 of n tokens in one order for all texts, fr
 counts in hashed buckets; so candidates from prefixes lose no pair. Length, place and
 bitmaps of parities discard candidates that can't reach t, and the rest are verified on all tokens.
 
-Only components matter. So each class is first compared with one class, the lead, at each of its
-prefix tokens, and then, at tokens whose classes are not yet in one component, with a few more. Last,
-the classes outside a token's largest component are compared with all that other components have there.
+Only components matter, and links found before, as by fingerprints, are given. At tokens whose
+classes are not yet in one component, each class is first compared with one class, the lead, and
+then with a few more. Last, the classes outside a token's largest component are compared with all
+that other components have there.
 """
 
 from __future__ import annotations
@@ -137,16 +138,20 @@ def mixed(posted: DataFrame, found: DataFrame) -> DataFrame:
     return written(rows.join(some, "x", "left_semi"), "neardup-mixed")
 
 
-def links(classes: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Links ``(a, b)`` that span the components of ``classes(r, n, p, odd)``; ``texts(r, text)`` has all of them."""
+def links(classes: DataFrame, texts: DataFrame, similarity: float, shingle: int, found: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that span the components of ``classes(r, n, p, odd)``; ``texts(r, text)`` has all of them.
+
+    ``found``: verified links to begin with. Where they join all classes of a token, nothing is compared.
+    """
     firsts = classes.select("r", "n", F.posexplode("p").alias("i", "x")).select("x", F.struct("r", "n", "i").alias("v"))
-    lead = firsts.groupBy("x").agg(F.min("v.r").alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    posted = firsts.join(lead, "x").select(F.col("v.r").alias("r"), "x", "v.n", "v.i", "lead", "k").join(classes.select("r", "odd"), "r")
-    posted = written(posted.select("x", F.struct("r", "n", "i", "odd").alias("v"), "lead", "k"), "neardup-posted")
-    led = posted.where("v.r = lead").select("x", F.col("v").alias("y"))
-    pairs = posted.where("v.r != lead").join(led, "x").where(possible("v", "y", similarity))
-    found = verified(pairs.select(F.col("v.r").alias("a"), F.col("y.r").alias("b")), texts, similarity, shingle)
-    many = posted.where("k > 2").select("x", "v")
+    lead = firsts.groupBy("x").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    posted = firsts.join(lead, "x").select(F.col("v.r").alias("r"), "x", "v.n", "v.i").join(classes.select("r", "odd"), "r")
+    posted = written(posted.select("x", F.struct("r", "n", "i", "odd").alias("v")), "neardup-posted")
+    rows = mixed(posted, found)
+    led = rows.groupBy("x").agg(F.min_by(F.struct("v", "label"), "v.r").alias("y")).select("x", F.col("y.v").alias("y"), F.col("y.label").alias("other"))
+    pairs = rows.join(led, "x").where((F.col("label") != F.col("other")) & possible("v", "y", similarity))
+    found = found.unionByName(verified(pairs.select(F.col("v.r").alias("a"), F.col("y.r").alias("b")), texts, similarity, shingle))
+    many = rows.select("x", "v")
     for k in range(ROUNDS):
         many = mixed(many, found).select("x", "v", "label")
         one = lambda seed: F.min(F.struct(F.xxhash64("v.r", F.lit(seed)).alias("h"), "v", "label"))
@@ -161,22 +166,3 @@ def links(classes: DataFrame, texts: DataFrame, similarity: float, shingle: int)
     pairs = rest.join(many.select("x", F.col("v").alias("w"), F.col("label").alias("other")), "x")
     pairs = pairs.where((F.col("label") != F.col("other")) & possible("v", "w", similarity))
     return found.unionByName(verified(pairs.select(F.col("v.r").alias("a"), F.col("w.r").alias("b")), texts, similarity, shingle))
-
-
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each component of near copies, all its columns.
-
-    Each row is decided by itself, whether its ``doc_id`` is repeated or null. The row with the
-    smallest id stays, nulls last, then the one with the smallest hash of the text. Wordless texts,
-    null ones among them, are copies of each other. An empty table gives an empty result.
-    """
-    own = written(with_prefixes(docs, similarity, shingle).withColumn("_r", F.monotonically_increasing_id()), "neardup")
-    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("h"), F.col("_r").alias("r"))
-    best = own.groupBy("_s.c").agg(F.min(row).alias("row"))
-    best = written(best.select(F.col("row.r").alias("r"), "row"), "neardup-classes")
-    classes = own.select(F.col("_r").alias("r"), "_s.n", "_s.p", "_s.odd").where("n > 0").join(best.select("r"), "r", "left_semi")
-    label = connected_components(links(classes, own.select(F.col("_r").alias("r"), "text"), similarity, shingle))
-    of = best.join(label.select(F.col("node").alias("r"), "label"), "r").groupBy("label").agg(F.min("row").alias("m")).select(F.col("m.r").alias("r"))
-    alone = best.join(label.select(F.col("node").alias("r")), "r", "left_anti").select("r")
-    kept = of.unionByName(alone)
-    return own.join(kept.withColumnRenamed("r", "_r"), "_r", "left_semi").select(*docs.columns)

@@ -19,9 +19,9 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from glasswing.llm import neardup
 from glasswing.llm.common import partitions, short_batches, written
 from glasswing.llm.components import connected_components
 
@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, key: str
     ``component_id`` is the smallest key reachable over links. Null and wordless texts have
     fingerprint 0 and are linked like any other. Rows that repeat a key stay separate rows; a null
     key is no candidate for the smallest one, and a group of null keys only has a null component.
-    An empty table gives an empty result.
+    An empty table gives an empty result; only ``key`` and ``text`` of the columns are read.
     """
     own = written(with_fingerprint(docs.select(F.col(key), "text"), shingle=shingle).select(key, "fp"), "simhash")
     classes = written(own.groupBy("fp").agg(F.min(key).alias("least")), "simhash-classes")
@@ -181,12 +181,32 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, key: str
     return own.join(of, "fp")
 
 
-def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, key: str = "doc_id") -> DataFrame:
-    """The document with the smallest key of each near-duplicate group, all its columns.
+def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each component of near copies, all its columns; copies have Jaccard similarity of shingles.
 
-    Rows that repeat a key are one document, of which the first by text stays.
+    Fingerprints within ``radius`` bits are candidates, which are verified on all shingles. Many pairs
+    that are similar enough have more differing bits, so ``neardup.links`` goes on from there and
+    finds all others.
+
+    Each row is decided by itself, whether its ``doc_id`` is repeated or null. The row with the
+    smallest id stays, nulls last, then the one with the smallest hash of the text. Wordless texts,
+    null ones among them, are copies of each other. An empty table gives an empty result. Columns
+    whose names begin with ``_`` are the operator's own.
     """
-    kept = near_duplicates(docs, radius, shingle, key).where(F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias("_kept")).distinct()
-    rows = docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
-    first = Window.partitionBy(key).orderBy("text")
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    own = neardup.with_prefixes(with_fingerprint(docs, "_fp", shingle=shingle), similarity, shingle)
+    own = written(own.withColumn("_r", F.monotonically_increasing_id()), "neardup")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("h"), F.col("_r").alias("r"))
+    best = own.groupBy("_s.c").agg(F.min(row).alias("row"), F.min("_fp").alias("fp"), F.max("_s.n").alias("n"))
+    best = written(best.select(F.col("row.r").alias("r"), "row", "fp", "n"), "neardup-classes")
+    lead = best.where("n > 0").groupBy("fp").agg(F.min("r").alias("b"))
+    alike = best.where("n > 0").join(lead, "fp").where("r != b").select(F.col("r").alias("a"), "b")
+    near = near_links(lead.select("fp"), radius).join(lead.select(F.col("fp").alias("a"), F.col("b").alias("x")), "a")
+    near = near.join(lead.select(F.col("fp").alias("b"), F.col("b").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    texts = own.select(F.col("_r").alias("r"), "text")
+    found = neardup.verified(alike.unionByName(near), texts, similarity, shingle)
+    classes = own.select(F.col("_r").alias("r"), "_s.n", "_s.p", "_s.odd").where("n > 0").join(best.select("r"), "r", "left_semi")
+    label = connected_components(neardup.links(classes, texts, similarity, shingle, found))
+    of = best.join(label.select(F.col("node").alias("r"), "label"), "r").groupBy("label").agg(F.min("row").alias("m")).select(F.col("m.r").alias("r"))
+    alone = best.join(label.select(F.col("node").alias("r")), "r", "left_anti").select("r")
+    kept = of.unionByName(alone)
+    return own.join(kept.withColumnRenamed("r", "_r"), "_r", "left_semi").select(*docs.columns)

@@ -1,4 +1,5 @@
 import hashlib
+import math
 from collections import Counter
 
 import pytest
@@ -8,7 +9,7 @@ import corpus_pipeline
 from glasswing.llm.common import written
 
 from .test_linededup import brute as without_lines
-from .test_simhash import brute_components, brute_fingerprint
+from .test_neardup import brute_groups
 
 
 def test_stages_against_brute_force(spark, sf_dir):
@@ -34,11 +35,23 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
     before, after = seen["simhash near-dedup"]
-    want = brute_components({r.doc_id: brute_fingerprint(r.text) for r in before.orderBy("doc_id").collect()})
-    assert sorted(r.doc_id for r in after.collect()) == sorted(set(want.values()))
+    rows = before.orderBy("doc_id").collect()
+    assert sorted(r.doc_id for r in after.collect()) == sorted({rows[i].doc_id for i in brute_groups([r.text for r in rows])})
 
     before, after = seen["mixing to target weights"]
-    assert after.exceptAll(before).select("doc_id").distinct().join(before, "doc_id", "left_anti").count() == 0
+    rows = {r.doc_id: r for r in before.collect()}
+    size, got = Counter(), Counter(r.doc_id for r in after.collect())
+    for r in rows.values():
+        size[r.source] += len(r.text) + 1
+    for k, r in rows.items():
+        rate = sum(size.values()) / len(size) / size[r.source]
+        u, n, p = int(hashlib.md5(f"1:0:{k}".encode()).hexdigest()[:13], 16) / 2**52, 0, math.exp(-rate)
+        total = p
+        while total <= u:
+            n, p = n + 1, p * rate / (n + 1)
+            total += p
+        assert got[k] == n
+    assert {tuple(r) for r in after.collect()} <= {tuple(r) for r in rows.values()}
 
     before, after = seen["byte-level bpe"]
     texts = Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in before.collect())

@@ -40,8 +40,10 @@ def test_awkward_texts(docs, empty):
     of = {(r.doc_id, r.fp): r.component_id for r in out.collect()}
     assert of[2, 0] == of[3, 0] == of[4, 0] == of[None, 0] == 2
     kept = simhash.keep_one(docs)
-    ids = [r.doc_id for r in kept.collect()]
-    assert kept.columns == docs.columns and len(ids) == len(set(ids)) and 0 in ids and 1 not in ids
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == docs.columns and len(rows) == len(set(rows)) and simhash.keep_one(empty).count() == 0
+    ids = [i for i, _ in rows]
+    assert 0 in ids and 1 not in ids and (7, "another text under the same id") in rows and (None, "no id here at all") in rows
 
 
 def test_links_of_clusters_and_random_fingerprints(spark):
