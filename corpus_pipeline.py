@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glasswing.llm import bpe, linededup, mixing, neardup, quality
+from glasswing.llm import bpe, linededup, mixing, quality, simhash
 from glasswing.llm.common import table, written
 from glasswing.llm.queries import bpe_digests, vocabulary
 
@@ -27,8 +27,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 5-word shingles of Jaccard similarity 0.8 or more."""
-    return neardup.keep_one(docs).select(*COLUMNS)
+    """One document of each group of near copies: 5-word shingles of Jaccard similarity 0.8 or more, by fingerprints first."""
+    return simhash.keep_one(docs).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
