@@ -121,5 +121,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE.format(docs="documents"),
+    "op6_ann": ann.ORACLE.format(vectors="embeddings"),
     "op4_linededup": linededup.ORACLE.format(docs="documents"),
 }

@@ -1,7 +1,10 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from glasswing.llm import ann, queries
+from glasswing.llm.common import written
 
 
 def brute(rows, every=100, k=10):
@@ -33,6 +36,29 @@ def test_recall_on_the_tables(spark):
     assert sorted((r.query_id, r["rank"]) for r in out) == [(q, n) for q in sorted(want) for n in range(1, 11)]
 
 
+def test_recall_on_vectors_not_fitted(spark, monkeypatch, tmp_path):
+    """Many more rows than are reranked, and queries that the codebooks haven't seen."""
+    x = np.random.default_rng(5).normal(size=(50_000, 48)).astype(np.float32)
+    rows = list(enumerate(x.tolist()))
+    made = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 48).cast(pa.list_(pa.float32()))})
+    pq.write_table(made, tmp_path / "v.parquet")
+    df = spark.read.parquet(f"file://{tmp_path}/v.parquet")
+    sent = []
+    monkeypatch.setattr(ann, "written", lambda t, name: sent.append((name, out := written(t, name))) or out)
+    out = ann.nearest(df, every=1000, sample=3_000).collect()
+    found = recall(out, brute(rows, every=1000))
+    print("recall", found)
+    assert found >= 0.9 and ann.RERANK < 0.01 * len(x)
+    assert [t.count() for name, t in sent[-1:]] == [50 * ann.RERANK]
+
+
+def test_few_blocks_at_a_time():
+    for blocks in (1, 2, 9, 10, 1000):
+        got = ann.levels(blocks)
+        assert got[0] == (0, 1) and got[-1][1] == blocks and all(a[1] == b[0] for a, b in zip(got, got[1:]))
+        assert len(got) <= 1 + np.ceil(np.log(blocks) / np.log(1 + ann.FAN))
+
+
 def test_copies_ties_and_rows_without_part(spark):
     rng = np.random.default_rng(1)
     one = rng.normal(size=8).tolist()
