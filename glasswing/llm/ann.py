@@ -33,11 +33,11 @@ from glasswing.llm.common import discard, partitions, written
 BOOKS, WORDS, BEAM = 32, 256, 8
 SAMPLE = 10_000
 #: Rows of an index block, queries of a query block, blocks of a level over those of all before.
-BLOCK, QUERIES, FAN = 4_096, 1_024, 8
+BLOCK, QUERIES, FAN = 4_096, 1_024, 4
 #: Sweeps over the books for each new coding of the sample.
 SWEEPS = 6
 #: Rows reranked for each query.
-RERANK = 300
+RERANK = 200
 
 
 def beam_encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
