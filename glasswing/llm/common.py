@@ -41,7 +41,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.compression.codec.zstd.bufferPool.enabled": "false"}).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

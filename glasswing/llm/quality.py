@@ -25,6 +25,8 @@ BUCKETS = 1 << 18
 #: Rated documents that the model is fitted on, at most; those with the smallest hash of their id.
 SAMPLE = 8_000
 GRADES = 3
+#: Words whose weights a worker holds before it looks them up anew.
+MOST_WORDS = 150_000
 _EDGE = ".,;:!?\"'()[]{}<>|*#%$&-_/\\"
 
 
@@ -114,7 +116,7 @@ def grades(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal | None:
-    """Fits the model on at most ``sample`` rated documents."""
+    """Fits the model on at most ``sample`` rated documents; of rows that share an id the one with the smallest hash of its text counts."""
     short_batches(docs.sparkSession)
     chosen = grades(labels).orderBy(F.xxhash64("doc_id"), "grade").limit(sample)
 
@@ -123,8 +125,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal |
             yield pa.array([features(x) for x in batch.to_pylist()], pa.list_(pa.int32()))
 
     of.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    rated = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = rated.select("grade", F.arrow_udf(of, "array<int>")(F.coalesce("text", F.lit(""))).alias("x")).limit(2 * sample).toArrow()
+    rated = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rated = rated.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = rated.select("doc_id", "grade", F.arrow_udf(of, "array<int>")("text").alias("x")).toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("grade", "ascending")])
     x = rows["x"].combine_chunks()
     if not len(x):
         return None
@@ -152,7 +156,7 @@ def score(docs: DataFrame, model: Ordinal | None) -> DataFrame:
             for x in batch.to_pylist():
                 tokens = x.split()
                 own = set(tokens)
-                if len(known) > 600_000:
+                if len(known) > MOST_WORDS:
                     known.clear()
                 for new in own.difference(known):
                     known[new] = weight[bucket(new)]

@@ -13,6 +13,7 @@ import html
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -59,6 +60,44 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], payload
 
 
+def unchunked(payload: bytes) -> bytes:
+    """The payload of a chunked transfer; what a damaged one holds up to the damage."""
+    out, at = [], 0
+    while (end := payload.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(payload[at:end].partition(b";")[0], 16)
+        except ValueError:
+            break
+        if size <= 0:
+            break
+        out.append(payload[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out)
+
+
+def inflated(payload: bytes, coding: str) -> bytes:
+    """The payload without a content coding; as it is where the coding isn't known or doesn't fit."""
+    bits = {"gzip": 31, "x-gzip": 31, "deflate": 47}.get(coding.strip().lower())
+    if bits is None:
+        return payload
+    for wbits in (bits, -15):  # some servers send bare deflate data
+        try:
+            return zlib.decompressobj(wbits).decompress(payload)
+        except zlib.error:
+            continue
+    return payload
+
+
+def entity(http: list[tuple[str, str]], payload: bytes) -> bytes:
+    """What a response's payload stands for: without its transfer and its content codings."""
+    own = {k.lower(): v for k, v in http}
+    if "chunked" in own.get("transfer-encoding", "").lower():
+        payload = unchunked(payload)
+    for coding in reversed(own.get("content-encoding", "").split(",")):
+        payload = inflated(payload, coding)
+    return payload
+
+
 def decoded(payload: bytes, content_type: str) -> str:
     found = _CHARSET.search(content_type.encode("latin-1", "replace")) or _CHARSET.search(payload[:2048])
     try:
@@ -72,7 +111,7 @@ def derived(record_id: str, uri: str, date: str, headers: list[tuple[str, str]],
     status, http, payload = split_http(block)
     kind = next((v for k, v in http if k.lower() == "content-type"), "text/html")
     source = dict(headers)
-    page = decoded(payload, kind) if re.match(r"text/|application/(?:xhtml\+)?xml", kind, re.I) else ""
+    page = decoded(entity(http, payload), kind) if re.match(r"text/|application/(?:xhtml\+)?xml", kind, re.I) else ""
     text = plain_text(page) if "html" in kind or "xml" in kind else page
     fields = [("source-http-status", status.partition(" ")[2])] + [(f"source-http-{k.lower()}", v) for k, v in http]
     fields += [(f"source-{k.lower()}", v) for k, v in headers] + [("outlink", f"{x} L a/@href") for x in links(page)]
@@ -97,15 +136,17 @@ def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n")).cast("binary")
     key = F.sha2(F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("")), uri), 256)
     own = F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", F.substring(key, 1, 8), F.substring(key, 9, 4), F.concat(F.lit("8"), F.substring(key, 14, 3)), F.concat(F.lit("8"), F.substring(key, 18, 3)), F.substring(key, 21, 12)), F.lit(">"))
-    none = F.array().cast("array<struct<name:string,value:string>>")
-    return pages.select("page_id", own.alias("record_id"), F.lit("response").alias("type"), uri.alias("uri"), F.lit(date).alias("date"), none.alias("headers"), F.concat(head, body).alias("block"))
+    digest = F.struct(F.lit("WARC-Payload-Digest").alias("name"), F.concat(F.lit("sha256:"), F.sha2(body, 256)).alias("value"))
+    info = F.struct(F.lit("WARC-Warcinfo-ID").alias("name"), F.lit(f"<urn:uuid:{uuid.uuid5(SPACE, date)}>").alias("value"))
+    return pages.select("page_id", own.alias("record_id"), F.lit("response").alias("type"), uri.alias("uri"), F.lit(date).alias("date"), F.array(digest, info).alias("headers"), F.concat(head, body).alias("block"))
 
 
 def derive(records: DataFrame, key: str | None = None) -> DataFrame:
     """Two records for each response of ``records``; other types have none.
 
     ``key`` names a column that is carried over. Null ids, targets and blocks are empty ones, and
-    repeated responses are derived again. An empty table gives an empty result.
+    repeated responses are derived again. An empty table gives an empty result. Only ``key`` and the
+    columns of a record are read and returned, so names of other columns can't clash.
     """
     short_batches(records.sparkSession)
     kept = f"{key} {records.schema[key].dataType.simpleString()}, " if key else ""
@@ -121,6 +162,7 @@ def derive(records: DataFrame, key: str | None = None) -> DataFrame:
             if out:
                 yield pd.DataFrame(out)
 
+    records = records.select(*([key] if key else []), "record_id", "type", "uri", "date", "headers", "block")
     return records.where("type = 'response'").mapInPandas(of, kept + RECORD)
 
 
