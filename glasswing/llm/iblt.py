@@ -27,6 +27,9 @@ RETRIES = 9
 SEGMENTS, MOST_BUCKETS = 128, 1 << 16
 
 
+SIDES = "array<struct<key:bigint,n:int>>"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -71,16 +74,20 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, one)
 
 
+def side(key: Column, n: Column) -> Column:
+    return F.struct(key.alias("key"), n.cast("int").alias("n"))
+
+
 def peel(cells: Column) -> Column:
-    """How many digests a difference holds, or null where peeling fails."""
+    """The digests that a difference holds, with 1 or -1 for the side they are on; null where peeling fails."""
 
     def step(s: Column) -> Column:
         pure = F.filter(s["cells"], lambda c: (F.abs(c["n"]) == 1) & (check(c["key"]) == c["sum"]))
         found = F.array_distinct(F.transform(pure, lambda c: entry(c["key"], c["n"])))
-        take = lambda es: F.struct(F.transform(s["cells"], lambda c, i: let(_third(i), lambda t: F.aggregate(F.filter(es, lambda e: F.get(e["at"], t) == i), c, lambda a, e: put(a, e, -1)))).alias("cells"), (s["found"] + F.size(es)).alias("found"), (F.size(es) == 0).alias("over"))
+        take = lambda es: F.struct(F.transform(s["cells"], lambda c, i: let(_third(i), lambda t: F.aggregate(F.filter(es, lambda e: F.get(e["at"], t) == i), c, lambda a, e: put(a, e, -1)))).alias("cells"), F.concat(s["found"], F.transform(es, lambda e: side(e["key"], e["n"]))).alias("found"), (F.size(es) == 0).alias("over"))
         return let(found, take)
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(False).alias("over"))
+    start = F.struct(cells.alias("cells"), F.array().cast(SIDES).alias("found"), F.lit(False).alias("over"))
     done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: F.when(s["over"], s).otherwise(step(s)))
     empty = lambda s: F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["sum"] == 0))
     return let(done, lambda s: F.when(empty(s), s["found"]))
@@ -105,11 +112,14 @@ def retried(parts: Column, level: Column) -> Column:
 
 
 def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    """How many digests only one of two documents has, from their sketches, larger ones where these fail."""
+    """The digests that only one of two documents has, from their sketches, larger ones where these fail.
+
+    ``array<struct<key, n>>``: ``n`` is 1 for a digest of the first document and -1 for one of the second.
+    """
     start = F.array(part(peel(subtract(cells_a, cells_b)), a, b))
     parts = F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES - 1)), start, lambda s, level: retried(s, level))
-    rest = lambda s: F.size(F.array_except(s["a"], s["b"])) + F.size(F.array_except(s["b"], s["a"]))
-    return F.aggregate(parts, F.lit(0), lambda n, s: n + F.coalesce(s["found"], rest(s)))
+    only = lambda x, y, n: F.transform(F.array_except(x, y), lambda d: side(d, F.lit(n)))
+    return F.flatten(F.transform(parts, lambda s: F.coalesce(s["found"], F.concat(only(s["a"], s["b"], 1), only(s["b"], s["a"], -1)))))
 
 
 def likeness(a: Column, b: Column, difference: Column) -> Column:
@@ -171,7 +181,7 @@ def compare(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "digests", "next_digests", paragraphs(F.col("edited")).alias("edited_digests"))
     docs = docs.withColumns({f"{n}_cells": sketch(F.col(f"{n}digests")) for n in ("", "edited_", "next_")})
     for name, other in (("edits", "edited_"), ("steps", "next_")):
-        docs = docs.withColumn(name, difference(F.col("digests"), F.col(f"{other}digests"), F.col("_cells"), F.col(f"{other}_cells")))
+        docs = docs.withColumn(name, F.size(difference(F.col("digests"), F.col(f"{other}digests"), F.col("_cells"), F.col(f"{other}_cells"))))
     return docs.select(
         "doc_id",
         "n_chars",

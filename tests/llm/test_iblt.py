@@ -57,10 +57,12 @@ def test_differences_of_every_size_are_recovered(spark):
     for n in (0, 1, 3, 10, 40, 200, 1500):
         both = [rng.getrandbits(63) for _ in range(n)]
         a, b = [rng.getrandbits(63) for _ in range(n // 2)], [rng.getrandbits(63) - (1 << 62) for _ in range(n)]
-        rows.append((both + a, b + both, len(a) + len(b)))
-    df = spark.createDataFrame(rows, "a array<long>, b array<long>, want int")
-    got = df.select("want", iblt.difference(F.col("a"), F.col("b"), iblt.sketch(F.col("a")), iblt.sketch(F.col("b"))).alias("d")).collect()
-    assert [r.d for r in got] == [r.want for r in got]
+        rows.append((both + a, b + both))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    got = df.select("a", "b", iblt.difference(F.col("a"), F.col("b"), iblt.sketch(F.col("a")), iblt.sketch(F.col("b"))).alias("d")).collect()
+    for r in got:
+        want = [(x, 1) for x in set(r.a) - set(r.b)] + [(x, -1) for x in set(r.b) - set(r.a)]
+        assert sorted((d.key, d.n) for d in r.d) == sorted(want)
 
 
 def test_small_sketches_fail_and_larger_ones_succeed(spark):
