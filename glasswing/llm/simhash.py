@@ -3,8 +3,8 @@
 Fingerprints are linked at ``radius`` or fewer differing bits. Equal fingerprints are one class
 before anything is compared. Classes meet in buckets: the 64 bits are cut into blocks, and as at
 most ``radius`` blocks can differ, each pair of linked classes agrees on all others, so a bucket
-for each choice of blocks that may agree loses nothing. In a bucket each fingerprint has a row of
-Hamming distances to reference fingerprints (pivots); by the triangle inequality no linked pair
+for each choice of blocks that may agree loses nothing. Each fingerprint has a row of Hamming
+distances to reference fingerprints (pivots), computed once and carried to its buckets; by the triangle inequality no linked pair
 has coordinates further apart than the radius, so pairs are discarded by their largest coordinate
 difference, and only survivors are verified bit by bit. A bucket gives out a spanning forest of
 its links, not all its pairs, which leaves the components as they are.
@@ -13,12 +13,13 @@ its links, not all its pairs, which leaves the components as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glasswing.llm import neardup
@@ -112,9 +113,21 @@ def forest(fps: np.ndarray, tables: np.ndarray, radius: int) -> list[tuple[np.nd
     return out
 
 
+def pivot_columns(fp: str, count: int = PIVOTS) -> list[Column]:
+    """A fingerprint's row of the pivot table: distances to ``count`` pivots, a byte each, as longs ``t0``, ``t1``, ..."""
+    distance = [F.bit_count(F.col(fp).bitwiseXOR(F.lit(int(p)))).cast("long") for p in pivots(count).view(np.int64)]
+    byte = [F.shiftleft(d, 8 * (i % 8)) for i, d in enumerate(distance)]
+    return [reduce(Column.bitwiseOR, byte[i : i + 8]).alias(f"t{i // 8}") for i in range(0, count, 8)]
+
+
+def pivot_rows(rows: pd.DataFrame, count: int) -> np.ndarray:
+    """The pivot table of rows with ``pivot_columns``, one int8 coordinate for each pivot."""
+    longs = np.column_stack([rows[f"t{i}"].to_numpy("<i8") for i in range(-(-count // 8))])
+    return np.ascontiguousarray(longs).view(np.int8).reshape(len(rows), -1)[:, :count]
+
+
 def bucket_links(batches: Iterator[pd.DataFrame], radius: int, count: int) -> Iterator[pd.DataFrame]:
-    """Links from rows ``(c, k, fp)`` sorted by ``c, k``; a run may go on over several batches."""
-    at = pivots(count)
+    """Links from rows ``(c, k, fp, t0, ...)`` sorted by ``c, k``; a run may go on over several batches."""
     held: list[pd.DataFrame] = []
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
@@ -122,9 +135,7 @@ def bucket_links(batches: Iterator[pd.DataFrame], radius: int, count: int) -> It
         first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (k[1:] != k[:-1]))))
         length = np.diff(np.append(first, len(fps)))
         run = np.repeat(np.arange(len(first)), length)
-        some = np.flatnonzero(np.repeat(length, length) > 1)
-        table = np.zeros((len(fps), len(at)), np.int8)
-        table[some] = np.bitwise_count(fps[some][:, None] ^ at[None, :]).astype(np.int8)
+        table = pivot_rows(rows, count)
         out = []
         short = np.flatnonzero((np.repeat(length, length) > 1) & (np.repeat(length, length) <= SHORT))
         for s in range(1, SHORT):
@@ -158,7 +169,8 @@ def near_links(fps: DataFrame, radius: int = 4, count: int = PIVOTS) -> DataFram
     """Links ``(a, b)`` that span the components of distinct fingerprints ``fps(fp)``."""
     spark = fps.sparkSession
     keys = masks(blocks_for(fps.count()), radius)
-    rows = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(keys)])).alias("x"), "fp").select("x.c", "x.k", "fp")
+    fps = fps.select("fp", *pivot_columns("fp", count))
+    rows = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(keys)])).alias("x"), *fps.columns).select("x.c", "x.k", *fps.columns)
     rows = rows.repartition(max(partitions(spark), 8), "c", "k").sortWithinPartitions("c", "k")
     return rows.mapInPandas(lambda it: bucket_links(it, radius, count), "a long, b long")
 

@@ -72,6 +72,18 @@ def test_links_of_clusters_and_random_fingerprints(spark):
     assert links.count() < 15 * 4 * len(fps)
 
 
+def test_pivot_columns_are_the_pivot_table(spark):
+    """Distances of 0 and 64 among them, and numbers of pivots that don't fill the last long."""
+    rng = np.random.default_rng(5)
+    first = int(simhash.pivots(1)[0])
+    fps = np.array([0, (1 << 64) - 1, first, ~first & (1 << 64) - 1, *rng.integers(0, 1 << 64, 50, dtype=np.uint64).tolist()], np.uint64)
+    rows = spark.createDataFrame([(x,) for x in fps.view(np.int64).tolist()], "fp long")
+    for count in (1, 8, 13, 24):
+        got = rows.select("fp", *simhash.pivot_columns("fp", count)).toPandas()
+        want = np.bitwise_count(got.fp.to_numpy().view(np.uint64)[:, None] ^ simhash.pivots(count)[None, :])
+        assert (simhash.pivot_rows(got, count) == want).all() and want.min() == 0 and want.max() == 64
+
+
 def test_each_number_of_blocks_meets_every_link():
     rng = np.random.default_rng(4)
     for blocks in (5, 6, 7, 8):
