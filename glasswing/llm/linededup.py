@@ -17,6 +17,8 @@ compared with the earliest one and a few others; lines that this settles, the bu
 near copies, need no other comparison there. Those still open are compared with all.
 
 Every step is written before the next one reads it, and deleted when nothing reads it any more.
+Arrays are never empty where they are exploded; the outer forms keep the optimizer from testing that
+first, which would compute each array twice.
 """
 
 from __future__ import annotations
@@ -31,12 +33,13 @@ from glasswing.llm.common import discard, written
 SIMILARITY = 0.8
 #: Buckets of token counts, and how many of them are one row while the array is put together.
 BUCKETS, ROW = 1 << 22, 1 << 11
-#: Tokens in buckets of more lines than this are frequent, and lines don't meet at one such token alone.
+#: Tokens in buckets of more occurrences than this are frequent, and lines don't meet at one such token alone.
 FREQUENT = 24
 #: Posting lists up to this length are compared whole; lines of longer ones at first with so many others.
 SHORT, LEADS = 24, 8
-_HASH = (1 << 56) - 1
 _END = 127 << 56
+#: White space in a line.
+SPACES = " \t\x0b\f\r"
 
 
 def rank(count: Column) -> Column:
@@ -44,6 +47,11 @@ def rank(count: Column) -> Column:
     return F.least(F.lit(126), F.floor(F.log2(count) * 4) + 1).cast("byte")
 
 
+def blank(line: Column) -> Column:
+    """Whether a line has no words; this looks at no more than the white space before the first one."""
+    return F.ltrim(line, F.lit(SPACES)) == ""
+
+
 def plain(line: Column) -> Column:
     """A line's words in lower case with one space between."""
     loose = line.startswith(" ") | line.endswith(" ")
@@ -64,26 +72,30 @@ def line_classes(docs: DataFrame) -> DataFrame:
     ``doc`` is the first part of the place as one number, for a rough comparison.
     """
     rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("text")).alias("d"), F.split("text", "\n").alias("ls"))
-    rows = rows.select("d", F.posexplode("ls").alias("line", "l")).withColumn("l", plain(F.col("l"))).where("l != ''")
+    rows = rows.select("d", F.posexplode_outer("ls").alias("line", "l")).where(~blank(F.col("l"))).withColumn("l", plain(F.col("l")))
     rows = rows.select(F.xxhash64("l").alias("a"), F.hash("l").alias("b"), F.struct("d.none", "d.doc", "d.text", "line").alias("at"), "l")
     rows = rows.groupBy("a", "b").agg(F.min(F.struct("at", "l")).alias("m"))
     out = rows.select("m.at", F.coalesce("m.at.doc", F.lit((1 << 63) - 1)).alias("doc"), "m.l")
     return written(out.withColumn("r", F.monotonically_increasing_id()), "lines-classes")
 
 
+def filled(rows: DataFrame, before: Column, size: int, zeros) -> DataFrame:
+    """Sorted structs ``(at, v)`` of column ``x`` as one array of all ``v``, and ``zeros`` where of ``size`` places after ``before`` some have none."""
+    rows = rows.withColumn("ends", F.concat(F.array(before.cast("int")), F.transform("x", lambda s: s["at"])))
+    parts = F.transform("x", lambda s, i: F.concat(zeros(s["at"] - F.get("ends", i) - 1), s["v"]))
+    return rows.withColumn("x", F.concat(F.flatten(parts), zeros(before + size - F.element_at("ends", -1)))).drop("ends")
+
+
 def token_ranks(classes: DataFrame) -> Column:
-    """The logarithm of each bucket's number of tokens, as one array of bytes."""
-    spark = classes.sparkSession
-    bucket = F.col("x").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    counted = classes.select(F.explode(tokens(F.col("l"))).alias("x")).groupBy(bucket.alias("b")).count()
-    ranked = counted.select("b", rank(F.col("count")).alias("v"))
-    every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("byte").alias("v"))
-    full = every.unionByName(ranked).groupBy("b").agg(F.max("v").alias("v"))
-    full = full.groupBy((F.col("b") / F.lit(ROW)).cast("int").alias("at")).agg(F.array_sort(F.collect_list(F.struct("b", "v"))).alias("x"))
-    full = full.select("at", F.transform("x", lambda s: s["v"]).alias("x"))
-    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]))
-    table = written(full.agg(whole.alias("x")), "lines-ranks")
-    return table.scalar()
+    """The logarithm of each bucket's number of words in all classes, as one array of bytes."""
+    bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    counted = classes.select(F.explode_outer(F.split("l", " ")).alias("w")).groupBy(bucket.alias("b")).count()
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("byte"), n.cast("int"))
+    one = F.struct(F.col("b").alias("at"), F.array(rank(F.col("count"))).alias("v"))
+    rows = counted.groupBy((F.col("b") / ROW).cast("int").alias("at")).agg(F.array_sort(F.collect_list(one)).alias("x"))
+    rows = filled(rows, F.col("at") * ROW - 1, ROW, zeros)
+    rows = rows.agg(F.array_sort(F.collect_list(F.struct("at", F.col("x").alias("v")))).alias("x"))
+    return written(filled(rows, F.lit(-1), BUCKETS // ROW, lambda n: zeros(n * ROW)), "lines-ranks").scalar()
 
 
 def most_missing(n: Column, similarity: float) -> Column:
@@ -109,16 +121,18 @@ def met_keys(classes: DataFrame, similarity: float) -> DataFrame:
 
     A line's keys are the rare tokens of its prefix and pairs of frequent ones.
     """
-    ranked = lambda x: F.get("ranks", x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+    ranked = lambda x: F.coalesce(F.get("ranks", x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("byte")).cast("long")
     code = lambda x: F.shiftleft(ranked(x), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
     edge = (math.floor(math.log2(FREQUENT) * 4) + 2) << 56
     rows = classes.withColumn("ranks", token_ranks(classes)).select("r", F.sort_array(F.transform(tokens(F.col("l")), code)).alias("o"))
     rows = rows.select("r", F.size("o").alias("n"), F.size(F.filter("o", lambda x: x < edge)).alias("h"), F.concat("o", F.array(F.lit(_END))).alias("o"))
+    rows = rows.withColumn("own", F.least("h", most_missing(F.col("n"), similarity) + 1))
     count = F.least(frequent_pairs(F.col("n"), F.col("h"), similarity), F.col("n") - F.col("h"))
-    own = F.transform(F.slice("o", F.lit(1), F.least("h", most_missing(F.col("n"), similarity) + 1)), lambda x, i: F.struct(i.alias("i"), x.bitwiseAND(F.lit(_HASH)).alias("x")))
-    first, second = F.slice("o", F.col("h") + 1, count), F.slice("o", F.col("h") + 2, count)
-    pairs = F.transform(F.zip_with(first, second, lambda a, b: F.xxhash64(a, b)), lambda x, i: F.struct((F.col("h") + i).alias("i"), x.alias("x")))
-    rows = rows.select("r", "h", F.explode(F.concat(own, pairs)).alias("p")).select("p.x", "r", "p.i", "h")
+    first = F.concat(F.slice("o", F.lit(1), F.col("own")), F.slice("o", F.col("h") + 1, count))
+    rows = rows.select("r", "h", "own", "o", first.alias("first")).select("r", "h", "own", "o", F.posexplode_outer("first").alias("at", "a"))
+    i = F.when(F.col("at") < F.col("own"), F.col("at")).otherwise(F.col("h") + F.col("at") - F.col("own"))
+    x = F.when(F.col("at") < F.col("own"), F.col("a")).otherwise(F.xxhash64("a", F.get("o", i + 1)))
+    rows = rows.select(x.alias("x"), "r", i.alias("i"), "h")
     return written(rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("x"))).where("k > 1"), "lines-met")
 
 
@@ -202,14 +216,14 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     docs = docs.select(*kept_columns).withColumn("text", F.coalesce("text", F.lit("")))
     classes = line_classes(docs)
     kept = classes.select("r", "at").join(removed_classes(classes, similarity), "r", "left_anti")
-    kept = kept.groupBy(F.coalesce("at.doc", F.lit(0)).alias("_doc"), F.col("at.none").alias("_none"), F.col("at.text").alias("_text")).agg(F.array_sort(F.collect_list("at.line")).alias("_kept"))
+    kept = kept.groupBy(F.coalesce("at.doc", F.lit(0)).alias("_doc"), F.col("at.none").alias("_none"), F.col("at.text").alias("_text")).agg(F.collect_list("at.line").alias("_kept"))
     kept = written(kept, "lines-kept")
     discard(classes)
     docs = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("_null", F.col("doc_id").isNull()).withColumn("_hash", F.xxhash64("text"))
     out = docs.join(kept, (F.col("_id") == F.col("_doc")) & (F.col("_null") == F.col("_none")) & (F.col("_hash") == F.col("_text")), "left")
     out = out.withColumn("_lines", F.split("text", "\n"))
-    blank = F.filter(F.transform("_lines", lambda x, i: F.when(~x.rlike(r"\S"), i)), lambda i: i.isNotNull())
-    stay = F.array_sort(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), blank))
+    empty = F.filter(F.transform("_lines", lambda x, i: F.when(blank(x), i)), lambda i: i.isNotNull())
+    stay = F.sort_array(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), empty))
     out = out.withColumn("_stay", stay).withColumn("n_lines", F.size("_lines")).withColumn("n_removed", F.size("_lines") - F.size("_stay"))
     out = out.withColumn("text", F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n"))
     return out.select(*kept_columns, "n_lines", "n_removed")
