@@ -37,6 +37,7 @@ BUCKETS, ROW = 1 << 22, 1 << 11
 FREQUENT = 24
 #: Posting lists up to this length are compared whole; lines of longer ones at first with so many others.
 SHORT, LEADS = 24, 8
+_HASH = (1 << 56) - 1
 _END = 127 << 56
 #: White space in a line.
 SPACES = " \t\x0b\f\r"
@@ -132,7 +133,7 @@ def met_keys(classes: DataFrame, similarity: float) -> DataFrame:
     rows = rows.select("r", "h", "own", "o", first.alias("first")).select("r", "h", "own", "o", F.posexplode_outer("first").alias("at", "a"))
     i = F.when(F.col("at") < F.col("own"), F.col("at")).otherwise(F.col("h") + F.col("at") - F.col("own"))
     x = F.when(F.col("at") < F.col("own"), F.col("a")).otherwise(F.xxhash64("a", F.get("o", i + 1)))
-    rows = rows.select(x.alias("x"), "r", i.alias("i"), "h")
+    rows = rows.select(x.bitwiseAND(F.lit(_HASH)).alias("x"), "r", i.alias("i"), "h")
     return written(rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("x"))).where("k > 1"), "lines-met")
 
 
