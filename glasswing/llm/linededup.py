@@ -146,7 +146,7 @@ def parities(t: Column) -> Column:
 def postings(classes: DataFrame, similarity: float) -> DataFrame:
     """``(x, k, v)``: ``met_keys`` with a class's place, number of tokens and parities."""
     met = met_keys(classes, similarity)
-    info = classes.join(met.select("r").distinct(), "r", "left_semi").select("r", "doc", tokens(F.col("l")).alias("t")).withColumn("n", F.size("t"))
+    info = classes.select("r", "doc", tokens(F.col("l")).alias("t")).withColumn("n", F.size("t"))
     info = info.select("r", "doc", "n", parities(F.col("t")).alias("s"))
     out = written(met.join(info, "r").select("x", "k", F.struct("doc", "r", "n", "i", "h", "s").alias("v")), "lines-posted")
     discard(met)
