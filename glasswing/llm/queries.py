@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glasswing.llm import ann, bpe, iblt, linededup, mixing, pii, quality, simhash, tokenbin, warc
+from glasswing.llm import ann, bpe, iblt, linededup, merkle, mixing, parsing, pii, quality, simhash, tokenbin, vectorcodes, warc
 from glasswing.llm.common import table
 
 #: The folder of the public vocabulary files; None: where the package of that name is installed.
@@ -106,6 +106,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(docs, bpe.read_ranks(vocabulary("byte_bpe_50k.tiktoken"))).drop("text")
 
 
+def op11_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vectorcodes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    digest = F.lit(vectorcodes.digest(books))
+    return coded.select("vec_id", vectorcodes.as_hex(F.col("codes")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    made = merkle.manifest(docs, found=merkle.without_line_feeds(F.col("doc_id"), F.col("text")))
+    out = made.proofs.select("doc_id", "leaf", "subroot", F.lit(made.root).alias("root"), merkle.proof(F.col("path")).alias("proof_sha256"), merkle.folded(F.col("found"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = parsing.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
@@ -117,6 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokenbin": op8_tokenbin,
     "op9_iblt": op9_iblt,
     "op10_bpe": op10_bpe,
+    "op11_vectorcodes": op11_vectorcodes,
+    "op12_merkle": op12_merkle,
+    "op13_parsing": op13_parsing,
 }
 
 ORACLES: dict[str, str] = {
