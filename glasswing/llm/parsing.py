@@ -14,10 +14,12 @@ the stretches around equal anchors are one reference block. A window's copies ar
 and against no other block can it be part of a factor. Blocks whose anchor only one text has are
 never made. A block's stretches are parsed in the order of ids against those of smaller ids.
 
-Anchors that more than ``SPLIT`` texts have would make blocks without bound. Their stretches are cut
-into single windows, each window a block of its own, which has one symbol: such a block is parsed
-by its smallest id, aggregated before the shuffle. Texts that are equal are one text; copies with a
-greater id lose all words of all windows without being parsed.
+Anchors that more than ``SPLIT`` texts have would make blocks without bound. Of their stretches only
+the distinct ones are references, each with the smallest id that has it, aggregated before the
+shuffle, and these are cut into single windows, each window a block of its own, which has one symbol:
+such a block is parsed by its smallest id. A stretch of a greater id than the first of equal ones is
+a factor as a whole. Texts that are equal are one text; copies with a greater id lose all words of
+all windows without being parsed.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ HELD = 1_000_000
 LAST = (1 << 63) - 1
 SPACES = b" \t\n\x0b\x0c\r"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.cumprod(np.full(WINDOW, 0xD6E8FEB86659FD93, np.uint64))
 
 
 class WordHashes(dict):
@@ -162,10 +165,12 @@ def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def stretches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(a, x, o, t, at, w)`` of rows ``(o, t, text, some, many)``.
+    """``(a, c, o, t, at, n, w)`` of rows ``(o, t, text, some, many)``.
 
-    For each stretch with an anchor ``a`` in ``some``, its first window's place and its windows
-    ``w``; for each window ``x`` of one with an anchor in ``many``, a row without ``w``.
+    For each stretch with an anchor ``a`` in ``some``: its first window's place, their number and
+    the windows ``w``. For each stretch of one in ``many``: the same with a hash ``c`` of its
+    windows in their place, and once for each ``c`` and group of texts a row without ``t`` that
+    has the windows and the smallest ``o``.
     """
     known = WordHashes()
     for batch in batches:
@@ -194,21 +199,31 @@ def pairs_in(x1: np.ndarray, x2: np.ndarray, y1: np.ndarray, y2: np.ndarray) ->
 
 def stretch_rows(o, t, text, first, end, a, begin, windows, some, many) -> Iterator[pa.RecordBatch]:
     """The rows of ``stretches_of`` for one group of texts; the windows of the i-th begin at ``begin[i]``."""
-    names = ["a", "x", "o", "t", "at", "w"]
+    names = ["a", "c", "o", "t", "at", "n", "w"]
 
     def ranges(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count = end[s] - first[s]
         return count, np.repeat(begin[text[s]] + first[s] - np.cumsum(count) + count, count) + np.arange(count.sum())
 
+    def rows(s: np.ndarray, c: pa.Array, t: pa.Array, w: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a[s]), c, pa.array(o[text[s]]), t, pa.array(first[s]), pa.array(end[s] - first[s]), w], names)
+
     s = np.flatnonzero(some)
     if len(s):
         count, index = ranges(s)
-        yield pa.RecordBatch.from_arrays([pa.array(a[s]), pa.nulls(len(s), pa.int64()), pa.array(o[text[s]]), pa.array(t[text[s]]), pa.array(first[s]), lists(signed(windows[index]), count, pa.int64())], names)
+        yield rows(s, pa.nulls(len(s), pa.int64()), pa.array(t[text[s]]), lists(signed(windows[index]), count, pa.int64()))
     s = np.flatnonzero(many)
     if len(s):
         count, index = ranges(s)
-        i = np.repeat(text[s], count)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a[s], count)), pa.array(signed(windows[index])), pa.array(o[i]), pa.array(t[i]), pa.array(index - begin[i]), pa.nulls(len(i), pa.list_(pa.int64()))], names)
+        begins = np.cumsum(count) - count
+        c = np.add.reduceat(windows[index] * _POWERS[np.arange(len(index)) - np.repeat(begins, count)], begins)
+        c = signed(c ^ (c >> np.uint64(31)))
+        yield rows(s, pa.array(c), pa.array(t[text[s]]), pa.nulls(len(s), pa.list_(pa.int64())))
+        order = np.lexsort((o[text[s]], c, a[s]))
+        new = np.concatenate(([True], (np.diff(c[order]) != 0) | (np.diff(a[s][order]) != 0)))
+        own = order[new]
+        count, index = ranges(s[own])
+        yield rows(s[own], pa.array(c[own]), pa.nulls(len(own), pa.int64()), lists(signed(windows[index]), count, pa.int64()))
 
 
 def factors(symbols: list[int], reference: list[int], index: dict[int, int]) -> list[tuple[int, int]]:
@@ -306,19 +321,31 @@ def duplicate_factors(rows: DataFrame, split: int = SPLIT) -> DataFrame:
     need = each.join(shared, F.col("a") == F.col("b")).groupBy("t").agg(some.alias("some"), many.alias("most"))
     need = written(need.join(texts, "t"), "parse-needed")
     met = rows.join(need, ["h", "o"]).select("o", "t", "text", "some", "most")
-    cut = written(met.mapInArrow(stretches_of, "a long, x long, o long, t long, at long, w array<long>"), "parse-stretches")
+    cut = written(met.mapInArrow(stretches_of, "a long, c long, o long, t long, at long, n long, w array<long>"), "parse-stretches")
     discard(found, shared, need)
-    whole = cut.where("w is not null").select("a", "o", "t", "at", "w").repartition(max(partitions(rows.sparkSession), 8), "a").sortWithinPartitions("a", "o")
-    long = whole.mapInArrow(parsed, "t long, at long, n long")
-    single = cut.where("w is null").select("a", "x", "o", "t", "at")
-    least = single.groupBy(F.col("a").alias("b"), F.col("x").alias("y")).agg(F.min("o").alias("first"))
-    short = single.join(least, (F.col("a") == F.col("b")) & (F.col("x") == F.col("y")) & (F.col("o") > F.col("first"))).select("t", "at", F.lit(1).cast("long").alias("n"))
+    whole = cut.where("c is null").select("a", "o", "t", "at", "w").repartition(max(partitions(rows.sparkSession), 8), "a").sortWithinPartitions("a", "o")
+    long = written(whole.mapInArrow(parsed, "t long, at long, n long"), "parse-long")
+    short = written(split_factors(cut), "parse-short")
     out = long.unionByName(short).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("f"))
     out = written(texts.join(out, "t", "left").select("h", "o", "f"), "parse-factors")
-    discard(cut, texts)
+    discard(cut, texts, long, short)
     return out
 
 
+def split_factors(cut: DataFrame) -> DataFrame:
+    """``(t, at, n)``: factors of the stretches of ``cut`` whose anchors too many texts have for a block."""
+    kinds = cut.where("t is null and c is not null").groupBy("a", "c").agg(F.min("o").alias("first"), F.first("w").alias("w"))
+    kinds = written(kinds, "parse-kinds")
+    each = kinds.select("a", "c", "first", F.posexplode("w").alias("i", "x"))
+    least = each.groupBy(F.col("a").alias("b"), F.col("x").alias("y")).agg(F.min("first").alias("least"))
+    late = each.join(least, (F.col("a") == F.col("b")) & (F.col("x") == F.col("y"))).where("first > least")
+    late = late.groupBy("a", "c").agg(F.collect_list(F.col("i").cast("long")).alias("late"))
+    kinds = written(kinds.select("a", "c", "first").join(late, ["a", "c"], "left"), "parse-kinds")
+    met = cut.where("t is not null and c is not null").select("a", "c", "o", "t", "at", "n").join(kinds, ["a", "c"])
+    own = F.transform(F.coalesce("late", F.array().cast("array<long>")), lambda i: F.struct((F.col("at") + i).alias("at"), F.lit(1).cast("long").alias("n")))
+    return met.select("t", F.explode(F.when(F.col("o") > F.col("first"), F.array(F.struct("at", "n"))).otherwise(own)).alias("f")).select("t", "f.at", "f.n")
+
+
 def dedup(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """The columns of ``docs`` with ``n_words``, ``n_removed``, ``kept`` and ``spans``.
 
