@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 def repeated(files: DataFrame, content: str = "hash") -> DataFrame:
     """Rows whose content occurs more than once, with ``copies``; null contents have no copies.
 
-    Counts are aggregated before the shuffle and joined back, so that a content that a third of all
-    rows share isn't gathered in one task, as a window over it would be.
+    Counts are aggregated before the shuffle and joined back. Where the counts are few they are
+    broadcast; where they aren't, a content of very many rows is one key of a join, which adaptive
+    execution splits, and which ``skew.repeated`` spreads by itself.
     """
     often = files.where(F.col(content).isNotNull()).groupBy(content).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     return files.join(often, content)

@@ -39,3 +39,30 @@ def numbered(rows: DataFrame, scope: list[str], order: list[Column | str], name:
     same = reduce(Column.__and__, [dealt[k].eqNullSafe(offsets[k]) for k in s], dealt["part"] == offsets["part"])
     extra = [(dealt["m"] + offsets["shift"]).alias(name)] + ([offsets["whole"].alias(total)] if total else [])
     return dealt.join(offsets, same).select(*[dealt["row"][c].alias(c) for c in kept], *extra)
+
+
+def around(rows: DataFrame, scope: list[str], order: list[Column | str], key: str, descending: list[bool] | None = None) -> DataFrame:
+    """Each row with the ``key`` of the one before and after it in its scope, around the ends.
+
+    Rows meet by the number of their neighbour's place, so no task holds a scope.
+    """
+    n = numbered(rows.select(F.struct("*").alias("row"), *[F.col(c).alias(f"s{i}") for i, c in enumerate(scope)], *[(F.col(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order)]), [f"s{i}" for i in range(len(scope))], [f"o{i}" for i in range(len(order))], "place", "total", descending)
+    s = [f"s{i}" for i in range(len(scope))]
+
+    def beside(step: int, name: str) -> DataFrame:
+        at = F.pmod(F.col("place") + step, F.col("total")).alias(f"at_{name}")
+        return n.select(*[F.col(k).alias(f"{k}_{name}") for k in s], at, F.col("row")[key].alias(name))
+
+    out = n
+    for step, name in ((1, "previous"), (-1, "next")):
+        other = beside(step, name)
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_{name}")) for k in s], F.col("place") == F.col(f"at_{name}"))
+        out = out.join(other, same)
+    return out.select(*[F.col("row")[c].alias(c) for c in rows.columns if c not in ("previous", "next")], "previous", "next")
+
+
+def places(rows: DataFrame, scope: list[str], order: list[Column | str], first: int, last: int, descending: list[bool] | None = None) -> DataFrame:
+    """Rows of each scope from one place of its order to another, in either direction, from 0."""
+    low, high = sorted((first, last))
+    out = numbered(rows.select(F.struct("*").alias("row"), *scope, *[(F.col(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order)]), scope, [f"o{i}" for i in range(len(order))], "place", None, descending)
+    return out.where(F.col("place").between(low, high)).select(*[F.col("row")[c].alias(c) for c in rows.columns])

@@ -43,9 +43,16 @@ def migrated(rows: DataFrame) -> DataFrame:
     return latest(moved, KEY, F.desc("scanned_at"), F.col("_was") != F.col("rel_path"), F.col("_was")).drop("_was")
 
 
-def upserted(stored: DataFrame, new: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """Stored rows with new ones in the place of those with the same key."""
-    return stored.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
+def upserted(stored: DataFrame, new: DataFrame, key: list[str] = KEY, order: list[str] | None = None) -> DataFrame:
+    """Stored rows with new ones in the place of those with the same key.
+
+    Of new rows that repeat a key the greatest by ``order`` stays, by default by all other columns as
+    they stand; it is found before the shuffle ends, so a key of very many rows is no load.
+    """
+    rest = [c for c in new.columns if c not in key]
+    best = F.max_by(F.struct(*rest), F.struct(*(order or rest))) if rest else F.lit(None)
+    last = new.groupBy(*key).agg(best.alias("_new")).select(*key, *[F.col("_new")[c].alias(c) for c in rest])
+    return stored.join(last.select(*key), key, "left_anti").unionByName(last)
 
 
 def get_or_compute(files: DataFrame, stored: DataFrame, compute: Callable[[DataFrame], DataFrame], key: list[str] = KEY) -> DataFrame:

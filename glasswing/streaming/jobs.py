@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -12,16 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from glasswing.operators.store import stale
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; on a local master without one, a temporary folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='glasswing-')}"
-    return where.rstrip("/")
+from glasswing.operators.tables import shared_folder
 
 
 def file_stream(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
@@ -94,3 +85,9 @@ class Progress(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         self.failed += event.exception is not None
+
+
+def drained(rows: DataFrame, out: str, checkpoint: str, wait: float = 0.0) -> None:
+    """Appends all that a stream has now to a Parquet folder and ends; a restart from the checkpoint goes on from there."""
+    time.sleep(wait)
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from glasswing.plans import catalogue
+from glasswing.plans import catalogue, mechanisms  # noqa: F401
 
 
 @pytest.fixture(scope="module")

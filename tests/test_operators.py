@@ -130,3 +130,35 @@ def test_file_operations(tmp_path):
     assert fileops.status(results) == 207 and fileops.status(results[1:]) == 500 and fileops.status(results[:1]) == 200
     os.utime(b / "file.jpg", (0, 0))
     assert fileops.prune(str(b), 90 * 86400, 100 * 86400) == 1
+
+
+def test_of_new_rows_that_repeat_a_key_the_last_stays(spark):
+    old = spark.createDataFrame([("r", "a", 1, "old"), ("r", "b", 1, "kept")], f"{KEY}, at int, v string")
+    new = spark.createDataFrame([("r", "a", 2, "z"), ("r", "a", 3, "a"), ("r", "a", 3, None), ("s", "a", 1, "n")] + [("r", "hot", i, "h") for i in range(300)], f"{KEY}, at int, v string")
+    got = {(r.root_id, r.rel_path): (r["at"], r.v) for r in store.upserted(old, new, order=["at", "v"]).collect()}
+    assert got == {("r", "a"): (3, "a"), ("r", "b"): (1, "kept"), ("s", "a"): (1, "n"), ("r", "hot"): (299, "h")}
+    assert store.upserted(old, new.limit(0)).count() == 2 and store.upserted(old, old.select("root_id", "rel_path", "at", "v")).count() == 2
+
+
+def test_one_path_in_two_roots_is_two_files(spark):
+    files = spark.createDataFrame([("r", "d/dog.jpg", "dog.jpg", False), ("s", "d/dog.jpg", "dog.jpg", False)], f"{KEY}, name string, is_dir boolean")
+    tags = spark.createDataFrame([("s", "d/dog.jpg", "dog"), ("t", "d/dog.jpg", "dog")], f"{KEY}, label string")
+    texts = spark.createDataFrame([], f"{KEY}, text string")
+    assert [tuple(r) for r in search.search(files, tags, texts, "dog").collect()] == [("r", "d/dog.jpg", 1), ("s", "d/dog.jpg", 1)]
+    assert [tuple(r) for r in search.search(files.withColumn("name", F.lit("x")), tags, texts, "dog").collect()] == [("s", "d/dog.jpg", 2)]
+
+
+def test_seldom_used_operators(spark):
+    from glasswing.functions import media
+
+    files = spark.createDataFrame([("r", "d", "a.jpg", "image", "d/a.jpg", False), ("r", "d", "b.jpg", "image", "d/b.jpg", True), ("r", "e", "z.jpg", "image", "e/z.jpg", False), ("r", "f", "t.txt", "other", "f/t.txt", True)], "root_id string, parent string, name string, media_type string, rel_path string, cached boolean")
+    assert {(r.parent, r.rel_path) for r in listing.first_image(files).collect()} == {("d", "d/b.jpg"), ("e", "e/z.jpg")}
+    assert {r.parent for r in listing.directories_with_images(files).collect()} == {"d", "e"}
+    results = spark.createDataFrame([(1, None), (2, "bad")], "i int, error string")
+    status = lambda where: listing.outcome(results.where(where)).head().status
+    assert [status("true"), status("i = 2"), status("i = 1"), status("false")] == [207, 500, 200, 200]
+    assert spark.range(3).select(store.queue_status(F.col("id"), F.lit(1)).alias("n")).agg(F.collect_list("n")).head()[0] == [0, 0, 1]
+    hashes = spark.createDataFrame([("s", "c"), ("", "c"), (None, ""), (None, None)], "a string, b string")
+    assert [r.h for r in hashes.select(duplicates.either_hash(F.col("a"), F.col("b")).alias("h")).collect()] == ["s", "c", None, None]
+    names = spark.createDataFrame([("x.MKV",), ("y.unknown",)], "n string")
+    assert [r.c for r in names.select(media.content_type(F.col("n")).alias("c")).collect()] == ["video/x-matroska", None]
