@@ -14,7 +14,7 @@ the stretches around equal anchors are one reference block. A window's copies ar
 and against no other block can it be part of a factor. Blocks whose anchor only one text has are
 never made. A block's stretches are parsed in the order of ids against those of smaller ids.
 
-Anchors that more than ``SPLIT`` texts have would make blocks without bound. Of their stretches only
+Anchors of more than ``SPLIT`` stretches would make blocks without bound. Of their stretches only
 the distinct ones are references, each with the smallest id that has it, aggregated before the
 shuffle, and these are cut into single windows, each window a block of its own, which has one symbol:
 such a block is parsed by its smallest id. A stretch of a greater id than the first of equal ones is
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from glasswing.llm.common import discard, partitions, written
 
 WINDOW, ANCHOR = 13, 4
-#: Texts that share an anchor's block at most.
+#: Stretches of an anchor's block at most.
 SPLIT = 2_000
 #: Bytes of a text that are split into words at once, and words that are hashed at once.
 PIECE, WORDS = 1 << 20, 400_000
@@ -151,7 +151,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(o, h, anchors)`` of rows ``(o, h, text)``: each anchor once."""
+    """``(o, h, anchors)`` of rows ``(o, h, text)``: each anchor once, with the number of its stretches."""
     known = WordHashes()
     for batch in batches:
         o, h, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
@@ -161,7 +161,10 @@ def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, anchor = text[order], anchor[order]
             new = np.concatenate(([True], (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]))) if len(text) else np.zeros(0, bool)
             counts = np.bincount(text[new], minlength=len(held))
-            yield pa.RecordBatch.from_arrays([o.slice(start, end - start), h.slice(start, end - start), lists(signed(anchor[new]), counts, pa.int64())], ["o", "h", "anchors"])
+            times = np.diff(np.append(np.flatnonzero(new), len(new)))
+            each = pa.StructArray.from_arrays([pa.array(signed(anchor[new])), pa.array(times)], ["a", "k"])
+            offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+            yield pa.RecordBatch.from_arrays([o.slice(start, end - start), h.slice(start, end - start), pa.ListArray.from_arrays(offsets, each)], ["o", "h", "anchors"])
 
 
 def stretches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,10 +315,10 @@ def kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def duplicate_factors(rows: DataFrame, split: int = SPLIT) -> DataFrame:
     """``(h, o, f)``: each text of ``rows(o, h, text)`` with its smallest order and its factors, null if it has none."""
-    found = written(rows.mapInArrow(anchors_of, "o long, h binary, anchors array<long>"), "parse-anchors")
+    found = written(rows.mapInArrow(anchors_of, "o long, h binary, anchors array<struct<a:long,k:long>>"), "parse-anchors")
     texts = written(found.groupBy("h").agg(F.min("o").alias("o")).withColumn("t", F.monotonically_increasing_id()), "parse-texts")
-    each = found.join(texts, ["h", "o"]).select("t", F.explode("anchors").alias("a"))
-    shared = each.groupBy("a").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count(F.lit(1)).alias("k")).where("low <> high")
+    each = found.join(texts, ["h", "o"]).select("t", F.inline("anchors"))
+    shared = each.groupBy("a").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.sum("k").alias("k")).where("low <> high")
     shared = written(shared.select(F.col("a").alias("b"), (F.col("k") > split).alias("many")), "parse-shared")
     some, many = (F.collect_set(F.when(c, F.col("a"))) for c in (~F.col("many"), F.col("many")))
     need = each.join(shared, F.col("a") == F.col("b")).groupBy("t").agg(some.alias("some"), many.alias("most"))
@@ -366,3 +369,17 @@ def dedup(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     schema = met.select("row", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept"), span).schema
     out = met.mapInArrow(kept_words, schema)
     return out.select(*[F.col("row")[c].alias(c) for c in own], "n_words", "n_removed", "kept", "spans")
+
+
+#: DuckDB SQL for the digests of ``dedup``, by a table of all windows.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS ws FROM {docs}),
+g AS (SELECT doc_id, k, array_to_string(ws[k:k + 12], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS k FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s),
+c AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS k FROM g JOIN f USING (s) WHERE first < doc_id),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM d),
+r AS (SELECT w.doc_id, count(*) AS n_words, count(c.k) AS n_removed, coalesce(string_agg(w.word, ' ' ORDER BY w.k) FILTER (c.k IS NULL), '') AS kept
+      FROM w LEFT JOIN c ON c.doc_id = w.doc_id AND c.k = w.k GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
