@@ -152,7 +152,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = RER
     queries = rows.where(F.col("vec_id") % every == 0)
     asked = max(1, -(-queries.count() // QUERIES))
     queries = queries.select("vec_id", "n", "v", F.pmod(F.xxhash64("vec_id", "n"), F.lit(asked)).cast("int").alias("qb"))
-    shared = spark.sparkContext.broadcast(books.astype(np.float32))
+    shared = spark.sparkContext.broadcast(books)  # doubles: single floats overflow where components are large
 
     def scored(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         out = {x: [] for x in ("query_id", "qn", "vec_id", "n", "h", "near")}
@@ -162,8 +162,9 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = RER
             codes = np.frombuffer(b"".join(i.codes), np.uint8).reshape(len(i), -1)
             ids, ns, hs, norm = i.vec_id.to_numpy(), i.n.to_numpy(), i.h.to_numpy(), i.norm.to_numpy()
             for v, query, qn, most in zip(q.v, q.vec_id, q.n, q.most, strict=True):
-                table = shared.value @ np.asarray(v, np.float32)
+                table = shared.value @ np.asarray(v)
                 near = norm - 2 * sum(table[m][codes[:, m]] for m in range(codes.shape[1]))
+                near[np.isnan(near)] = -math.inf  # where even doubles overflow, a row is reranked rather than lost
                 best = np.flatnonzero((near <= most) & ((ids != query) | (ns != qn)))
                 best = best[np.argsort(near[best], kind="stable")[:rerank]]
                 for name, x in (("query_id", np.full(len(best), query)), ("qn", np.full(len(best), qn)), ("vec_id", ids[best]), ("n", ns[best]), ("h", hs[best]), ("near", near[best])):

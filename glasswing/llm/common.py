@@ -75,6 +75,17 @@ def uniform(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names for an operator's own columns that none of ``taken`` has, in any case."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def short_batches(spark: SparkSession, rows: int = 500) -> None:
     """Python workers get at most so many rows at once, as a row may hold a very long text."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -211,8 +211,8 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     an id only, the one with the smaller hash of the text comes first, and null ids come last. A
     document that loses all lines stays with an empty text. Columns of these names are replaced.
     """
-    if not 0.5 <= similarity <= 1:
-        raise ValueError("similarity must be between 0.5 and 1")
+    if not 0.5 < similarity <= 1:  # at 0.5 two lines may have as many gaps as common tokens
+        raise ValueError("similarity must be more than 0.5, and 1 at most")
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*kept_columns).withColumn("text", F.coalesce("text", F.lit("")))
     classes = line_classes(docs)
@@ -220,14 +220,15 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     kept = kept.groupBy(F.coalesce("at.doc", F.lit(0)).alias("_doc"), F.col("at.none").alias("_none"), F.col("at.text").alias("_text")).agg(F.collect_list("at.line").alias("_kept"))
     kept = written(kept, "lines-kept")
     discard(classes)
-    docs = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("_null", F.col("doc_id").isNull()).withColumn("_hash", F.xxhash64("text"))
+    rest = [c for c in kept_columns if c != "text"]
+    docs = docs.select(F.struct(*rest).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.xxhash64("text").alias("_hash"))
     out = docs.join(kept, (F.col("_id") == F.col("_doc")) & (F.col("_null") == F.col("_none")) & (F.col("_hash") == F.col("_text")), "left")
     out = out.withColumn("_lines", F.split("text", "\n"))
     empty = F.filter(F.transform("_lines", lambda x, i: F.when(blank(x), i)), lambda i: i.isNotNull())
     stay = F.sort_array(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), empty))
     out = out.withColumn("_stay", stay).withColumn("n_lines", F.size("_lines")).withColumn("n_removed", F.size("_lines") - F.size("_stay"))
     out = out.withColumn("text", F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n"))
-    return out.select(*kept_columns, "n_lines", "n_removed")
+    return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in kept_columns], "n_lines", "n_removed")
 
 
 #: DuckDB SQL for ``dedup`` by comparing all lines that share a word.

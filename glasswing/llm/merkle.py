@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from glasswing.llm.common import shared_dir, written
 from glasswing.operators.ordering import numbered
+from glasswing.plans.catalogue import CRC_TABLE, crc32_sql
 
 FAN = 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -137,3 +138,39 @@ def without_line_feeds(doc_id: Column, text: Column) -> Column:
     """The text, without its line feeds where 2 divides the CRC-32 of the id; what a careless copy does."""
     harmed = F.crc32(doc_id.cast("string").cast("binary")) % 2 == 0
     return F.when(F.coalesce(harmed, F.lit(False)), F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+
+
+def _value(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_value, (*FIELDS[:-1], text))) + ")"
+
+
+#: DuckDB SQL for the proofs, folded with texts that have lost line feeds; ids must be distinct.
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_leaf("text")} AS leaf,
+                            {_leaf("CASE WHEN " + crc32_sql("d") + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS found
+      FROM (SELECT *, hex(encode(doc_id::VARCHAR)) AS d FROM {{docs}}), ({CRC_TABLE})),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY source) AS n,
+             dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM d),
+t AS (SELECT 0 AS lv, s, p, n, leaf AS h FROM l
+      UNION ALL SELECT lv + 1, s, p // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY p)) FROM t WHERE n > 1 GROUP BY lv, s, p // 3),
+u AS (SELECT 0 AS lv, s AS p, count(*) OVER () AS n, h FROM t WHERE n = 1
+      UNION ALL SELECT lv + 1, p // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY p)) FROM u WHERE n > 1 GROUP BY lv, p // 3),
+o AS (SELECT lv, s, p // 3 AS q, list({{{{'p': p, 'h': h}}}} ORDER BY p) AS run FROM t WHERE n > 1 GROUP BY lv, s, p // 3
+      UNION ALL SELECT 1000 + lv, -1, p // 3, list({{{{'p': p, 'h': h}}}} ORDER BY p) FROM u WHERE n > 1 GROUP BY lv, p // 3),
+b AS (SELECT doc_id, leaf, s, CASE WHEN n > 1 THEN 0 ELSE 1000 END AS lv, CASE WHEN n > 1 THEN s ELSE -1 END AS tree, CASE WHEN n > 1 THEN p ELSE s END AS p,
+             CASE WHEN n > 1 THEN n ELSE (SELECT max(n) FROM u) END AS n, found AS now, '' AS proof FROM l
+      UNION ALL
+      SELECT doc_id, leaf, b.s, CASE WHEN b.lv < 1000 AND (n + 2) // 3 = 1 THEN 1000 ELSE b.lv + 1 END,
+             CASE WHEN (n + 2) // 3 = 1 THEN -1 ELSE tree END,
+             CASE WHEN b.lv < 1000 AND (n + 2) // 3 = 1 THEN b.s ELSE p // 3 END,
+             CASE WHEN b.lv < 1000 AND (n + 2) // 3 = 1 THEN (SELECT max(n) FROM u) ELSE (n + 2) // 3 END,
+             sha256(array_to_string(list_transform(run, lambda x: CASE WHEN x.p = b.p THEN now ELSE x.h END), '')),
+             proof || array_to_string(list_transform(list_filter(run, lambda x: x.p <> b.p), lambda x: x.h), '')
+      FROM b JOIN o ON o.lv = b.lv AND o.s = b.tree AND o.q = b.p // 3 WHERE n > 1)
+SELECT doc_id, leaf, t.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = r.h AS verified
+FROM b JOIN t ON t.s = b.s AND t.n = 1 JOIN (SELECT h FROM u WHERE n = 1) r ON true WHERE b.lv >= 1000 AND b.n = 1
+"""

@@ -53,26 +53,28 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs:
 
     Null and empty texts are replicated like any other. Rows that repeat an id repeat equally
     often; a null id counts as the empty string. An empty table gives an empty result. Columns of
-    these names in ``docs`` are replaced.
+    these names in ``docs`` are replaced; columns of any other name stay as they are.
     """
-    docs = docs.drop("copy", "shuffle_key")
+    kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     rate = written(rates(docs, weights, epochs, default), "mixing-rates")
-    own = rate.select(F.col("source").alias("_source"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
+    own = rate.select("source", "parts", "cdf")
+    rows = docs.select(F.struct(*kept).alias("row"), F.col("source").alias("of"), F.col("doc_id").alias("id"))
     if rate.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES:
-        rows = docs.join(F.broadcast(own), docs["source"].eqNullSafe(own["_source"]))
+        rows = rows.join(F.broadcast(own), F.col("of").eqNullSafe(F.col("source")))
     else:
-        salted = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        docs = docs.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        rows = docs.join(salted, docs["source"].eqNullSafe(salted["_source"]) & (docs["_s"] == salted["_salt"])).drop("_s", "_salt")
+        salted = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        rows = rows.join(salted, F.col("of").eqNullSafe(F.col("source")) & (F.col("s") == F.col("salt")))
 
     def drawn(part):
-        u = uniform(seed, part, F.col("doc_id"))
-        return F.size(F.filter("_cdf", lambda c: c <= u))
-
-    count = F.aggregate(F.sequence(F.lit(0), F.col("_parts") - 1), F.lit(0), lambda a, part: a + drawn(part))
-    rows = rows.withColumn("_count", count).where("_count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
-    key = (uniform(seed, "order", F.col("doc_id"), F.col("copy")) * F.lit(float(1 << 52))).cast("long")
-    return rows.drop("_source", "_parts", "_cdf", "_count").withColumn("shuffle_key", key).orderBy("shuffle_key", "doc_id", "copy")
+        u = uniform(seed, part, F.col("id"))
+        return F.size(F.filter("cdf", lambda c: c <= u))
+
+    count = F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0), lambda a, part: a + drawn(part))
+    rows = rows.select("row", "id", count.alias("n")).where("n > 0").select("row", "id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    key = (uniform(seed, "order", F.col("id"), F.col("copy")) * F.lit(float(1 << 52))).cast("long")
+    rows = rows.withColumn("shuffle_key", key).orderBy("shuffle_key", "id", "copy")
+    return rows.select(*[F.col("row")[c].alias(c) for c in kept], "copy", "shuffle_key")
 
 
 #: DuckDB SQL for ``replicate`` with equal weights, one epoch and seed 1.

@@ -317,11 +317,11 @@ def find(docs: DataFrame, trees: Trees | None = None, text: str = "text") -> Dat
     ``k`` is the index in ``KINDS``, places are code points, ends exclusive. ``found`` holds all of
     ``base`` and the selected candidates that overlap no base span and no likelier candidate.
     Null texts are empty and have none; rows that repeat an id stay as
-    they are. Columns of these names in ``docs`` are replaced.
+    they are. Columns of these names in ``docs`` are replaced; columns of any other name stay.
     """
     trees = trees or model(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("base", "found")]
-    df = with_candidates(with_base(docs.select(*kept).withColumn("_text", text_of(text)), "_text"), "_text")
+    df = with_candidates(with_base(docs.select(F.struct(*kept).alias("row"), text_of(text).alias("_text")), "_text"), "_text")
     df = df.withColumn("base", F.concat(*[F.transform(f"_base_{kind}", _of_kind(k)) for k, kind in enumerate(KINDS)]))
     scored = F.transform("_candidates", lambda c: F.struct(c["s"], c["e"], c["k"], trees.score(F.concat(F.array(c["k"].cast("double")), c["f"])).alias("p")))
     cut = F.lit(math.inf)
@@ -342,7 +342,7 @@ def find(docs: DataFrame, trees: Trees | None = None, text: str = "text") -> Dat
     added = F.filter("_all", lambda x: (x["p"] < cut) & ~beaten(x))
     found = F.concat("base", F.transform(added, lambda x: F.struct(x["k"], x["s"], x["e"])))
     df = df.withColumn("found", F.when(F.size("_all") == 0, F.col("base")).otherwise(F.array_sort(found)))
-    return df.select(*kept, "base", "found")
+    return df.select(*[F.col("row")[c].alias(c) for c in kept], "base", "found")
 
 
 def listed(spans: Column) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glasswing.llm.common import short_batches
+from glasswing.llm.common import fresh, short_batches
 
 #: Buckets of hashed features.
 BUCKETS = 1 << 18
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal |
 def score(docs: DataFrame, model: Ordinal | None) -> DataFrame:
     """Adds ``expected_grade`` and ``tail_probability``, that of the best grade; nulls without a model.
 
-    Null texts are scored as empty ones.
+    Null texts are scored as empty ones. Columns of the two names are replaced, others stay.
     """
     if model is None:
         return docs.withColumn("expected_grade", F.lit(None).cast("double")).withColumn("tail_probability", F.lit(None).cast("double"))
@@ -165,8 +165,9 @@ def score(docs: DataFrame, model: Ordinal | None) -> DataFrame:
             yield pa.StructArray.from_arrays([pa.array(tails.sum(1)), pa.array(tails[:, -1])], ["grade", "tail"])
 
     of.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    out = docs.withColumn("_q", F.arrow_udf(of, "struct<grade:double,tail:double>")(F.coalesce("text", F.lit(""))))
-    return out.withColumn("expected_grade", F.col("_q.grade")).withColumn("tail_probability", F.col("_q.tail")).drop("_q")
+    (q,) = fresh([*docs.columns, "expected_grade", "tail_probability"], "_q")
+    out = docs.withColumn(q, F.arrow_udf(of, "struct<grade:double,tail:double>")(F.coalesce("text", F.lit(""))))
+    return out.withColumn("expected_grade", F.col(q)["grade"]).withColumn("tail_probability", F.col(q)["tail"]).drop(q)
 
 
 def select(docs: DataFrame, labels: DataFrame, tail: float = 0.65, sample: int = SAMPLE) -> DataFrame:

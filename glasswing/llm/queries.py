@@ -88,13 +88,14 @@ def op9_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame, data: bytes) -> DataFrame:
-    """Adds what the contract asks of ids and of what they decode to."""
+    """Adds what the contract asks of ids and of what they decode to; columns of these names are replaced, others stay."""
     import public_tokenizers
 
-    out = bpe.encode(docs, data, public_tokenizers.PATTERN)
+    kept = [c for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
+    out = bpe.encode(docs.select(F.struct(*kept).alias("row"), "text"), data, public_tokenizers.PATTERN)
     out = out.withColumn("decoded", bpe.decode(F.col("ids"), data, docs.sparkSession))
     return out.select(
-        *docs.columns,
+        *[F.col("row")[c].alias(c) for c in kept],
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -144,4 +145,7 @@ ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE.format(docs="documents"),
     "op6_ann": ann.ORACLE.format(vectors="embeddings"),
     "op4_linededup": linededup.ORACLE.format(docs="documents"),
+    "op11_vectorcodes": vectorcodes.ORACLE.format(vectors="embeddings"),
+    "op12_merkle": merkle.ORACLE.format(docs="documents"),
+    "op13_parsing": parsing.ORACLE.format(docs="documents"),
 }

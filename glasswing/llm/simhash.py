@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glasswing.llm import neardup
-from glasswing.llm.common import partitions, short_batches, written
+from glasswing.llm.common import fresh, partitions, short_batches, written
 from glasswing.llm.components import connected_components
 
 PIVOTS = 24
@@ -203,9 +203,11 @@ def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 5, similarity: flo
     Each row is decided by itself, whether its ``doc_id`` is repeated or null. The row with the
     smallest id stays, nulls last, then the one with the smallest hash of the text. Wordless texts,
     null ones among them, are copies of each other. An empty table gives an empty result. Columns
-    whose names begin with ``_`` are the operator's own.
+    of any name stay as they are.
     """
-    own = neardup.with_prefixes(with_fingerprint(docs, "_fp", shingle=shingle), similarity, shingle)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    own = docs.select(F.struct(*rest, F.lit(None).cast("int").alias(*fresh(rest, "none"))).alias("row"), "doc_id", "text")
+    own = neardup.with_prefixes(with_fingerprint(own, "_fp", shingle=shingle), similarity, shingle)
     own = written(own.withColumn("_r", F.monotonically_increasing_id()), "neardup")
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("h"), F.col("_r").alias("r"))
     best = own.groupBy("_s.c").agg(F.min(row).alias("row"), F.min("_fp").alias("fp"), F.max("_s.n").alias("n"))
@@ -221,4 +223,4 @@ def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 5, similarity: flo
     of = best.join(label.select(F.col("node").alias("r"), "label"), "r").groupBy("label").agg(F.min("row").alias("m")).select(F.col("m.r").alias("r"))
     alone = best.join(label.select(F.col("node").alias("r")), "r", "left_anti").select("r")
     kept = of.unionByName(alone)
-    return own.join(kept.withColumnRenamed("r", "_r"), "_r", "left_semi").select(*docs.columns)
+    return own.join(kept.withColumnRenamed("r", "_r"), "_r", "left_semi").select(*[F.col("row")[c].alias(c) if c in rest else F.col(c) for c in docs.columns])

@@ -186,3 +186,29 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
     sums = written(sums.select("of", long.alias("label_error")), "codes-labels")
     out = coded.join(sums, label.eqNullSafe(F.col("of")))
     return out.select(*[F.col("row")[c].alias(c) for c in kept], "codes", "error", "label_error"), books
+
+
+_NEAR = """
+n{k} AS (SELECT vec_id, m, arg_min(e, d * 64 + e) AS e, min(d) AS d FROM (
+         SELECT x.vec_id, x.m, y.e, list_sum(list_transform(list_zip(x.x, y.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p x JOIN b{k} y USING (m)) GROUP BY vec_id, m)"""
+_BOOK = """
+b{j} AS (SELECT m, e, coalesce(s.x, b.x) AS x FROM b{k} b LEFT JOIN (
+         SELECT m, e, list(v ORDER BY i) AS x FROM (
+           SELECT m, e, i, ((sum(v) - (sum(v) % count(*) + count(*)) % count(*)) // count(*))::BIGINT AS v FROM (
+             SELECT n.m, n.e, unnest(p.x) AS v, unnest(range(1, len(p.x) + 1)) AS i FROM n{k} n JOIN p USING (vec_id, m)) GROUP BY m, e, i) GROUP BY m, e) s USING (m, e))"""
+#: DuckDB SQL for the digests of ``compress`` with the usual parameters, for vectors of one length and distinct ids.
+ORACLE = (
+    """
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM {vectors}
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, m, v[m * len(v) // 16 + 1:(m + 1) * len(v) // 16] AS x FROM k, range(16) r(m)),
+o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT 64),
+b0 AS (SELECT m, e, x FROM p JOIN o USING (vec_id)),"""
+    + ",".join([_NEAR.format(k=0), _BOOK.format(j=1, k=0), _NEAR.format(k=1), _BOOK.format(j=2, k=1), _NEAR.format(k=2)])
+    + """,
+c AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY m) AS code, sum(d)::BIGINT AS error FROM n2 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY m, e)) FROM b2) AS codebooks_sha256
+FROM c JOIN k USING (vec_id)
+"""
+)

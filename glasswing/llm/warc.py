@@ -15,6 +15,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark import TaskContext
@@ -33,6 +34,7 @@ _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fie
 _TAG = re.compile(r"<[!/?A-Za-z][^<>]*>")
 _BLANK = re.compile(r"[^\S\n]+")
 _LINK = re.compile(r"<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s<>\"']+))", re.I)
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 
 
@@ -52,11 +54,12 @@ def links(page: str) -> list[str]:
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
-    """Status line, headers and payload of a response's block; a block without headers is all payload."""
+    """Status line, headers and payload of a response's block; a block without headers is all payload. Lines may end in a bare LF."""
     if not block.startswith(b"HTTP/"):
         return "", [], block
-    head, _, payload = block.partition(b"\r\n\r\n")
-    status, *lines = head.decode("latin-1").split("\r\n")
+    end = _HEAD_END.search(block)
+    head, payload = (block[: end.start()], block[end.end() :]) if end else (block, b"")
+    status, *lines = re.split(r"\r?\n", head.decode("latin-1"))
     return status, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], payload
 
 
@@ -76,15 +79,24 @@ def unchunked(payload: bytes) -> bytes:
 
 
 def inflated(payload: bytes, coding: str) -> bytes:
-    """The payload without a content coding; as it is where the coding isn't known or doesn't fit."""
+    """The payload without a content coding, all its gzip members; as it is where the coding isn't known or doesn't fit.
+
+    What follows the last whole member and is none itself is left out. The whole payload is held.
+    """
     bits = {"gzip": 31, "x-gzip": 31, "deflate": 47}.get(coding.strip().lower())
     if bits is None:
         return payload
     for wbits in (bits, -15):  # some servers send bare deflate data
+        out, left = [], payload
         try:
-            return zlib.decompressobj(wbits).decompress(payload)
+            while left:
+                member = zlib.decompressobj(wbits)
+                out.append(member.decompress(left))
+                left = member.unused_data if bits == 31 else b""
+            return b"".join(out)
         except zlib.error:
-            continue
+            if out:
+                return b"".join(out)
     return payload
 
 
@@ -109,7 +121,7 @@ def decoded(payload: bytes, content_type: str) -> str:
 def derived(record_id: str, uri: str, date: str, headers: list[tuple[str, str]], block: bytes) -> list[dict]:
     """The metadata and the conversion record of one response."""
     status, http, payload = split_http(block)
-    kind = next((v for k, v in http if k.lower() == "content-type"), "text/html")
+    kind = next((v for k, v in http if k.lower() == "content-type"), "text/html").lower()
     source = dict(headers)
     page = decoded(entity(http, payload), kind) if re.match(r"text/|application/(?:xhtml\+)?xml", kind, re.I) else ""
     text = plain_text(page) if "html" in kind or "xml" in kind else page
@@ -172,18 +184,16 @@ def serialized(record_id: str, kind: str, uri: str, date: str, headers: list[tup
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parsed(data: bytes) -> Iterator[dict]:
-    """The records of an uncompressed WARC file."""
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        _, *lines = data[at:stop].decode().split("\r\n")
-        head = [(k, v.strip()) for k, _, v in (x.partition(":") for x in lines)]
+def parsed(data: BinaryIO) -> Iterator[dict]:
+    """The records of an uncompressed WARC stream, one at a time."""
+    fixed = {"warc-type", "warc-record-id", "warc-date", "warc-target-uri", "content-length"}
+    while version := data.readline():
+        if not version.strip():
+            continue
+        lines = list(iter(lambda: data.readline().rstrip(b"\r\n"), b""))
+        head = [(k, v.strip()) for k, _, v in (x.decode().partition(":") for x in lines)]
         own = {k.lower(): v for k, v in head}
-        size = int(own["content-length"])
-        fixed = {"warc-type", "warc-record-id", "warc-date", "warc-target-uri", "content-length"}
-        yield {"record_id": own["warc-record-id"], "type": own["warc-type"], "uri": own.get("warc-target-uri", ""), "date": own["warc-date"], "headers": [h for h in head if h[0].lower() not in fixed], "block": data[stop + 4 : stop + 4 + size]}
-        at = stop + 4 + size + 4
+        yield {"record_id": own["warc-record-id"], "type": own["warc-type"], "uri": own.get("warc-target-uri", ""), "date": own["warc-date"], "headers": [h for h in head if h[0].lower() not in fixed], "block": data.read(int(own["content-length"]))}
 
 
 def write(records: DataFrame, folder: str) -> list[str]:
@@ -203,7 +213,8 @@ def write(records: DataFrame, folder: str) -> list[str]:
     return sorted(r.name for r in records.mapInPandas(of, "name string").collect())
 
 
-def read(folder: str, name: str) -> list[dict]:
+def read(folder: str, name: str) -> Iterator[dict]:
+    """The records of a written file; the file is read as they are asked for."""
     store, path = _store(folder)
     with store.open_input_stream(f"{path}/{name}", compression=None) as f:
-        return list(parsed(gzip.GzipFile(fileobj=io.BytesIO(f.read())).read()))
+        yield from parsed(io.BufferedReader(gzip.GzipFile(fileobj=f)))

@@ -1,6 +1,8 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copy string, keep string, fp string, base string, n_lines string, c string"
+#: Names that operators use for columns of their own; in the fixture they are the caller's.
+OWN = "copy keep fp base n_lines c row of id s p n h m r t k x a b f at o w cdf parts salt none label node ids decoded n_tokens _parts _cdf _source _salt _s _count _text _all _chosen _blocks _candidates _base_email _kept _doc _none _id _null _hash _lines _stay _q _fp _r codes error found path leaf kids place total".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in OWN)
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -35,7 +37,7 @@ def docs(spark):
     """Every awkward text, a repeated row, a repeated id, a null id, null columns and names that clash."""
     rows = [(i, t, "en" if i % 2 else None, f"s{i % 3}" if i % 4 else None, None) for i, t in enumerate(TEXTS)]
     rows += [rows[6], (7, "another text under the same id", "en", "s1", 5), (None, "no id here at all", None, None, None), (None, None, None, None, None)]
-    return spark.createDataFrame([r + ("x",) * 6 for r in rows], SCHEMA)
+    return spark.createDataFrame([r + ("x",) * len(OWN) for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="session")

@@ -82,3 +82,14 @@ def test_beam_search_beats_greedy_codes():
     books = ann.fit(x, books=4, words=32)
     error = [((x - ann.total(ann.beam_encode(x, books, b), books)) ** 2).sum() for b in (1, 8)]
     assert error[1] <= error[0]
+
+
+def test_large_components_lose_no_neighbour(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=8) * (1e25 if i % 2 else 1e150)).tolist()) for i in range(301)]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    v = np.array([r[1] for r in rows])
+    for q in (0, 100, 200, 300):
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        got = {r.vec_id: r.score for r in out if r.query_id == q}
+        assert len(got) == 10 and all(abs(d[i] - s) <= 1e-9 * d[i] for i, s in got.items())

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -103,3 +104,16 @@ def test_frequent_words_and_passages(spark, monkeypatch, seed):
         rows.append((i, " ".join(own if rng.random() < 0.6 else own[: rng.randint(0, 8)] + passage)))
     got = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[k] for k, _ in rows] == brute(rows)
+
+
+def test_lines_of_few_frequent_words_at_several_similarities(spark):
+    rng = random.Random(8)
+    lines = [" ".join(rng.sample([f"w{i}" for i in range(7)], rng.randrange(1, 6))) for _ in range(120)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    for similarity in (0.51, 0.6, 0.9):
+        gone = {r.doc_id for r in linededup.dedup(df, similarity).where("n_removed > 0").collect()}
+        sets = [set(x.split()) for x in lines]
+        near = lambda i, j: lines[i] == lines[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity - 1e-9
+        assert gone == {i for i in range(len(lines)) if any(near(i, j) for j in range(i))}
+    with pytest.raises(ValueError):
+        linededup.dedup(df, 0.5)

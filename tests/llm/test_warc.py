@@ -126,3 +126,17 @@ def test_names_that_clash(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>", "a", "b")], "page_id long, url string, html string, block string, type string")
     rows = warc.responses(pages).withColumn("extra", warc.F.lit(1))
     assert set(warc.derive(rows, key="page_id").columns) == {"page_id", "record_id", "type", "uri", "date", "headers", "block"}
+
+
+def test_all_members_of_a_gzip_payload_and_what_follows_them():
+    both = gzip.compress(b"one ") + gzip.compress(b"two")
+    assert warc.inflated(both, "gzip") == b"one two" and warc.inflated(both + b"\0\0\0", "x-gzip") == b"one two"
+    assert warc.inflated(b"plain", "gzip") == b"plain" and warc.inflated(b"", "gzip") == b""
+
+
+def test_types_in_any_case_and_headers_that_end_in_a_bare_lf():
+    for end in (b"\n", b"\r\n"):
+        block = end.join([b"HTTP/1.1 200 OK", b"Content-Type: TEXT/HTML; Charset=UTF-8", b"", b"<p>Hi</p><p>you</p>"])
+        meta, text = warc.derived("id", "u", "d", [], block)
+        assert text["block"] == b"Hi\nyou" and b"source-http-status: 200 OK\r\n" in meta["block"]
+    assert warc.split_http(b"HTTP/1.1 204 No Content\r\nA: b")[1:] == ([("A", "b")], b"")
