@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glasswing.operators.search import LIMIT, contains
-from glasswing.operators.tables import materialised
+from glasswing.operators.tables import deleted, materialised
 
 N = 3
 #: Trigrams of a query that are looked up, the rarest.
@@ -23,9 +23,15 @@ RAREST = 3
 
 
 def grams(text: Column) -> Column:
-    """The distinct trigrams of a text in lower case; none of a null or a shorter one."""
+    """The distinct trigrams of a text in lower case; none of a null or a shorter one.
+
+    The characters are bound once, as the argument of a function over a list of one list: an
+    expression within a function would be computed anew for each place, and long texts are many places.
+    """
     low = F.lower(text)
-    return F.when(F.char_length(low) >= N, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(low) - N + 1), lambda i: low.substr(i, F.lit(N))))).otherwise(F.array().cast("array<string>"))
+    three = lambda cs: F.transform(F.sequence(F.lit(0), F.size(cs) - N), lambda i: F.concat(*[F.get(cs, i + j) for j in range(N)]))
+    own = F.get(F.transform(F.array(F.split(low, "")), lambda cs: F.array_distinct(three(cs))), F.lit(0))
+    return F.when(F.char_length(low) >= N, own).otherwise(F.array().cast("array<string>"))
 
 
 @dataclass
@@ -61,9 +67,11 @@ def index(rows: DataFrame, key: str, text: str) -> Index:
     """The index of ``rows``; a key with several texts is found by any of them. Rows with a null key or text aren't found."""
     texts = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).dropna()
     spark = rows.sparkSession
-    each = texts.select("key", F.explode(grams(F.col("text"))).alias("gram"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = materialised(each.repartitionByRange(n, "gram", "key").sortWithinPartitions("gram", "key").select("gram", "key"), "grams")
+    # the outer form, as the inner one would be tested for being empty first, and a table, as ranges are sampled: grams are made once
+    each = materialised(texts.repartition(n, "key").select("key", F.explode_outer(grams(F.col("text"))).alias("gram")), "grams")
+    postings = materialised(each.dropna().repartitionByRange(n, "gram", "key").sortWithinPartitions("gram", "key").select("gram", "key"), "grams")
+    deleted(each)
     counts = materialised(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).repartitionByRange(max(1, n // 4), "gram").sortWithinPartitions("gram"), "gram-counts")
     return Index(postings, counts, texts)
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glasswing.functions import media, paths, vectors
-from glasswing.operators import duplicates, frames, listing, scoring, search, store
+from glasswing.operators import duplicates, frames, listing, ordering, scoring, search, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -306,7 +306,17 @@ def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", media.cache_key(F.col("source"), F.col("doc_id").cast("string"), F.lit(1700000000), F.col("n_chars")).alias("cache_key"))
 
 
-@query("hash_crc32")
+#: DuckDB SQL: the CRC-32 table, made from its polynomial (a fixed value), and each text's bytes in hexadecimal digits.
+CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t"
+
+
+def crc32_sql(digits: str, table: str = "t") -> str:
+    """DuckDB SQL for the CRC-32 of bytes given in hexadecimal digits."""
+    each = f"list_transform(regexp_extract_all({digits}, '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {each}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])))"
+
+
+@query("hash_crc32", f"SELECT doc_id, upper(printf('%08x', {crc32_sql('h')})) AS crc32, sha256(text) AS sha256 FROM (SELECT doc_id, text, hex(encode(text)) AS h FROM documents), ({CRC_TABLE})")
 def hash_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.col("text").cast("binary")
     return documents(spark, sf_dir).select("doc_id", media.crc32_hex(content).alias("crc32"), media.sha256_hex(content).alias("sha256"))
@@ -326,8 +336,8 @@ def ctc_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sorted_listing", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id)::INTEGER AS place FROM documents")
 def sorted_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    return documents(spark, sf_dir).select("source", "doc_id", F.row_number().over(w).alias("place"))
+    rows = ordering.numbered(documents(spark, sf_dir).select("source", "doc_id", "n_chars"), ["source"], ["n_chars", "doc_id"], descending=[True, False])
+    return rows.select("source", "doc_id", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @query(
@@ -336,12 +346,12 @@ def sorted_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 coalesce(lead(doc_id) OVER w, min(doc_id) OVER (PARTITION BY source)) AS next FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)""",
 )
 def prev_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.neighbours(documents(spark, sf_dir).select("source", "doc_id"), "source", "doc_id", "doc_id")
+    return ordering.around(documents(spark, sf_dir).select("source", "doc_id"), ["source"], ["doc_id"], "doc_id")
 
 
 @query("range_selection", "SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents) WHERE n BETWEEN 3 AND 7")
 def range_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.between(documents(spark, sf_dir).select("source", "doc_id"), "source", "doc_id", 7, 3)
+    return ordering.places(documents(spark, sf_dir).select("source", "doc_id"), ["source"], ["doc_id"], 7, 3)
 
 
 @query("distinct_labels", "SELECT DISTINCT role AS label FROM conversations")
