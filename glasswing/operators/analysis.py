@@ -6,6 +6,7 @@ model file is needed here; the arithmetic on its output is what this module defi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,23 +14,34 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glasswing.operators import regions
+
 # Thresholds of text detection.
 BITMAP, BOX, UNCLIP, SIDE = 0.3, 0.6, 1.6, 3
 LINE_CONFIDENCE = 0.5
 
 Scorer = Callable[[bytes], dict]
+#: The scorers of this worker process by the call of ``analysed`` that wants them.
+_scorers: dict[str, Scorer] = {}
 
 
 def analysed(files: DataFrame, make: Callable[[], Scorer], schema: str, content: str = "content") -> DataFrame:
     """Keys of ``files`` with what one scorer says of each content, all analysers in one pass.
 
-    A content that the scorer fails on has the message in ``error`` and nulls elsewhere.
+    A content that the scorer fails on has the message in ``error`` and nulls elsewhere. ``make`` is
+    called once in each worker process, which keeps its scorer for the call's later tasks. Batches
+    are bounded in bytes by ``spark.sql.execution.arrow.maxBytesPerBatch``.
     """
-    keys = ["root_id", "rel_path"]
+    keys, call = ["root_id", "rel_path"], uuid.uuid4().hex
     names = [x.split()[0] for x in schema.split(", ")]
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = make()
+        from glasswing.operators.analysis import _scorers  # the module's own, not a copy of it
+
+        if call not in _scorers:
+            _scorers.clear()  # a model of an earlier call is not held beside this one
+            _scorers[call] = make()
+        scorer = _scorers[call]
         for b in batches:
             out = []
             for row in b.to_dict("records"):
@@ -104,3 +116,24 @@ def boxes(probability: np.ndarray, width: int, height: int) -> list[tuple[int, i
         if min(x[1] - x[0], y[1] - y[0]) >= SIDE:
             out.append((int(x[0]), int(y[0]), int(x[1]), int(y[1])))
     return out
+
+
+def text_boxes(maps: DataFrame, image: str = "image") -> DataFrame:
+    """``(image, region, left, top, right, bottom)`` of ``maps(image, y, values, width, height)``, rows of detectors' maps.
+
+    What ``boxes`` gives for one map, for many at once and without gathering any: regions of cells
+    above the threshold, those left out that are small or unlikely, boxes dilated by their own size,
+    scaled to the picture and clipped to it. Null rows and values have no cells.
+    """
+    size = maps.groupBy(image).agg((F.max("y") + 1).alias("rows"), F.max(F.size("values")).alias("cols"), F.max("width").alias("width"), F.max("height").alias("height"))
+    cells = maps.select(image, "y", F.posexplode("values").alias("x", "v")).where(F.col("v") > BITMAP)
+    found = regions.boxes(regions.regions(regions.runs(cells, image, "v"), image), image)
+    found = found.where(F.least(F.col("right") - F.col("left"), F.col("bottom") - F.col("top")) >= SIDE).where(F.col("total") / F.col("cells") >= BOX).join(size, image)
+    w, h = F.col("right") - F.col("left"), F.col("bottom") - F.col("top")
+    found = found.withColumn("grow", w * h * UNCLIP / (2.0 * (w + h)))
+    clip = lambda at, step, most: F.greatest(F.lit(0), F.least(step(at), F.col(most))).cast("int")
+    sx, sy = F.col("width") / F.col("cols"), F.col("height") / F.col("rows")
+    x0, x1 = clip((F.col("left") - F.col("grow")) * sx, F.floor, "width"), clip((F.col("right") + F.col("grow")) * sx, F.ceil, "width")
+    y0, y1 = clip((F.col("top") - F.col("grow")) * sy, F.floor, "height"), clip((F.col("bottom") + F.col("grow")) * sy, F.ceil, "height")
+    out = found.select(image, "region", x0.alias("left"), y0.alias("top"), x1.alias("right"), y1.alias("bottom"))
+    return out.where(F.least(F.col("right") - F.col("left"), F.col("bottom") - F.col("top")) >= SIDE)

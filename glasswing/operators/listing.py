@@ -83,6 +83,21 @@ def directories_with_images(files: DataFrame) -> DataFrame:
     return files.where("media_type = 'image'").select("root_id", "parent").distinct()
 
 
+def directories(entries: DataFrame) -> DataFrame:
+    """Only the directories, by name."""
+    return entries.where("is_dir").orderBy("name")
+
+
+def selected(entries: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The entries that a selection names; names of nothing select nothing."""
+    return entries.join(keys.select(*on), on, "left_semi")
+
+
+def selection_summary(entries: DataFrame) -> DataFrame:
+    """One row for a selection: bytes of its files, numbers of its files and directories; zeros for none."""
+    return disk_usage(entries)
+
+
 def labels_in_use(tags: DataFrame) -> DataFrame:
     return tags.select("label").distinct().orderBy("label")
 

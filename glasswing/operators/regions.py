@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from glasswing.operators.tables import deleted, materialised
 
 
-def runs(cells: DataFrame, image: str = "image") -> DataFrame:
-    """``(image, y, x0, x1)`` of set cells ``(image, y, x)``; cells that repeat are one, nulls are none."""
+def runs(cells: DataFrame, image: str = "image", value: str | None = None) -> DataFrame:
+    """``(image, y, x0, x1)`` of set cells ``(image, y, x)``; cells that repeat are one, nulls are none.
+
+    With ``value`` also ``sum``, of that column over a run's cells, of cells that repeat the greatest.
+    """
     row = Window.partitionBy(image, "y").orderBy("x")
-    rows = cells.select(image, "y", "x").dropna().distinct()
-    return rows.withColumn("g", F.col("x") - F.row_number().over(row)).groupBy(image, "y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("g")
+    rows = cells.dropna(subset=[image, "y", "x"]).groupBy(image, "y", "x").agg(F.max(F.col(value) if value else F.lit(1)).alias("v"))
+    out = rows.withColumn("g", F.col("x") - F.row_number().over(row)).groupBy(image, "y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), *[F.sum("v").alias("sum")] * bool(value))
+    return out.drop("g")
 
 
 def runs_of(rows: DataFrame, image: str, values: str, least: Column | float) -> DataFrame:
@@ -35,7 +39,8 @@ def regions(found: DataFrame, image: str = "image", corners: bool = True) -> Dat
     very many runs is dealt out by rows.
     """
     near = 1 if corners else 0
-    own = materialised(found.select(F.col(image).alias("i"), "y", "x0", "x1").withColumn("n", F.struct("y", "x0")), "runs")
+    more = ["sum"] * ("sum" in found.columns)
+    own = materialised(found.select(F.col(image).alias("i"), "y", "x0", "x1", *more).withColumn("n", F.struct("y", "x0")), "runs")
     up = own.select(F.col("i").alias("j"), (F.col("y") + 1).alias("below"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("n").alias("b"))
     met = own.join(up, (F.col("i") == F.col("j")) & (F.col("y") == F.col("below")) & (F.col("x0") <= F.col("u1") + near) & (F.col("u0") <= F.col("x1") + near))
     links = met.select("i", F.col("n").alias("a"), "b")
@@ -53,10 +58,11 @@ def regions(found: DataFrame, image: str = "image", corners: bool = True) -> Dat
             break
     first = labels.select("i", "label").distinct().withColumn("region", F.row_number().over(Window.partitionBy("i").orderBy("label")) - 1)
     out = own.join(labels.select("i", F.col("a").alias("n"), "label"), ["i", "n"]).join(first, ["i", "label"])
-    return out.select(F.col("i").alias(image), "y", "x0", "x1", "region")
+    return out.select(F.col("i").alias(image), "y", "x0", "x1", *more, "region")
 
 
 def boxes(found: DataFrame, image: str = "image", least: int = 1) -> DataFrame:
-    """``(image, region, left, top, right, bottom, cells)`` of regions with at least so many cells, ends exclusive."""
-    out = found.groupBy(image, "region").agg(F.min("x0").alias("left"), F.min("y").alias("top"), (F.max("x1") + 1).alias("right"), (F.max("y") + 1).alias("bottom"), F.sum(F.col("x1") - F.col("x0") + 1).alias("cells"))
+    """``(image, region, left, top, right, bottom, cells)`` of regions with at least so many cells, ends exclusive; ``total`` where runs have sums."""
+    total = [F.sum("sum").alias("total")] * ("sum" in found.columns)
+    out = found.groupBy(image, "region").agg(F.min("x0").alias("left"), F.min("y").alias("top"), (F.max("x1") + 1).alias("right"), (F.max("y") + 1).alias("bottom"), F.sum(F.col("x1") - F.col("x0") + 1).alias("cells"), *total)
     return out.where(F.col("cells") >= least)

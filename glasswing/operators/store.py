@@ -32,6 +32,23 @@ def work(files: DataFrame, stores: dict[str, DataFrame], versions: dict[str, str
     return out.where(any_)
 
 
+def lookup(rows: DataFrame, **key: object) -> DataFrame:
+    """The rows of one key, by equality that reaches the scan; a null value is looked up as one."""
+    for name, value in key.items():
+        rows = rows.where(F.col(name).isNull() if value is None else F.col(name) == F.lit(value))
+    return rows
+
+
+def empty_as_null(rows: DataFrame, *names: str) -> DataFrame:
+    """Text columns as they are stored: empty ones are null."""
+    return rows.withColumns({n: F.nullif(F.col(n), F.lit("")) for n in names})
+
+
+def null_as_empty(rows: DataFrame, *names: str) -> DataFrame:
+    """Text columns as they are given out: null ones are empty."""
+    return rows.withColumns({n: F.coalesce(F.col(n), F.lit("")) for n in names})
+
+
 def latest(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
     """The first row of each key in an order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glasswing.functions.vectors import normalized
+from glasswing.operators.store import overridden
 
 FILE = "model string, dim int, logitScale double, labels array<struct<name:string,prompt:string,group:string,embedding:array<float>>>"
 BLOCKS = "array<struct<text:string,confidence:float,x:float,y:float,w:float,h:float>>"
@@ -41,6 +42,22 @@ def label_definitions(text: str) -> list[dict]:
     return out
 
 
+def definitions(spark: SparkSession, base: str, local: str | None = None) -> DataFrame:
+    """``(name, ord, prompt, group)`` of a YAML list of labels, with those of an optional local one.
+
+    A local label takes the place of the base label of its name, in its order; others come after
+    the base ones in theirs. No labels at all are an error.
+    """
+    schema = "name string, ord int, prompt string, `group` string"
+    frame = lambda text: spark.createDataFrame([(x["name"], i, x["prompt"], x["group"]) for i, x in enumerate(label_definitions(text))], schema)
+    rows = frame(base)
+    if local is not None:
+        rows = overridden(rows, frame(local).select(*rows.columns)).select(*rows.columns)
+    if rows.isEmpty():
+        raise ValueError("no labels defined")
+    return rows
+
+
 def characters(text: str) -> list[str]:
     """The dictionary of a recogniser: the blank, a character for each line, a space."""
     return ["", *text.splitlines(), " "]

@@ -39,10 +39,16 @@ def distinct_jobs(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")
 
 
-def run_jobs(jobs: DataFrame, read_stored: Callable[[], DataFrame], on: list[str], work: Callable[[DataFrame], None], checkpoint: str, force: bool = False, once: bool = True) -> StreamingQuery:
-    """For each micro-batch ``work`` on the jobs that have no fresh stored result and come once in it."""
+def run_jobs(jobs: DataFrame, read_stored: Callable[[], DataFrame], on: list[str], work: Callable[[DataFrame], None], checkpoint: str, force: bool = False, once: bool = True, enabled: Callable[[], bool] = lambda: True) -> StreamingQuery:
+    """For each micro-batch ``work`` on the jobs that have no fresh stored result and come once in it.
+
+    ``enabled`` is asked for each micro-batch, so that work is switched on and off while the stream
+    runs; jobs that come while it is off are let go, and are planned again when they are asked for again.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
+        if not enabled():
+            return
         todo = stale(df.dropDuplicates(on), read_stored(), on, force)
         work(todo)
 

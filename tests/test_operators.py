@@ -162,3 +162,46 @@ def test_seldom_used_operators(spark):
     assert [r.h for r in hashes.select(duplicates.either_hash(F.col("a"), F.col("b")).alias("h")).collect()] == ["s", "c", None, None]
     names = spark.createDataFrame([("x.MKV",), ("y.unknown",)], "n string")
     assert [r.c for r in names.select(media.content_type(F.col("n")).alias("c")).collect()] == ["video/x-matroska", None]
+
+
+def test_text_boxes_of_many_maps_equal_those_of_one(spark):
+    rng = np.random.default_rng(7)
+    rows, want = [], set()
+    for i in range(6):
+        plane = np.where(rng.random((16, 20)) < 0.3, rng.random((16, 20)), 0.0)
+        for _ in range(3):
+            y, x = rng.integers(0, 11), rng.integers(0, 14)
+            plane[y : y + rng.integers(2, 6), x : x + rng.integers(2, 7)] = rng.uniform(0.55, 1)
+        want |= {(i, *b) for b in analysis.boxes(plane, 200, 128)}
+        rows += [(i, y, [float(v) for v in plane[y]], 200, 128) for y in range(16)]
+    df = spark.createDataFrame(rows + [(9, 0, None, 5, 5), (10, 0, [0.0], 5, 5)], "image int, y int, values array<double>, width int, height int")
+    got = {(r.image, r.left, r.top, r.right, r.bottom) for r in analysis.text_boxes(df).collect()}
+    assert want and got == want
+    assert analysis.text_boxes(df.limit(0)).count() == 0
+
+
+def test_one_scorer_for_each_worker(spark, tmp_path):
+    made = str(tmp_path)
+
+    def make():
+        import uuid
+
+        open(f"{made}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda content: {"n": float(len(content))}
+
+    files = spark.range(40, numPartitions=20).select(F.lit("r").alias("root_id"), F.col("id").cast("string").alias("rel_path"), F.lit(b"ab").alias("content"))
+    assert analysis.analysed(files, make, "n double").agg(F.sum("n")).head()[0] == 80
+    pids = [x.split("-")[0] for x in os.listdir(made)]
+    assert len(pids) == len(set(pids)) < 20
+
+
+def test_selections_lookups_and_empty_texts(spark):
+    entries = spark.createDataFrame([("r", "d", "d", True, 0), ("r", "d/a", "a", False, 5), ("r", "b", "b", False, None)], f"{KEY}, name string, is_dir boolean, size long")
+    keys = spark.createDataFrame([("r", "d"), ("r", "d/a"), ("r", "none")], KEY)
+    some = listing.selected(entries, keys, ["root_id", "rel_path"])
+    assert tuple(listing.selection_summary(some).head()) == (5, 1, 1) and tuple(listing.selection_summary(entries.limit(0)).head()) == (0, 0, 0)
+    assert [r.name for r in listing.directories(entries).collect()] == ["d"]
+    assert [r.name for r in store.lookup(entries, root_id="r", rel_path="d/a").collect()] == ["a"] and store.lookup(entries, size=None).count() == 1
+    texts = spark.createDataFrame([("",), (None,), ("x",)], "t string")
+    assert sorted(str(r.t) for r in store.empty_as_null(texts, "t").collect()) == ["None", "None", "x"]
+    assert sorted(r.t for r in store.null_as_empty(texts, "t").collect()) == ["", "", "x"]

@@ -60,3 +60,23 @@ def test_a_restarted_stream_takes_only_new_jobs(spark, tmp_path):
     frame("c").coalesce(1).write.mode("append").parquet(source)
     run()
     assert seen == ["a", "c"]
+
+
+def test_local_labels_take_the_place_of_base_ones(spark):
+    base = "labels: [{name: a, prompt: p, group: g}, {name: b}]"
+    rows = lambda *text: [tuple(r) for r in labels.definitions(spark, *text).orderBy("ord").collect()]
+    assert rows(base) == [("a", 0, "p", "g"), ("b", 1, "b", "")]
+    assert rows(base, "labels: [{name: c}, {name: a, prompt: own}]") == [("a", 0, "own", ""), ("b", 1, "b", ""), ("c", 2, "c", "")]
+    for bad in ("labels: []", "labels: [{prompt: x}]", "labels: [{name: a}, {name: a}]"):
+        with pytest.raises(ValueError):
+            labels.definitions(spark, bad)
+
+
+def test_work_is_switched_off_while_the_stream_runs(spark, tmp_path):
+    source, seen, on = str(tmp_path / "jobs"), [], {"now": False}
+    stored = spark.createDataFrame([], "rel_path string")
+    for step, name in ((False, "a"), (True, "b")):
+        spark.createDataFrame([(name,)], "rel_path string").coalesce(1).write.mode("append").parquet(source)
+        on["now"] = step
+        jobs.run_jobs(jobs.file_stream(spark, source), lambda: stored, ["rel_path"], lambda df: seen.extend(r.rel_path for r in df.collect()), str(tmp_path / "ck"), enabled=lambda: on["now"]).awaitTermination()
+    assert seen == ["b"]
