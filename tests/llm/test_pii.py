@@ -1,4 +1,6 @@
 import hashlib
+import os
+import random
 import re
 
 import pytest
@@ -67,8 +69,9 @@ def test_held_out_accuracy(spark):
     found = {r.doc_id: {(x.k, x.s) for x in r.found} for r in pii.find(df, trees).collect()}
     hits = [x for i, x in enumerate(made) if x["k"] >= 0 and any(k == x["k"] and abs(s - x["s"]) <= 1 for k, s in found[i])]
     clean = [i for i, x in enumerate(made) if x["k"] < 0]
-    assert len(hits) > 0.4 * sum(x["k"] >= 0 for x in made)
-    assert sum(bool(found[i]) for i in clean) < 0.12 * len(clean)
+    base = {r.doc_id: {(x.k, x.s) for x in r.base} for r in pii.find(df, trees).select("doc_id", "base").collect()}  # some of these look like what the base patterns find
+    assert len(hits) >= 0.95 * sum(x["k"] >= 0 for x in made)
+    assert sum(bool(found[i] - base[i]) for i in clean) <= 0.02 * len(clean)
 
 
 def test_redaction_rows_and_columns(docs, empty):
@@ -95,3 +98,93 @@ def test_a_long_base_span_excludes_every_candidate_in_it(spark):
         base = {tuple(b) for b in r.base}
         added = [tuple(x) for x in r.found if tuple(x) not in base]
         assert not [x for x in added for b in base if x[1] < b[2] and b[1] < x[2]]
+
+
+EMAIL, IP, CARD, PHONE, NONE = 0, 1, 2, 3, -1
+
+
+def plant(texts, seed):
+    """Texts with one item in the middle of each, and its ``(kind, start, end)``; kind -1: it only looks like one."""
+    rng = random.Random(seed)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda: rng.choice(["anna", "j.smith", "li_wei", "paul22", "maria-k"])
+    host = lambda: rng.choice(["acme", "uni-bonn", "mail", "orange", "web4u"])
+
+    def card(n):
+        body = "3" + d(n - 2)
+        total = sum((int(c) * 2 - 9 * (int(c) > 4)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(body)))
+        return body + str(-total % 10)
+
+    def spaced(c):
+        return rng.choice([c, f"{c[:4]} {c[4:10]} {c[10:]}", f"{c[:4]}-{c[4:10]}-{c[10:]}"])
+
+    good = [
+        (EMAIL, ["Contact me: ", "please write to ", "mail ", "her inbox is "], lambda: f"{name()}{rng.choice(['(at)', ' [at] ', '[at]', ' (at) '])}{host()}{rng.choice(['.', ' [dot] ', '(dot)'])}{rng.choice(['com', 'de', 'fr'])}"),
+        (EMAIL, ["you reach us by ", "send to ", "email: "], lambda: f"{name()} at {host()} dot {rng.choice(['com', 'org', 'es'])}"),
+        (IP, ["ping ", "the server at ", "login from ", "gateway "], lambda: ":".join(f"{rng.randrange(1 << 16):x}" for _ in range(8))),
+        (IP, ["our host ", "client address "], lambda: f"2001:db8:{rng.randrange(1 << 16):x}::{rng.randrange(1 << 16):x}"),
+        (CARD, ["Amex ", "my credit card: ", "charged to card ", "tarjeta "], lambda: spaced(card(15))),
+        (PHONE, ["Tel.: ", "ring ", "call me on ", "Fax ", "my mobile is ", "hotline "], lambda: rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"0049 {d(3)} {d(4)} {d(2)}", f"{d(3)}.{d(3)}.{d(4)}"])),
+        (PHONE, [""], lambda: f"({d(3)}) {d(3)}-{d(4)}"),
+    ]
+    bad = [
+        (["order ", "invoice no ", "ref ", ""], lambda: d(rng.randint(8, 15))),
+        (["on ", "since ", ""], lambda: f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}"),
+        (["at ", "from "], lambda: f"{rng.randrange(10, 24)}:{rng.randrange(10, 60)}:{rng.randrange(10, 60)}:{d(2)}"),
+        (["isbn "], lambda: f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}"),
+        (["version ", "build "], lambda: f"{d(1)}.{d(2)}.{d(3)}.{d(2)}.{d(1)}"),
+        (["a total of ", "some "], lambda: f"{d(3)} {d(3)} {d(3)}"),
+        (["we met ", "he looked "], lambda: f"{name()} at home point {d(2)}"),
+        (["std", "my"], lambda: f"::{host()}"),
+        (["lot ", "item "], lambda: f"{d(4)} {d(4)} {d(4)}"),
+    ]
+    rows, truth = [], []
+    for t in texts:
+        cut = t.find(" ", len(t) // 2)
+        cut = len(t) if cut < 0 else cut
+        if rng.random() < 0.5:
+            kind, leads, make = rng.choice(good)
+        else:
+            (leads, make), kind = rng.choice(bad), NONE
+        lead, item = rng.choice(leads), make()
+        start = cut + 1 + len(lead)
+        rows.append(f"{t[:cut]} {lead}{item}{t[cut:]}")
+        truth.append([(kind, start, start + len(item))])
+    return rows, truth
+
+
+def test_data_planted_in_other_words_is_found_in_real_texts(spark):
+    """Leads, names and formats that the made-up sentences don't have, in texts of the test tables."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.isdir(os.path.dirname(path)):
+        pytest.skip("no test data")
+    clean = spark.read.parquet(path).where("length(text) between 300 and 3000 and not text rlike '[0-9@]'").orderBy("doc_id").limit(400)
+    rows, truth = plant([r.text for r in clean.collect()], 5)
+    want = given = hit = right = 0
+    for r in pii.find(spark.createDataFrame(list(enumerate(rows)), "i int, text string")).collect():
+        base = {tuple(b) for b in r.base}
+        added, planted = [tuple(f) for f in r.found if tuple(f) not in base], [x for x in truth[r.i] if x[0] >= 0]
+        want += len(planted)
+        hit += sum(any(k == f[0] and min(f[2], e) - max(f[1], s) >= 0.8 * (e - s) for f in map(tuple, r.found)) for k, s, e in planted)
+        given += len(added)
+        right += sum(any(k == f[0] and f[1] < e and s < f[2] for k, s, e in planted) for f in added)
+    assert want > 150 and hit >= 0.9 * want and right >= 0.95 * given
+
+
+def test_selection_equals_brute_force(spark):
+    """Of the candidates over their kind's threshold, those that overlap no base span and no likelier one."""
+    rng = random.Random(6)
+    bits = ["call (030) 555 0199", "card 3782 822463 10005", "x@y.org", "anna at acme dot com", "2001:db8:1::2", "+1 403 555 9312", "0301-555-0199", "tel 0301 555 01 99 22", "12.34.56.78", "4111 1111 1111 1111"]
+    rows = [(i, rng.choice([" ", ", ", ""]).join(rng.choice(bits) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
+    trees = pii.model(spark)
+    df = spark.createDataFrame(rows, "i int, text string")
+    made = {r.i: r for r in pii.with_candidates(df).select("i", F.transform("_candidates", lambda c: F.struct(c["k"], c["s"], c["e"], trees.score(F.concat(F.array(c["k"].cast("double")), c["f"])).alias("p"))).alias("c")).collect()}
+    seen = 0
+    for r in pii.find(df, trees).collect():
+        base = [tuple(b) for b in r.base]
+        over = [tuple(c) for c in made[r.i].c if c.p >= trees.thresholds[c.k]]
+        meets = lambda a, b: a[1] < b[2] and b[1] < a[2]
+        kept = [c[:3] for c in over if not any(meets(c, b) for b in base) and not any(meets(c, o) and (o[3] > c[3] or o[3] == c[3] and o[0] < c[0]) for o in over)]
+        assert sorted(tuple(f) for f in r.found) == sorted(base + kept)
+        seen += len(kept)
+    assert seen > 40
