@@ -58,10 +58,46 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert Counter((r.doc_id, r.decoded_sha256) for r in after.collect()) == texts
 
 
+def in_order(docs):
+    """Rows in the order in which stages compare them: by id, nulls last, then by the text's hash."""
+    return docs.orderBy(F.col("doc_id").isNull(), "doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+
+
 def test_awkward_documents(spark, docs, empty, sf_dir):
+    """Null, empty and very long texts, repeated rows and ids: each stage against brute force on its own input."""
     pytest.importorskip("public_tokenizers")
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, df: written(stages[name](spark, df, sf_dir), "test")
     own = docs.select(*corpus_pipeline.COLUMNS)
-    for table in (own, empty.select(*corpus_pipeline.COLUMNS)):
-        for _, stage in corpus_pipeline.STAGES:
-            table = written(stage(spark, table, sf_dir), "test")
-        assert table.where(F.col("n_tokens") < 0).count() == 0
+    assert run("quality classifier", own).exceptAll(own).count() == 0
+
+    after = run("line dedup", own)
+    distinct = list(dict.fromkeys((r.doc_id, r.text or "") for r in in_order(own)))
+    of = dict(zip(distinct, without_lines(distinct), strict=True))
+    assert Counter((r.doc_id, r.text) for r in after.collect()) == Counter((r.doc_id, of[r.doc_id, r.text or ""]) for r in own.collect())
+
+    rows = in_order(after)
+    alone = run("simhash near-dedup", after)
+    assert Counter((r.doc_id, r.text) for r in alone.collect()) == Counter((rows[i].doc_id, rows[i].text) for i in set(brute_groups([r.text for r in rows])))
+
+    before, mixture = alone.collect(), run("mixing to target weights", alone)
+    size, want = Counter(), Counter()
+    for r in before:
+        size[r.source] += len(r.text or "") + 1
+    for r in before:
+        rate = sum(size.values()) / len(size) / size[r.source]
+        u, n, p = int(hashlib.md5(f"1:0:{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52, 0, math.exp(-rate)
+        total = p
+        while total <= u:
+            n, p = n + 1, p * rate / (n + 1)
+            total += p
+        want[tuple(r)] += n
+    assert Counter(tuple(r) for r in mixture.collect()) == +want
+
+    ids = run("byte-level bpe", own)
+    assert Counter((r.doc_id, r.decoded_sha256) for r in ids.collect()) == Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in own.collect())
+
+    table = empty.select(*corpus_pipeline.COLUMNS)
+    for name in stages:
+        table = run(name, table)
+    assert table.count() == 0
