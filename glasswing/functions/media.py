@@ -85,9 +85,14 @@ def seek_position(duration: Column) -> Column:
     return F.when(duration.isNull() | (duration <= 0), F.lit("1")).otherwise(F.format_string("%.2f", F.when(at < 1, F.lit(0.0)).otherwise(at)))
 
 
+# Offsets from a position that are tried one after the other, in shares of the duration, then in seconds.
+NEAR_SHARES = (0.0, 0.02, -0.02, 0.05, -0.05, 0.1, -0.1)
+NEAR_SECONDS = (1.0, -1.0, 2.0, -2.0)
+
+
 def fallback_positions(duration: Column, target: Column) -> Column:
     """Positions to try around a target, inside the duration, in order, each hundredth of a second once."""
-    near = [F.lit(0.0)] + [s * share * duration for share in (0.02, 0.05, 0.1) for s in (F.lit(1.0), F.lit(-1.0))] + [F.lit(x) for x in (1.0, -1.0, 2.0, -2.0)]
+    near = [*[F.lit(x) * duration for x in NEAR_SHARES], *[F.lit(x) for x in NEAR_SECONDS]]
     all_ = F.transform(F.array(*near), lambda o: F.greatest(F.lit(0.0), F.least(duration, target + o)))
     ticks = F.transform(all_, lambda x: F.round(x * 100).cast("long"))
     first = F.filter(F.transform(all_, lambda x, i: F.struct(x.alias("x"), (F.array_position(ticks, F.get(ticks, i)) == i + 1).alias("new"))), lambda s: s["new"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glasswing.functions.vectors import dot
 
-#: Labels that are broadcast at most; they are a configured vocabulary, and more are an error.
+#: Labels that are broadcast at most; ``blocked`` scores against more of them.
 MOST_LABELS = 10_000
 
 
@@ -18,7 +18,7 @@ def similarities(items: DataFrame, labels: DataFrame, embedding: str = "embeddin
     so items are neither shuffled nor repeated before scoring.
     """
     if labels.limit(MOST_LABELS + 1).count() > MOST_LABELS:
-        raise ValueError(f"over {MOST_LABELS} labels")
+        raise ValueError(f"over {MOST_LABELS} labels: score them by blocks")
     vocabulary = labels.agg(F.array_sort(F.collect_list(F.struct("ord", "label", "grp", "prototype"))).alias("l")).scalar()
     each = items.withColumn("_l", F.explode(vocabulary)).where(F.col(embedding).isNotNull())
     return each.withColumns({"label": F.col("_l.label"), "ord": F.col("_l.ord"), "grp": F.col("_l.grp"), "cosine": dot(F.col(embedding), F.col("_l.prototype"))}).drop("_l")

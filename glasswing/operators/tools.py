@@ -20,7 +20,7 @@ from glasswing.sources.tree import Roots
 
 Tool = Callable[[list[str]], bytes]
 
-# Seconds that a program may take.
+# The arguments of outside programs below, and the seconds that one may take.
 FRAME_TIMEOUT, PROBE_TIMEOUT, TEXT_TIMEOUT = 30, 10, 60
 
 
