@@ -24,13 +24,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glasswing.llm.common import short_batches, written
+from glasswing.llm.common import discard, short_batches, written
 from glasswing.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Leads of a token in each round after the first, and how many such rounds.
 LEADS, ROUNDS = 8, 2
+#: Rows of one or two numbers of 8 bytes that are broadcast at most, so that texts aren't shuffled to pick a few of them; more are joined by shuffle.
+BROADCAST = 500_000
 #: Buckets of token counts, and how many of them are one row of the counts' table.
 BUCKETS, ROW = 1 << 18, 1 << 10
 
@@ -123,19 +125,27 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
             yield pd.Series(out, dtype=bool)
 
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "neardup-pairs")
-    met = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("r")).distinct(), "r", "left_semi")
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("r")).distinct(), "neardup-asked")
+    few = asked.count() <= BROADCAST
+    met = texts.join(F.broadcast(asked) if few else asked, "r", "left_semi")
     met = written(met.select("r", F.coalesce("text", F.lit("")).alias("t")), "neardup-texts")
-    rows = pairs.join(met.toDF("b", "tb"), "b").join(met.toDF("a", "ta"), "a")
+    some = F.broadcast(pairs) if pairs.count() <= BROADCAST else pairs
+    rows = some.join(met.toDF("b", "tb"), "b").join(met.toDF("a", "ta"), "a")
     links = rows.select("a", "b", F.pandas_udf(alike, "boolean")(F.col("ta"), F.col("tb")).alias("y")).where("y")
-    return written(links.select("a", "b"), "neardup-links")
+    out = written(links.select("a", "b"), "neardup-links")
+    discard(pairs, asked, met)
+    return out
 
 
 def mixed(posted: DataFrame, found: DataFrame) -> DataFrame:
     """``(x, v, label)`` of the tokens whose classes are not all in one component of the links found."""
-    label = connected_components(found).select(F.col("node").alias("_v"), "label")
+    found = connected_components(found)
+    label = found.select(F.col("node").alias("_v"), "label")
     rows = posted.join(label, F.col("v.r") == F.col("_v"), "left").select("x", "v", F.coalesce("label", "v.r").alias("label"))
     some = rows.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("x")
-    return written(rows.join(some, "x", "left_semi"), "neardup-mixed")
+    out = written(rows.join(some, "x", "left_semi"), "neardup-mixed")
+    discard(found)
+    return out
 
 
 def links(classes: DataFrame, texts: DataFrame, similarity: float, shingle: int, found: DataFrame) -> DataFrame:
@@ -151,18 +161,22 @@ def links(classes: DataFrame, texts: DataFrame, similarity: float, shingle: int,
     led = rows.groupBy("x").agg(F.min_by(F.struct("v", "label"), "v.r").alias("y")).select("x", F.col("y.v").alias("y"), F.col("y.label").alias("other"))
     pairs = rows.join(led, "x").where((F.col("label") != F.col("other")) & possible("v", "y", similarity))
     found = found.unionByName(verified(pairs.select(F.col("v.r").alias("a"), F.col("y.r").alias("b")), texts, similarity, shingle))
-    many = rows.select("x", "v")
+    discard(posted)
+    many = rows
     for k in range(ROUNDS):
-        many = mixed(many, found).select("x", "v", "label")
+        last, many = many, mixed(many.select("x", "v"), found)
+        discard(last)
         one = lambda seed: F.min(F.struct(F.xxhash64("v.r", F.lit(seed)).alias("h"), "v", "label"))
         lead = many.groupBy("x").agg(F.array_distinct(F.transform(F.array(*[one(k * LEADS + j) for j in range(LEADS)]), lambda s: F.struct(s["v"].alias("v"), s["label"].alias("label")))).alias("ys"))
         pairs = many.join(lead, "x").select("v", "label", F.explode("ys").alias("y")).select("v", "label", F.col("y.v").alias("w"), F.col("y.label").alias("other"))
         pairs = pairs.where((F.col("label") != F.col("other")) & possible("v", "w", similarity))
         found = found.unionByName(verified(pairs.select(F.col("v.r").alias("a"), F.col("w.r").alias("b")), texts, similarity, shingle))
-        many = many.select("x", "v")
-    many = mixed(many, found)
+    last, many = many, mixed(many.select("x", "v"), found)
+    discard(last)
     led = many.groupBy("x").agg(F.mode("label").alias("led"))
     rest = written(many.join(led, "x").where("label != led").select("x", "v", "label"), "neardup-rest")
     pairs = rest.join(many.select("x", F.col("v").alias("w"), F.col("label").alias("other")), "x")
     pairs = pairs.where((F.col("label") != F.col("other")) & possible("v", "w", similarity))
-    return found.unionByName(verified(pairs.select(F.col("v.r").alias("a"), F.col("w.r").alias("b")), texts, similarity, shingle))
+    found = found.unionByName(verified(pairs.select(F.col("v.r").alias("a"), F.col("w.r").alias("b")), texts, similarity, shingle))
+    discard(many, rest)
+    return found
