@@ -61,9 +61,14 @@ def plain(line: Column) -> Column:
     return F.lower(F.when(loose, F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line))
 
 
+def words(line: Column) -> Column:
+    """The hashed words of a plain line."""
+    return F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+
+
 def tokens(line: Column) -> Column:
     """The distinct hashed words of a plain line."""
-    return F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
+    return F.array_distinct(words(line))
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
@@ -171,17 +176,23 @@ def possible(x: str, y: str, similarity: float) -> Column:
 
 
 def unordered(rows: DataFrame) -> DataFrame:
-    return rows.select(F.least("v.r", "w.r").alias("a"), F.greatest("v.r", "w.r").alias("b")).distinct()
+    """``(a, b, n)``: the pairs of classes of rows ``(v, w)``, and the number of tokens of both."""
+    return rows.select(F.least("v.r", "w.r").alias("a"), F.greatest("v.r", "w.r").alias("b"), (F.col("v.n") + F.col("w.n")).alias("n")).distinct()
+
+
+def met_twice(rows: DataFrame) -> DataFrame:
+    """``(v, w)``: all pairs of one key of ``rows(x, v)``; both sides are the same columns, so they are shuffled once."""
+    p, q = rows.alias("p"), rows.alias("q")
+    return p.join(q, F.col("p.x") == F.col("q.x")).select(F.col("p.v").alias("v"), F.col("q.v").alias("w"))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """The later classes ``r`` of pairs ``(a, b)`` that are similar on all words."""
+    """The later classes ``r`` of pairs ``(a, b, n)`` that are similar on all words."""
     pairs = written(pairs, "lines-pairs")
     texts = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("r")).distinct(), "r", "left_semi")
     side = lambda s: texts.select(F.col("r").alias(s), F.struct("at", "l").alias(f"v{s}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
-    met = met.select(F.when(F.col("va.at") > F.col("vb.at"), F.col("a")).otherwise(F.col("b")).alias("r"), tokens(F.col("va.l")).alias("ta"), tokens(F.col("vb.l")).alias("tb"))
-    met = met.select("r", (F.size("ta") + F.size("tb")).alias("n"), F.size(F.array_intersect("ta", "tb")).alias("both"))
+    met = met.select(F.when(F.col("va.at") > F.col("vb.at"), F.col("a")).otherwise(F.col("b")).alias("r"), "n", F.size(F.array_intersect(words(F.col("va.l")), words(F.col("vb.l")))).alias("both"))
     out = written(met.where(F.col("both") >= (F.col("n") - F.col("both")) * F.lit(similarity) - 1e-9).select("r").distinct(), "lines-removed")
     discard(pairs)
     return out
@@ -190,12 +201,12 @@ def verified(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFra
 def removed_classes(classes: DataFrame, similarity: float) -> DataFrame:
     """The classes ``r`` of lines that are similar to an earlier line of other words."""
     posted = postings(classes, similarity)
-    few, many = posted.where(f"k <= {SHORT}"), posted.where(f"k > {SHORT}").select("x", "v")
+    few, many = posted.where(f"k <= {SHORT}").select("x", "v"), posted.where(f"k > {SHORT}").select("x", "v")
     later = (F.col("w.doc") <= F.col("v.doc")) & possible("v", "w", similarity)
     other = lambda rows: rows.select("x", F.col("v").alias("w"))
     hashed = [F.min(F.struct(F.xxhash64("v.r", F.lit(j)).alias("h"), "v"))["v"].alias(f"w{j}") for j in range(LEADS)]
     leads = many.groupBy("x").agg(F.min("v").alias("w"), *hashed).select("x", F.explode(F.array_distinct(F.array("w", *[f"w{j}" for j in range(LEADS)]))).alias("w"))
-    pairs = unordered(few.join(other(few), "x").where(later)).unionByName(unordered(many.join(leads, "x").where(later))).distinct()
+    pairs = unordered(met_twice(few).where(later)).unionByName(unordered(many.join(leads, "x").where(later))).distinct()
     gone = verified(pairs, classes, similarity)
     open_ = many.join(gone.select(F.col("r").alias("_r")), F.col("v.r") == F.col("_r"), "left_anti")
     last = verified(unordered(open_.join(other(many), "x").where(later)), classes, similarity)

@@ -4,7 +4,8 @@ A text's tokens are its distinct shingles of ``SHINGLE`` words. Rows of the same
 before anything is compared. Two classes of Jaccard similarity t or more share a token within their
 prefixes, the first n - ceil(t n) + 1 of n tokens in one order for all texts, from rare to frequent by
 counts in hashed buckets; so candidates from prefixes lose no pair. Length, place and
-bitmaps of parities discard candidates that can't reach t, and the rest are verified on all tokens.
+bitmaps of parities discard candidates that can't reach t. Of those that stay, bitmaps as wide as the
+texts have tokens are compared before any text is moved, and the rest are verified on all tokens.
 
 Only components matter, and links found before, as by fingerprints, are given. At tokens whose
 classes are not yet in one component, each class is first compared with one class, the lead, and
@@ -21,7 +22,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glasswing.llm.common import discard, short_batches, written
@@ -56,6 +57,20 @@ def needed(n: int, similarity: float) -> int:
     return int(np.ceil(n * similarity - 1e-9))
 
 
+def wide_parities(h: np.ndarray) -> bytes:
+    """Of each value of a token's last bits, whether an odd number of tokens has it: one bit for each token, or up to twice as many."""
+    size = 1 << max(8, (len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """How many parities of two texts differ at least; the wider bitmap is folded to the other's width."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    return int(np.bitwise_count(np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0) ^ b).sum(dtype=np.int64))
+
+
 def bucket_ranks(docs: DataFrame, shingle: int) -> np.ndarray:
     """The logarithm of each bucket's number of tokens, as bytes."""
 
@@ -78,7 +93,7 @@ def bucket_ranks(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def with_prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Adds ``_s``: the class in 128 bits, the number of tokens, the prefix and the parities of each text.
+    """Adds ``_s``: the class in 128 bits, the number of tokens, the prefix, the parities and the wide ones of each text.
 
     The 256 parities say of each value of a token's first byte whether an odd number of tokens has it.
     """
@@ -94,10 +109,10 @@ def with_prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame
                 o = h[np.lexsort((h, ranks[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]))]
                 p = o[: len(o) - needed(len(o), similarity) + 1].view(np.int64)
                 odd = np.packbits(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256) & 1).view(np.int64)
-                out.append((xxhash.xxh128_hexdigest(h.tobytes()), len(h), p, odd))
-            yield pd.DataFrame(out, columns=["c", "n", "p", "odd"])
+                out.append((xxhash.xxh128_hexdigest(h.tobytes()), len(h), p, odd, wide_parities(h)))
+            yield pd.DataFrame(out, columns=["c", "n", "p", "odd", "wide"])
 
-    return docs.withColumn("_s", F.pandas_udf(of, "c string, n int, p array<long>, odd array<long>")(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.withColumn("_s", F.pandas_udf(of, "c string, n int, p array<long>, odd array<long>, wide binary")(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def possible(x: str, y: str, similarity: float) -> Column:
@@ -112,8 +127,22 @@ def possible(x: str, y: str, similarity: float) -> Column:
     return (odd <= nx + ny - 2 * least) & (ny >= nx * F.lit(similarity) - 1e-9) & (nx >= ny * F.lit(similarity) - 1e-9) & (reach >= least)
 
 
+def close(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose wide parities don't rule out that they are similar, as ``possible`` has it."""
+
+    def of(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for xs, ys, most in batches:
+            yield pd.Series([differing(x, y) <= k for x, y, k in zip(xs, ys, most, strict=True)], dtype=bool)
+
+    side = lambda s: texts.select(F.col("r").alias(s), F.struct("n", "wide").alias(f"v{s}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = F.col("va.n") + F.col("vb.n")
+    most = both - 2 * F.ceil(both * F.lit(similarity / (1 + similarity)) - 1e-9)
+    return met.where(F.pandas_udf(of, "boolean")(F.col("va.wide"), F.col("vb.wide"), most)).select("a", "b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The links ``(a, b)`` among pairs of classes that are similar on all tokens."""
+    """The links ``(a, b)`` among pairs of classes that are similar on all tokens; ``texts(r, text, n, wide)`` has all of them."""
 
     def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         of = lru_cache(64)(lambda text: shingles(text, shingle))
@@ -124,7 +153,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
                 out.append(both >= (len(x) + len(y) - both) * similarity - 1e-9)
             yield pd.Series(out, dtype=bool)
 
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "neardup-pairs")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(close(pairs, texts, similarity), "neardup-pairs")
     asked = written(pairs.select(F.explode(F.array("a", "b")).alias("r")).distinct(), "neardup-asked")
     few = asked.count() <= BROADCAST
     met = texts.join(F.broadcast(asked) if few else asked, "r", "left_semi")
@@ -149,14 +179,16 @@ def mixed(posted: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def links(classes: DataFrame, texts: DataFrame, similarity: float, shingle: int, found: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` that span the components of ``classes(r, n, p, odd)``; ``texts(r, text)`` has all of them.
+    """Links ``(a, b)`` that span the components of ``classes(r, n, p, odd)``; ``texts(r, text, n, wide)`` has all of them.
 
     ``found``: verified links to begin with. Where they join all classes of a token, nothing is compared.
     """
     firsts = classes.select("r", "n", F.posexplode("p").alias("i", "x")).select("x", F.struct("r", "n", "i").alias("v"))
-    lead = firsts.groupBy("x").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    posted = firsts.join(lead, "x").select(F.col("v.r").alias("r"), "x", "v.n", "v.i").join(classes.select("r", "odd"), "r")
+    met = firsts.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("x"))).where("k > 1")
+    met = written(met.select(F.col("v.r").alias("r"), "x", "v.n", "v.i"), "neardup-met")
+    posted = met.join(classes.select("r", "odd"), "r")
     posted = written(posted.select("x", F.struct("r", "n", "i", "odd").alias("v")), "neardup-posted")
+    discard(met)
     rows = mixed(posted, found)
     led = rows.groupBy("x").agg(F.min_by(F.struct("v", "label"), "v.r").alias("y")).select("x", F.col("y.v").alias("y"), F.col("y.label").alias("other"))
     pairs = rows.join(led, "x").where((F.col("label") != F.col("other")) & possible("v", "y", similarity))

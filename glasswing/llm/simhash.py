@@ -216,7 +216,7 @@ def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 5, similarity: flo
     alike = best.where("n > 0").join(lead, "fp").where("r != b").select(F.col("r").alias("a"), "b")
     near = near_links(lead.select("fp"), radius).join(lead.select(F.col("fp").alias("a"), F.col("b").alias("x")), "a")
     near = near.join(lead.select(F.col("fp").alias("b"), F.col("b").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    texts = own.select(F.col("_r").alias("r"), "text")
+    texts = own.select(F.col("_r").alias("r"), "text", "_s.n", "_s.wide")
     found = neardup.verified(alike.unionByName(near), texts, similarity, shingle)
     classes = own.select(F.col("_r").alias("r"), "_s.n", "_s.p", "_s.odd").where("n > 0").join(best.select("r"), "r", "left_semi")
     label = connected_components(neardup.links(classes, texts, similarity, shingle, found))

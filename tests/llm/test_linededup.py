@@ -117,3 +117,17 @@ def test_lines_of_few_frequent_words_at_several_similarities(spark):
         assert gone == {i for i in range(len(lines)) if any(near(i, j) for j in range(i))}
     with pytest.raises(ValueError):
         linededup.dedup(df, 0.5)
+
+
+def test_lines_that_meet_at_a_key_are_shuffled_once(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = linededup.written(spark.sql("SELECT id % 5 AS x, id % 3 AS k, struct(id AS doc, id AS r, 7 AS n) AS v FROM range(20)"), "rows").where("k < 2").select("x", "v")
+        pairs = linededup.met_twice(rows)
+        assert pairs._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") == 1
+        assert linededup.unordered(pairs).where("a < b and n = 14").count() == sum(a % 5 == b % 5 for a in range(20) for b in range(a) if a % 3 < 2 and b % 3 < 2)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

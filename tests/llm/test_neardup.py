@@ -60,3 +60,28 @@ def test_rows_that_share_an_id_or_have_none(spark, sf_dir):
     out = corpus_pipeline.one_of_each(spark, rows_of(spark, rows), sf_dir)
     want = [(5, a), (3, b), (7, c), (None, prose(80, 14)), (9, "")]
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(want)
+
+
+def test_wide_parities_never_rule_out_more_than_tokens_do():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 3000), dtype=np.uint64))
+        b = np.unique(np.concatenate((a[: rng.integers(0, len(a) + 1)], rng.integers(0, 1 << 63, rng.integers(0, 600), dtype=np.uint64))))
+        assert neardup.differing(neardup.wide_parities(a), neardup.wide_parities(b)) <= len(np.setxor1d(a, b))
+
+
+def test_long_texts_that_share_a_passage_are_ruled_out_before_texts_are_moved(spark, sf_dir, monkeypatch):
+    passage = prose(1650, 21)
+    rows = [(k, passage + " " + prose(350, 30 + k)) for k in range(6)] + [(9, passage + " " + prose(350, 30) + " one more")]
+    moved, write = [], neardup.written
+
+    def spied(df, name):
+        out = write(df, name)
+        if name == "neardup-texts":
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "written", spied)
+    out = corpus_pipeline.one_of_each(spark, rows_of(spark, rows), sf_dir)
+    assert sorted(r.doc_id for r in out.collect()) == list(range(6))
+    assert sum(moved) == 2
