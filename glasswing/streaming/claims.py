@@ -4,15 +4,23 @@ A stream of requests is dealt out to shards by the job's key; each shard holds i
 how many there are. A job is claimed once until it is done or its claim expires, whatever asks for it
 meanwhile; where a shard is full the request is dropped and reported, and holds nothing. A timer
 for each claim frees the jobs of workers that were lost.
+
+A batch's requests of a shard are put in order by sorted runs in a temporary file, and outcomes are given
+out a frame at a time, so a worker holds as much of a shard of millions of requests as of one of a few.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from datetime import datetime, timezone
+from contextlib import ExitStack
+from heapq import merge
+from itertools import islice
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,14 +30,47 @@ OUT = "job string, at timestamp, seq long, outcome string, depth long"
 #: What a state store must be for ``transformWithState``.
 STORE = "spark.sql.streaming.stateStore.providerClass"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Requests of a sorted run, and of a piece of it that is read at once and of a frame of outcomes.
+RUN, PIECE = 50_000, 2_000
+#: What a request is ordered by, and what else it has; ``us``: its time in microseconds.
+REQUEST = ["us", "seq", "job", "kind"]
+
+
+def pieces(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    while piece := list(islice(rows, PIECE)):
+        yield piece
+
 
+def in_order(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """The requests of all frames, by time, then by ``seq``, nulls last; no more than a run and a piece of each other one are held."""
+    run, text = (pa.schema([("us", pa.int64()), ("seq", seq), ("job", pa.string()), ("kind", pa.string())]) for seq in (pa.int64(), pa.string()))
 
-def millis(at: datetime) -> int:
-    return int((at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp() * 1000)
+    def tables(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).sort_by([("us", "ascending"), ("seq", "ascending")])
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-def moment(ms: int) -> datetime:
-    return datetime.fromtimestamp(ms / 1000, timezone.utc).replace(tzinfo=None)
+    def key(r: tuple) -> tuple:
+        return r[0], r[1] is None, r[1] or 0
+
+    with ExitStack() as files:
+        runs, held, total = [], [], 0
+        for frame in frames:
+            held.append(pa.Table.from_pandas(frame[REQUEST].astype({"seq": object}), text, preserve_index=False).cast(run))
+            total += len(frame)
+            if total >= RUN:
+                file = files.enter_context(tempfile.TemporaryFile())
+                with pa.ipc.new_stream(file, run) as out:
+                    out.write_table(tables(held), max_chunksize=PIECE)
+                runs.append(file)
+                held, total = [], 0
+        parts = [tables(held).to_batches(max_chunksize=PIECE)] if held else []
+        for file in runs:
+            file.seek(0)
+            parts.append(pa.ipc.open_stream(file))
+        yield from merge(*map(rows, parts), key=key)
 
 
 class Claims(StatefulProcessor):
@@ -46,6 +87,11 @@ class Claims(StatefulProcessor):
     def depth(self) -> int:
         return self.count.get()[0] if self.count.exists() else 0
 
+    @staticmethod
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        job, us, seq, outcome, depth = zip(*rows, strict=True)
+        return pd.DataFrame({"job": job, "us": us, "seq": pd.array(seq, "Int64"), "outcome": outcome, "depth": depth})
+
     def hold(self, job: str, until: int) -> int:
         self.held.updateValue((job,), (until,))
         self.handle.registerTimer(until)
@@ -60,15 +106,14 @@ class Claims(StatefulProcessor):
         self.count.update((n,))
         return n
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        out = []
-        for r in sorted(rows, key=lambda r: (r["at"], r["seq"])):
-            now, job = millis(r["at"]), r["job"]
+    def outcomes(self, requests: Iterator[tuple]) -> Iterator[tuple]:
+        for us, seq, job, kind in requests:
+            now = us // 1000
             until = self.held.getValue((job,))[0] if self.held.exists() and self.held.containsKey((job,)) else None
             if until is not None and until <= now:  # before its timer has come
-                out.append(Row(job=job, at=moment(until), seq=None, outcome="expired", depth=self.release(job)))
+                yield job, until * 1000, None, "expired", self.release(job)
                 until = None
-            if r["kind"] == "done":
+            if kind == "done":
                 outcome, n = ("unknown", self.depth()) if until is None else ("released", self.release(job))
             elif until is not None:
                 outcome, n = "pending", self.depth()
@@ -76,13 +121,15 @@ class Claims(StatefulProcessor):
                 outcome, n = "dropped", self.depth()
             else:
                 outcome, n = "claimed", self.hold(job, now + self.ttl)
-            out.append(Row(job=job, at=r["at"], seq=r["seq"], outcome=outcome, depth=n))
-        yield from out
+            yield job, us, seq, outcome, n
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        yield from map(self.frame, pieces(self.outcomes(in_order(rows))))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
         gone = [job for (job,), (until,) in self.held.iterator() if until <= now] if self.held.exists() else []
-        yield from [Row(job=job, at=moment(now), seq=None, outcome="expired", depth=self.release(job)) for job in sorted(gone)]
+        yield from map(self.frame, pieces((job, now * 1000, None, "expired", self.release(job)) for job in sorted(gone)))
 
     def close(self) -> None:
         """State belongs to the store; there is nothing to close."""
@@ -100,10 +147,11 @@ def claims(requests: DataFrame, capacity: int = 128, ttl: str = "10 minutes", la
     spark = requests.sparkSession
     ttl_ms = spark.sql(f"SELECT CAST(unix_millis(TIMESTAMP'1970-01-01 00:00:00 UTC' + INTERVAL {ttl}) AS LONG)").head()[0]
     rows = requests.select(F.col("job").cast("string"), "kind", F.col("at").cast("timestamp"), F.col("seq").cast("long")).where("job is not null and at is not null")
+    rows = rows.withColumn("us", F.unix_micros("at")).withColumn("seq", F.col("seq").cast("string"))  # a long with nulls would become a double
     shard = F.pmod(F.xxhash64("job"), F.lit(shards)).cast("int")
     rows = rows.withWatermark("at", late).withColumn("shard", shard)
-    return rows.groupBy("shard").transformWithState(Claims(capacity, ttl_ms), OUT, "Append", "EventTime")
-
+    out = rows.groupBy("shard").transformWithStateInPandas(Claims(capacity, ttl_ms), OUT.replace("at timestamp", "us long"), "Append", "EventTime")
+    return out.select("job", F.timestamp_micros("us").alias("at"), "seq", "outcome", "depth")
 
 
 def outcomes(make: Callable[..., DataFrame], requests: DataFrame, **how) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import threading
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from glasswing.streaming import claims, jobs, scans
@@ -124,3 +125,29 @@ def test_cancelling_leaves_other_jobs_alone(spark):
     time.sleep(0.5)
     assert runs.cancel() and spark.range(10).count() == 10
     assert runs.wait(60).state == "cancelled"
+
+
+def test_a_shard_of_many_requests_is_put_in_order_by_runs_and_given_out_in_pieces(monkeypatch):
+    monkeypatch.setattr(claims, "RUN", 50)
+    monkeypatch.setattr(claims, "PIECE", 7)
+    rng = random.Random(4)
+    rows = [(rng.randrange(40), rng.choice([None, (1 << 60) + k]), f"j{k}", "claim") for k in range(1003)]
+    taken = []
+
+    def frames():
+        for at in range(0, len(rows), 30):
+            taken.append(at)
+            yield pd.DataFrame([(u, s if s is None else str(s), j, k) for u, s, j, k in rows[at : at + 30]], columns=claims.REQUEST)
+
+    class Held:
+        def exists(self):
+            return False
+
+    shard = claims.Claims(0, 1)
+    shard.held = shard.count = Held()
+    out = list(shard.handleInputRows(("0",), frames(), None))
+    assert len(taken) == 34 and {len(f) for f in out} == {7, 1003 % 7}
+    got = [tuple(r) for f in out for r in f[["us", "job"]].itertuples(index=False)]
+    by = {j: s for _, s, j, _ in rows}
+    assert [(u, by[j] is None, by[j] or 0) for u, j in got] == sorted((u, s is None, s or 0) for u, s, _, _ in rows)
+    assert {j: None if pd.isna(s) else s for f in out for j, s in zip(f["job"], f["seq"], strict=True)} == by
