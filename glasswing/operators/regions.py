@@ -4,6 +4,9 @@ A bitmap is cut into runs, the longest stretches of set cells of a row. Runs of
 that overlap, corners counting or not, are linked, and the regions are the components of these links,
 found for all bitmaps together: every run hears the least label around it, then takes that label's own
 (pointer jumping), so rounds grow with the logarithm of a region's length, not with its cells.
+
+Labels are small as files, but not in memory, and every round joins them. All joins are therefore sorted
+and shuffled by their hint; none of the tables is broadcast by way of the driver.
 """
 
 from __future__ import annotations
@@ -42,22 +45,22 @@ def regions(found: DataFrame, image: str = "image", corners: bool = True) -> Dat
     more = ["sum"] * ("sum" in found.columns)
     own = materialised(found.select(F.col(image).alias("i"), "y", "x0", "x1", *more).withColumn("n", F.struct("y", "x0")), "runs")
     up = own.select(F.col("i").alias("j"), (F.col("y") + 1).alias("below"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("n").alias("b"))
-    met = own.join(up, (F.col("i") == F.col("j")) & (F.col("y") == F.col("below")) & (F.col("x0") <= F.col("u1") + near) & (F.col("u0") <= F.col("x1") + near))
+    met = own.join(up.hint("merge"), (F.col("i") == F.col("j")) & (F.col("y") == F.col("below")) & (F.col("x0") <= F.col("u1") + near) & (F.col("u0") <= F.col("x1") + near))
     links = met.select("i", F.col("n").alias("a"), "b")
     links = materialised(links.unionByName(links.select("i", F.col("b").alias("a"), F.col("a").alias("b"))), "run-links")
     labels = materialised(own.select("i", F.col("n").alias("a"), F.col("n").alias("label")), "run-labels")
     while True:
-        heard = links.join(labels.select("i", F.col("a").alias("b"), "label"), ["i", "b"]).select("i", "a", "label")
+        heard = links.join(labels.select("i", F.col("a").alias("b"), "label").hint("merge"), ["i", "b"]).select("i", "a", "label")
         least = heard.unionByName(labels.select("i", "a", "label")).groupBy("i", "a").agg(F.min("label").alias("heard"))
         jump = labels.select("i", F.col("a").alias("heard"), F.col("label").alias("root"))
-        step = least.join(jump, ["i", "heard"]).join(labels.select("i", "a", F.col("label").alias("was")), ["i", "a"])
+        step = least.join(jump.hint("merge"), ["i", "heard"]).join(labels.select("i", "a", F.col("label").alias("was")).hint("merge"), ["i", "a"])
         new = materialised(step.select("i", "a", F.least("heard", "root").alias("label"), "was"), "run-labels")
         deleted(labels)
         labels = new
         if labels.where("label <> was").isEmpty():
             break
     first = labels.select("i", "label").distinct().withColumn("region", F.row_number().over(Window.partitionBy("i").orderBy("label")) - 1)
-    out = own.join(labels.select("i", F.col("a").alias("n"), "label"), ["i", "n"]).join(first, ["i", "label"])
+    out = own.join(labels.select("i", F.col("a").alias("n"), "label").hint("merge"), ["i", "n"]).join(first.hint("merge"), ["i", "label"])
     return out.select(F.col("i").alias(image), "y", "x0", "x1", *more, "region")
 
 

@@ -197,3 +197,18 @@ def test_listing_cache(spark):
     assert len(cache.held) == 4 and ("s", "a/b/c") not in cache.held
     cache.clear("r")
     assert not cache.held
+
+
+def test_no_table_of_regions_is_broadcast(spark, monkeypatch):
+    plans, write = [], regions.materialised
+
+    def spied(rows, name):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(rows, name)
+
+    monkeypatch.setattr(regions, "materialised", spied)
+    df = spark.createDataFrame([("i", y, x) for y in range(6) for x in range(9) if (x * y) % 4 < 3], "image string, y int, x int")
+    found = regions.regions(regions.runs(df))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+    assert found.select("region").distinct().count() == 1
