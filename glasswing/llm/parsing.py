@@ -329,24 +329,31 @@ def duplicate_factors(rows: DataFrame, split: int = SPLIT) -> DataFrame:
     whole = cut.where("c is null").select("a", "o", "t", "at", "w").repartition(max(partitions(rows.sparkSession), 8), "a").sortWithinPartitions("a", "o")
     long = written(whole.mapInArrow(parsed, "t long, at long, n long"), "parse-long")
     short = written(split_factors(cut), "parse-short")
-    out = long.unionByName(short).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("f"))
+    out = long.select("t", F.array(F.struct("at", "n")).alias("f")).unionByName(short)
+    out = out.groupBy("t").agg(F.array_sort(F.flatten(F.collect_list("f"))).alias("f"))
     out = written(texts.join(out, "t", "left").select("h", "o", "f"), "parse-factors")
     discard(cut, texts, long, short)
     return out
 
 
 def split_factors(cut: DataFrame) -> DataFrame:
-    """``(t, at, n)``: factors of the stretches of ``cut`` whose anchors too many texts have for a block."""
+    """``(t, f)``: the factors ``(at, n)`` of each stretch of ``cut`` whose anchor too many texts have for a block.
+
+    A stretch's factors are one array, and windows that follow each other are one factor, so there is a row
+    for a stretch at most, however many windows are factors.
+    """
     kinds = cut.where("t is null and c is not null").groupBy("a", "c").agg(F.min("o").alias("first"), F.first("w").alias("w"))
     kinds = written(kinds, "parse-kinds")
     each = kinds.select("a", "c", "first", F.posexplode("w").alias("i", "x"))
     least = each.groupBy(F.col("a").alias("b"), F.col("x").alias("y")).agg(F.min("first").alias("least"))
     late = each.join(least, (F.col("a") == F.col("b")) & (F.col("x") == F.col("y"))).where("first > least")
-    late = late.groupBy("a", "c").agg(F.collect_list(F.col("i").cast("long")).alias("late"))
+    late = late.groupBy("a", "c").agg(F.array_sort(F.collect_list(F.col("i").cast("long"))).alias("late"))
+    apart = lambda by: F.filter("late", lambda x, k: F.coalesce(F.get("late", k.cast("int") + by) != x + by, F.lit(True)))
+    late = late.select("a", "c", F.zip_with(apart(-1), apart(1), lambda x, y: F.struct(x.alias("at"), (y - x + 1).alias("n"))).alias("late"))
     kinds = written(kinds.select("a", "c", "first").join(late, ["a", "c"], "left"), "parse-kinds")
     met = cut.where("t is not null and c is not null").select("a", "c", "o", "t", "at", "n").join(kinds, ["a", "c"])
-    own = F.transform(F.coalesce("late", F.array().cast("array<long>")), lambda i: F.struct((F.col("at") + i).alias("at"), F.lit(1).cast("long").alias("n")))
-    return met.select("t", F.explode(F.when(F.col("o") > F.col("first"), F.array(F.struct("at", "n"))).otherwise(own)).alias("f")).select("t", "f.at", "f.n")
+    own = F.transform("late", lambda f: F.struct((F.col("at") + f["at"]).alias("at"), f["n"].alias("n")))
+    return met.select("t", F.when(F.col("o") > F.col("first"), F.array(F.struct("at", "n"))).otherwise(own).alias("f")).where("f is not null")
 
 
 def dedup(docs: DataFrame, split: int = SPLIT) -> DataFrame:

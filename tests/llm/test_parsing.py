@@ -91,3 +91,23 @@ def test_factors_are_greedy_and_looked_up_at_their_boundaries():
     index = {1: 0, 2: 1, 3: 2, 7: 4, 8: 5}
     assert parsing.factors([9, 2, 3, 7, 8, 8, 5], reference, index) == [(1, 3), (3, 5), (5, 6)]
     assert parsing.factors([], reference, index) == []
+
+
+def test_split_anchors_give_a_row_for_a_stretch_at_most(spark, monkeypatch):
+    """Windows that are copies each were rows of their own, as many as a stretch has."""
+    counts, write = {}, parsing.written
+
+    def spied(df, name):
+        out = write(df, name)
+        if name == "parse-stretches":
+            counts[name] = out.where("t is not null and c is not null").count()
+        elif name == "parse-short":
+            counts[name], counts["long"] = out.count(), out.where("array_max(transform(f, x -> x.n)) > 1").count()
+        return out
+
+    rng = random.Random(5)
+    passage = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = [(i, " ".join([f"a{i}"] * 3 + passage[rng.randrange(20) : 60 - rng.randrange(20)] + [f"z{i}"] * 3)) for i in range(60)]
+    monkeypatch.setattr(parsing, "written", spied)
+    assert ours(parsing.dedup(spark.createDataFrame(rows, "doc_id long, text string"), split=0)) == theirs(rows)
+    assert 0 < counts["parse-short"] <= counts["parse-stretches"] and counts["long"] > 0
