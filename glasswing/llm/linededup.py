@@ -9,16 +9,17 @@ lines grow in number, so lines meet at pairs of them that are neighbours in the
 are only in one of two similar lines, each comes between two common tokens at most once, so near the
 front two common tokens have nothing between them in either line (``frequent_pairs``). Of the lines
 that meet, the length filter, the positional filter and a bitmap of parities discard those that
-can't reach t, and the rest are verified on all their words.
+can't reach t, and the rest are verified on all their tokens.
 
 A line is removed if an earlier line, whether removed itself or not, is as similar as t or has the
 same words. Only whether there is such a line matters, so at keys of many lines a line is first
 compared with the earliest one and a few others; lines that this settles, the bulk of any group of
 near copies, need no other comparison there. Those still open are compared with all.
 
-Every step is written before the next one reads it, and deleted when nothing reads it any more.
-Arrays are never empty where they are exploded; the outer forms keep the optimizer from testing that
-first, which would compute each array twice.
+A line is split into words once; from then on it is its tokens, and for the keys what ``line_keys``
+has of it. Every step is written before the next one reads it, and deleted when nothing reads it any
+more. Texts split into lines are exploded by the outer form, as the optimizer would otherwise test
+for empty arrays first and split each text twice.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ BUCKETS, ROW = 1 << 22, 1 << 11
 FREQUENT = 24
 #: Posting lists up to this length are compared whole; lines of longer ones at first with so many others.
 SHORT, LEADS = 24, 8
+#: Lines of so many tokens have twice as many parities; those of 64 tokens have no similar ones of fewer.
+WIDE = 52
 _HASH = (1 << 56) - 1
 _END = 127 << 56
 #: White space in a line.
@@ -72,7 +75,7 @@ def tokens(line: Column) -> Column:
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
-    """``(r, at, doc, l)``: each class of lines with its first place, and a number of its own.
+    """``(r, at, doc, t)``: each class of lines with its first place, its tokens and a number of its own.
 
     The order of places is that of ``doc_id``, nulls last, then of the text's hash, then of lines.
     ``doc`` is the first part of the place as one number, for a rough comparison.
@@ -81,7 +84,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     rows = rows.select("d", F.posexplode_outer("ls").alias("line", "l")).where(~blank(F.col("l"))).withColumn("l", plain(F.col("l")))
     rows = rows.select(F.xxhash64("l").alias("a"), F.hash("l").alias("b"), F.struct("d.none", "d.doc", "d.text", "line").alias("at"), "l")
     rows = rows.groupBy("a", "b").agg(F.min(F.struct("at", "l")).alias("m"))
-    out = rows.select("m.at", F.coalesce("m.at.doc", F.lit((1 << 63) - 1)).alias("doc"), "m.l")
+    out = rows.select("m.at", F.coalesce("m.at.doc", F.lit((1 << 63) - 1)).alias("doc"), tokens(F.col("m.l")).alias("t"))
     return written(out.withColumn("r", F.monotonically_increasing_id()), "lines-classes")
 
 
@@ -93,9 +96,9 @@ def filled(rows: DataFrame, before: Column, size: int, zeros) -> DataFrame:
 
 
 def token_ranks(classes: DataFrame) -> Column:
-    """The logarithm of each bucket's number of words in all classes, as one array of bytes."""
-    bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    counted = classes.select(F.explode_outer(F.split("l", " ")).alias("w")).groupBy(bucket.alias("b")).count()
+    """The logarithm of each bucket's number of tokens in all classes, as one array of bytes."""
+    bucket = F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    counted = classes.select(F.explode("t").alias("w")).groupBy(bucket.alias("b")).count()
     zeros = lambda n: F.array_repeat(F.lit(0).cast("byte"), n.cast("int"))
     one = F.struct(F.col("b").alias("at"), F.array(rank(F.col("count"))).alias("v"))
     rows = counted.groupBy((F.col("b") / ROW).cast("int").alias("at")).agg(F.array_sort(F.collect_list(one)).alias("x"))
@@ -122,40 +125,45 @@ def frequent_pairs(n: Column, h: Column, similarity: float) -> Column:
     return F.greatest(F.lit(0), a + F.floor((n - a) * F.lit((1 - similarity) / similarity) + 1e-9).cast("int") + 1 - 2 * h)
 
 
-def met_keys(classes: DataFrame, similarity: float) -> DataFrame:
-    """``(x, k, r, i, h)``: keys of more than one class, their number of classes, a class, the key's place in it, its rare tokens.
+def parities(t: Column, half: bool = False) -> Column:
+    """Of each value of a token's last six bits, whether an odd number of tokens has it; or of those tokens only whose seventh bit is set."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    if half:
+        bit = lambda x: F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(F.lit(1)), x.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+
+
+def line_keys(classes: DataFrame, similarity: float) -> DataFrame:
+    """``(r, doc, n, h, s, z, own, common)``: a class's number of tokens, of rare ones, its parities, half of them and what its keys are made of.
 
-    A line's keys are the rare tokens of its prefix and pairs of frequent ones.
+    ``own`` has the rare tokens of its prefix; ``common`` has the frequent tokens that begin its pairs, and one more.
     """
-    ranked = lambda x: F.coalesce(F.get("ranks", x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("byte")).cast("long")
-    code = lambda x: F.shiftleft(ranked(x), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
-    edge = (math.floor(math.log2(FREQUENT) * 4) + 2) << 56
-    rows = classes.withColumn("ranks", token_ranks(classes)).select("r", F.sort_array(F.transform(tokens(F.col("l")), code)).alias("o"))
-    rows = rows.select("r", F.size("o").alias("n"), F.size(F.filter("o", lambda x: x < edge)).alias("h"), F.concat("o", F.array(F.lit(_END))).alias("o"))
-    rows = rows.withColumn("own", F.least("h", most_missing(F.col("n"), similarity) + 1))
+    ranked = lambda x: F.get("ranks", x.bitwiseAND(F.lit(BUCKETS - 1))).cast("long")
+    code = lambda x: F.coalesce(F.shiftleft(ranked(x), 56).bitwiseOR(F.shiftrightunsigned(x, 8)), F.lit(0).cast("long"))  # noqa: E731  (an array that may hold nulls is sorted by far slower code)
+    edge = F.lit((math.floor(math.log2(FREQUENT) * 4) + 2) << 56)  # sorted in between the rare tokens and the others
+    ordered = F.sort_array(F.concat(F.transform("t", code), F.array(edge, F.lit(_END))))
+    rows = classes.withColumn("ranks", token_ranks(classes)).select("r", "doc", F.size("t").alias("n"), parities(F.col("t")).alias("s"), F.when(F.size("t") >= WIDE, parities(F.col("t"), half=True)).otherwise(0).alias("z"), ordered.alias("o"))
+    rows = rows.select("r", "doc", "n", (F.array_position("o", edge) - 1).cast("int").alias("h"), "s", "z", "o")
+    own = F.least("h", most_missing(F.col("n"), similarity) + 1)
     count = F.least(frequent_pairs(F.col("n"), F.col("h"), similarity), F.col("n") - F.col("h"))
-    first = F.concat(F.slice("o", F.lit(1), F.col("own")), F.slice("o", F.col("h") + 1, count))
-    rows = rows.select("r", "h", "own", "o", first.alias("first")).select("r", "h", "own", "o", F.posexplode_outer("first").alias("at", "a"))
-    i = F.when(F.col("at") < F.col("own"), F.col("at")).otherwise(F.col("h") + F.col("at") - F.col("own"))
-    x = F.when(F.col("at") < F.col("own"), F.col("a")).otherwise(F.xxhash64("a", F.get("o", i + 1)))
-    rows = rows.select(x.bitwiseAND(F.lit(_HASH)).alias("x"), "r", i.alias("i"), "h")
-    return written(rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("x"))).where("k > 1"), "lines-met")
+    common = F.slice("o", F.col("h") + 2, F.when(count > 0, count + 1).otherwise(0))
+    return written(rows.select("r", "doc", "n", "h", "s", "z", F.slice("o", F.lit(1), own).alias("own"), common.alias("common")), "lines-keys")
 
 
-def parities(t: Column) -> Column:
-    """Of each value of a token's last six bits, whether an odd number of tokens has it."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+def rare_postings(keys: DataFrame) -> DataFrame:
+    """``(x, v)``: the rare tokens by which classes meet; those of one class only meet nothing. A list is no longer than a rare token's count."""
+    rows = keys.select("r", "n", "h", "s", "z", F.posexplode("own").alias("i", "a")).where(F.col("a") >= F.lit(2 << 56))
+    return rows.select(F.col("a").bitwiseAND(F.lit(_HASH)).alias("x"), F.struct("r", "n", "i", "h", "s", "z").alias("v"))
 
 
-def postings(classes: DataFrame, similarity: float) -> DataFrame:
-    """``(x, k, v)``: ``met_keys`` with a class's place, number of tokens and parities."""
-    met = met_keys(classes, similarity)
-    info = classes.select("r", "doc", tokens(F.col("l")).alias("t")).withColumn("n", F.size("t"))
-    info = info.select("r", "doc", "n", parities(F.col("t")).alias("s"))
-    out = written(met.join(info, "r").select("x", "k", F.struct("doc", "r", "n", "i", "h", "s").alias("v")), "lines-posted")
-    discard(met)
-    return out
+def pair_postings(keys: DataFrame) -> DataFrame:
+    """``(x, k, v)``: the pairs of frequent tokens by which classes meet, and how many classes each has, more than one."""
+    rows = keys.select("r", "h", "common", F.posexplode("common").alias("at", "a")).where(F.col("at") < F.size("common") - 1)
+    x = F.xxhash64("a", F.get("common", F.col("at") + 1)).bitwiseAND(F.lit(_HASH))
+    rows = rows.select(x.alias("x"), "r", (F.col("h") + F.col("at")).alias("i"))
+    rows = rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("x"))).where("k > 1")
+    rows = rows.join(keys.select("r", "doc", "n", "h", "s", "z").hint("shuffle_hash"), "r")
+    return written(rows.select("x", "k", F.struct("doc", "r", "n", "i", "h", "s", "z").alias("v")), "lines-posted")
 
 
 def possible(x: str, y: str, similarity: float) -> Column:
@@ -171,46 +179,66 @@ def possible(x: str, y: str, similarity: float) -> Column:
     near = (ny >= nx * F.lit(similarity) - 1e-9) & (nx >= ny * F.lit(similarity) - 1e-9)
     rare = (ix < hx) & (iy < hy)
     reach = F.when(rare, F.least(ix, iy)).when(hx + hy <= apart, F.least(ix - hx, iy - hy)).otherwise(-nx) + F.least(nx - ix, ny - iy)
-    unlike = F.bit_count(F.col(f"{x}.s").bitwiseXOR(F.col(f"{y}.s")))
+    (sx, sy), (zx, zy) = at("s"), at("z")
+    odd, half = sx.bitwiseXOR(sy), zx.bitwiseXOR(zy)
+    unlike = F.when((nx >= WIDE) & (ny >= WIDE), F.bit_count(half) + F.bit_count(odd.bitwiseXOR(half))).otherwise(F.bit_count(odd))
     return (F.col(f"{x}.r") != F.col(f"{y}.r")) & near & (reach >= least) & (unlike <= apart)
 
 
+def ends(rows: DataFrame) -> DataFrame:
+    """``(a, b, n)``: both classes of rows ``(v, w)``, the smaller number first, and the number of tokens of both."""
+    return rows.select(F.least("v.r", "w.r").alias("a"), F.greatest("v.r", "w.r").alias("b"), (F.col("v.n") + F.col("w.n")).alias("n"))
+
+
 def unordered(rows: DataFrame) -> DataFrame:
-    """``(a, b, n)``: the pairs of classes of rows ``(v, w)``, and the number of tokens of both."""
-    return rows.select(F.least("v.r", "w.r").alias("a"), F.greatest("v.r", "w.r").alias("b"), (F.col("v.n") + F.col("w.n")).alias("n")).distinct()
+    """``ends`` of rows ``(v, w)``, each pair once."""
+    return ends(rows).distinct()
 
 
 def met_twice(rows: DataFrame) -> DataFrame:
-    """``(v, w)``: all pairs of one key of ``rows(x, v)``; both sides are the same columns, so they are shuffled once."""
+    """``(v, w)``: all pairs of one key of ``rows(x, v)``, of short lists; both sides are the same columns, so they are shuffled once."""
     p, q = rows.alias("p"), rows.alias("q")
-    return p.join(q, F.col("p.x") == F.col("q.x")).select(F.col("p.v").alias("v"), F.col("q.v").alias("w"))
-
-
-def verified(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """The later classes ``r`` of pairs ``(a, b, n)`` that are similar on all words."""
-    pairs = written(pairs, "lines-pairs")
-    texts = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("r")).distinct(), "r", "left_semi")
-    side = lambda s: texts.select(F.col("r").alias(s), F.struct("at", "l").alias(f"v{s}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    met = met.select(F.when(F.col("va.at") > F.col("vb.at"), F.col("a")).otherwise(F.col("b")).alias("r"), "n", F.size(F.array_intersect(words(F.col("va.l")), words(F.col("vb.l")))).alias("both"))
-    out = written(met.where(F.col("both") >= (F.col("n") - F.col("both")) * F.lit(similarity) - 1e-9).select("r").distinct(), "lines-removed")
-    discard(pairs)
+    return p.join(q.hint("shuffle_hash"), F.col("p.x") == F.col("q.x")).select(F.col("p.v").alias("v"), F.col("q.v").alias("w"))
+
+
+def lines_of(met: DataFrame, classes: DataFrame) -> list[DataFrame]:
+    """Written ``(r, at, t)`` of the classes ``r`` of ``met``, in two tables, as all tokens shuffled at once would need much disk."""
+    met = written(met.distinct(), "lines-numbers")
+    part = lambda rows, k: rows.where(F.col("r") % 2 == k)
+    out = [written(part(classes, k).select("r", "at", "t").join(part(met, k).hint("shuffle_hash"), "r", "left_semi"), "lines-compared") for k in range(2)]
+    discard(met)
     return out
 
 
+def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """The later classes ``r`` of pairs ``(a, b, n)`` that are similar on all tokens."""
+    side = lambda s: lines.select(F.col("r").alias(s), F.struct("at", "t").alias(f"v{s}"))
+    both = side("a").join(pairs.hint("shuffle_hash"), "a").join(side("b").hint("shuffle_hash"), "b")
+    both = both.where(F.size(F.array_intersect("va.t", "vb.t")) * F.lit(1 + similarity) >= F.col("n") * F.lit(similarity) - 1e-9)
+    return written(both.select(F.when(F.col("va.at") > F.col("vb.at"), F.col("a")).otherwise(F.col("b")).alias("r")).distinct(), "lines-removed")
+
+
 def removed_classes(classes: DataFrame, similarity: float) -> DataFrame:
     """The classes ``r`` of lines that are similar to an earlier line of other words."""
-    posted = postings(classes, similarity)
+    keys = line_keys(classes, similarity)
+    posted = pair_postings(keys)
     few, many = posted.where(f"k <= {SHORT}").select("x", "v"), posted.where(f"k > {SHORT}").select("x", "v")
+    once = (F.col("w.r") < F.col("v.r")) & possible("v", "w", similarity)
     later = (F.col("w.doc") <= F.col("v.doc")) & possible("v", "w", similarity)
     other = lambda rows: rows.select("x", F.col("v").alias("w"))
     hashed = [F.min(F.struct(F.xxhash64("v.r", F.lit(j)).alias("h"), "v"))["v"].alias(f"w{j}") for j in range(LEADS)]
     leads = many.groupBy("x").agg(F.min("v").alias("w"), *hashed).select("x", F.explode(F.array_distinct(F.array("w", *[f"w{j}" for j in range(LEADS)]))).alias("w"))
-    pairs = unordered(met_twice(few).where(later)).unionByName(unordered(many.join(leads, "x").where(later))).distinct()
-    gone = verified(pairs, classes, similarity)
-    open_ = many.join(gone.select(F.col("r").alias("_r")), F.col("v.r") == F.col("_r"), "left_anti")
-    last = verified(unordered(open_.join(other(many), "x").where(later)), classes, similarity)
-    discard(posted)
+    found = [written(unordered(met_twice(rare_postings(keys)).where(once)), "lines-pairs")]
+    discard(keys)
+    found.append(written(ends(met_twice(few).where(once)).unionByName(ends(many.join(leads, "x").where(later))).distinct(), "lines-pairs"))
+    pairs = found[0].unionByName(found[1]).distinct()
+    halves = lines_of(pairs.select(F.explode(F.array("a", "b")).alias("r")).unionByName(many.select("v.r")), classes)
+    lines = halves[0].unionByName(halves[1])
+    gone = verified(pairs, lines, similarity)
+    open_ = many.join(gone.select(F.col("r").alias("_r")).hint("shuffle_hash"), F.col("v.r") == F.col("_r"), "left_anti")
+    found.append(written(unordered(open_.join(other(many), "x").where(later)), "lines-pairs"))
+    last = verified(found[2], lines, similarity)
+    discard(posted, *found, *halves)
     return gone.unionByName(last)
 
 
@@ -227,13 +255,13 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*kept_columns).withColumn("text", F.coalesce("text", F.lit("")))
     classes = line_classes(docs)
-    kept = classes.select("r", "at").join(removed_classes(classes, similarity), "r", "left_anti")
+    kept = classes.select("r", "at").join(removed_classes(classes, similarity).hint("shuffle_hash"), "r", "left_anti")
     kept = kept.groupBy(F.coalesce("at.doc", F.lit(0)).alias("_doc"), F.col("at.none").alias("_none"), F.col("at.text").alias("_text")).agg(F.collect_list("at.line").alias("_kept"))
     kept = written(kept, "lines-kept")
     discard(classes)
     rest = [c for c in kept_columns if c != "text"]
     docs = docs.select(F.struct(*rest).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.xxhash64("text").alias("_hash"))
-    out = docs.join(kept, (F.col("_id") == F.col("_doc")) & (F.col("_null") == F.col("_none")) & (F.col("_hash") == F.col("_text")), "left")
+    out = docs.join(kept.hint("shuffle_hash"), (F.col("_id") == F.col("_doc")) & (F.col("_null") == F.col("_none")) & (F.col("_hash") == F.col("_text")), "left")
     out = out.withColumn("_lines", F.split("text", "\n"))
     empty = F.filter(F.transform("_lines", lambda x, i: F.when(blank(x), i)), lambda i: i.isNotNull())
     stay = F.sort_array(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), empty))

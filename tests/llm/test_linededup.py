@@ -131,3 +131,28 @@ def test_lines_that_meet_at_a_key_are_shuffled_once(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_lines_are_split_into_words_once(spark, monkeypatch):
+    plans, write = [], linededup.written
+    monkeypatch.setattr(linededup, "written", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, name))[1])
+    rows = [(1, "a b c d e f g h i j"), (2, "a b c d e f g h i k\nother words")]
+    got = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "other words"}
+    assert sum("split(" in p and "xxhash64(lambda" in p for p in plans) == 1
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_lines_about_as_wide_as_the_parities(spark, seed):
+    """Near copies, at the limit of the similarity and beyond, of lines of fewer and of more tokens than have twice as many parities."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([47, 51, 52, 53, 64, 65, 130, 300]))]
+        for _ in range(6):
+            own = list(base)
+            for k in rng.sample(range(len(own)), rng.choice([0, len(own) // 9, len(own) // 9 + 1])):
+                own[k] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own[: len(own) - rng.choice([0, 0, len(own) // 5])])))
+    got = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k, _ in rows] == brute(rows)
