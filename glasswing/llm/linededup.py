@@ -156,14 +156,21 @@ def rare_postings(keys: DataFrame) -> DataFrame:
     return rows.select(F.col("a").bitwiseAND(F.lit(_HASH)).alias("x"), F.struct("r", "n", "i", "h", "s", "z").alias("v"))
 
 
-def pair_postings(keys: DataFrame) -> DataFrame:
-    """``(x, k, v)``: the pairs of frequent tokens by which classes meet, and how many classes each has, more than one."""
-    rows = keys.select("r", "h", "common", F.posexplode("common").alias("at", "a")).where(F.col("at") < F.size("common") - 1)
+def pair_postings(keys: DataFrame) -> list[DataFrame]:
+    """Written ``(x, k, v)``: the pairs of frequent tokens by which classes meet, and how many classes each has, more than one.
+
+    Rows have all that is asked of a class from the start, as the share of pairs that several classes
+    have grows with the lines and a join would add it to ever more of them. Two tables, each of half
+    the pairs, as all rows shuffled at once would need much disk.
+    """
+    rows = keys.select("doc", "r", "n", "h", "s", "z", "common", F.posexplode("common").alias("at", "a")).where(F.col("at") < F.size("common") - 1)
     x = F.xxhash64("a", F.get("common", F.col("at") + 1)).bitwiseAND(F.lit(_HASH))
-    rows = rows.select(x.alias("x"), "r", (F.col("h") + F.col("at")).alias("i"))
-    rows = rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("x"))).where("k > 1")
-    rows = rows.join(keys.select("r", "doc", "n", "h", "s", "z").hint("shuffle_hash"), "r")
-    return written(rows.select("x", "k", F.struct("doc", "r", "n", "i", "h", "s", "z").alias("v")), "lines-posted")
+    rows = rows.select(x.alias("x"), "doc", "r", "n", (F.col("h") + F.col("at")).alias("i"), "h", "s", "z")
+    out = []
+    for half in range(2):
+        met = rows.where(F.col("x") % 2 == half).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("x"))).where("k > 1")
+        out.append(written(met.select("x", "k", F.struct("doc", "r", "n", "i", "h", "s", "z").alias("v")), "lines-posted"))
+    return out
 
 
 def possible(x: str, y: str, similarity: float) -> Column:
@@ -221,7 +228,8 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
 def removed_classes(classes: DataFrame, similarity: float) -> DataFrame:
     """The classes ``r`` of lines that are similar to an earlier line of other words."""
     keys = line_keys(classes, similarity)
-    posted = pair_postings(keys)
+    posts = pair_postings(keys)
+    posted = posts[0].unionByName(posts[1])
     few, many = posted.where(f"k <= {SHORT}").select("x", "v"), posted.where(f"k > {SHORT}").select("x", "v")
     once = (F.col("w.r") < F.col("v.r")) & possible("v", "w", similarity)
     later = (F.col("w.doc") <= F.col("v.doc")) & possible("v", "w", similarity)
@@ -238,7 +246,7 @@ def removed_classes(classes: DataFrame, similarity: float) -> DataFrame:
     open_ = many.join(gone.select(F.col("r").alias("_r")).hint("shuffle_hash"), F.col("v.r") == F.col("_r"), "left_anti")
     found.append(written(unordered(open_.join(other(many), "x").where(later)), "lines-pairs"))
     last = verified(found[2], lines, similarity)
-    discard(posted, *found, *halves)
+    discard(*posts, *found, *halves)
     return gone.unionByName(last)
 
 
