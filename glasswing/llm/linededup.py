@@ -25,6 +25,7 @@ for empty arrays first and split each text twice.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ FREQUENT = 24
 SHORT, LEADS = 24, 8
 #: Lines of so many tokens have twice as many parities; those of 64 tokens have no similar ones of fewer.
 WIDE = 52
+#: Tables of shared pairs; while one is made, its share of all pairs is on the disk.
+PARTS = 3
 _HASH = (1 << 56) - 1
 _END = 127 << 56
 #: White space in a line.
@@ -160,15 +163,15 @@ def pair_postings(keys: DataFrame) -> list[DataFrame]:
     """Written ``(x, k, v)``: the pairs of frequent tokens by which classes meet, and how many classes each has, more than one.
 
     Rows have all that is asked of a class from the start, as the share of pairs that several classes
-    have grows with the lines and a join would add it to ever more of them. Two tables, each of half
+    have grows with the lines and a join would add it to ever more of them. Tables of equal shares of
     the pairs, as all rows shuffled at once would need much disk.
     """
     rows = keys.select("doc", "r", "n", "h", "s", "z", "common", F.posexplode("common").alias("at", "a")).where(F.col("at") < F.size("common") - 1)
     x = F.xxhash64("a", F.get("common", F.col("at") + 1)).bitwiseAND(F.lit(_HASH))
     rows = rows.select(x.alias("x"), "doc", "r", "n", (F.col("h") + F.col("at")).alias("i"), "h", "s", "z")
     out = []
-    for half in range(2):
-        met = rows.where(F.col("x") % 2 == half).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("x"))).where("k > 1")
+    for k in range(PARTS):
+        met = rows.where(F.col("x") % PARTS == k).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("x"))).where("k > 1")
         out.append(written(met.select("x", "k", F.struct("doc", "r", "n", "i", "h", "s", "z").alias("v")), "lines-posted"))
     return out
 
@@ -229,7 +232,7 @@ def removed_classes(classes: DataFrame, similarity: float) -> DataFrame:
     """The classes ``r`` of lines that are similar to an earlier line of other words."""
     keys = line_keys(classes, similarity)
     posts = pair_postings(keys)
-    posted = posts[0].unionByName(posts[1])
+    posted = reduce(DataFrame.unionByName, posts)
     few, many = posted.where(f"k <= {SHORT}").select("x", "v"), posted.where(f"k > {SHORT}").select("x", "v")
     once = (F.col("w.r") < F.col("v.r")) & possible("v", "w", similarity)
     later = (F.col("w.doc") <= F.col("v.doc")) & possible("v", "w", similarity)
