@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,30 +31,50 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Shuffle files go when the job that made them has ended, not when the driver happens to collect its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: With one, rows that are dealt out by bucket already aren't sorted by it before they are written.
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet to the shared folder and reads it back.
 
-    What the write has shuffled is deleted once the table is whole, as nothing else reads it.
+    What the write has shuffled is deleted once the table is whole, as nothing else reads it. A frame
+    that ``bucketed`` has made is written as a table of buckets.
     """
-    spark = df.sparkSession
+    spark, key = df.sparkSession, getattr(df, "bucketed_by", None)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
+    as_table = path.rsplit("/", 1)[1].replace("-", "_")
+    before = {k: spark.conf.get(k) for k in (CLEANUP, WRITERS)}
     spark.conf.set(CLEANUP, "true")
+    writer = df.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.compression.codec.zstd.bufferPool.enabled": "false"})
     try:
-        df.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.compression.codec.zstd.bufferPool.enabled": "false"}).parquet(path)
+        if key is None:
+            writer.parquet(path)
+        else:
+            spark.conf.set(WRITERS, "1")
+            writer.option("path", path).format("parquet").bucketBy(partitions(spark), key).saveAsTable(as_table)
     finally:
-        spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    out = spark.read.schema(df.schema).parquet(path) if key is None else spark.table(as_table)
     out.written_to = path
+    if key is not None:
+        out.written_as = as_table
     return out
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Has ``written`` make a table of buckets by ``key``, which joins on the key don't shuffle; ``df`` must be dealt out by the key already."""
+    df.bucketed_by = key
+    return df
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` has made, once all that is made from them is written itself."""
     for t in tables:
         spark = t.sparkSession
+        if hasattr(t, "written_as"):
+            spark.sql(f"DROP TABLE {t.written_as}")
         path = spark._jvm.org.apache.hadoop.fs.Path(t.written_to)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -61,6 +83,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def sorted_shuffles(spark: SparkSession) -> Iterator[None]:
+    """More than 200 shuffle partitions, from which on a task sorts its rows by partition and writes one file, not one for each partition first; few partitions stay as they are."""
+    name, before = "spark.sql.shuffle.partitions", partitions(spark)
+    spark.conf.set(name, str(before if before < 64 else max(before, 201)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 def text_of(col: Column | str = "text") -> Column:
     """The text, a null one as the empty text."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glasswing.llm.common import discard, written
+from glasswing.llm.common import bucketed, discard, partitions, sorted_shuffles, written
 
 SIMILARITY = 0.8
 #: Buckets of token counts, and how many of them are one row while the array is put together.
@@ -78,17 +78,19 @@ def tokens(line: Column) -> Column:
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
-    """``(r, at, doc, t)``: each class of lines with its first place, its tokens and a number of its own.
+    """``(r, at, doc, t)``: each class of lines with its first place, its tokens and the hash of its words as its number.
 
-    The order of places is that of ``doc_id``, nulls last, then of the text's hash, then of lines.
+    Lines are dealt out by that hash before any are merged, as few are equal, and written in buckets of
+    it, so what is joined by ``r`` later does not move them again. The order of places is that of
+    ``doc_id``, nulls last, then of the text's hash, then of lines.
     ``doc`` is the first part of the place as one number, for a rough comparison.
     """
     rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("text")).alias("d"), F.split("text", "\n").alias("ls"))
     rows = rows.select("d", F.posexplode_outer("ls").alias("line", "l")).where(~blank(F.col("l"))).withColumn("l", plain(F.col("l")))
-    rows = rows.select(F.xxhash64("l").alias("a"), F.hash("l").alias("b"), F.struct("d.none", "d.doc", "d.text", "line").alias("at"), "l")
-    rows = rows.groupBy("a", "b").agg(F.min(F.struct("at", "l")).alias("m"))
-    out = rows.select("m.at", F.coalesce("m.at.doc", F.lit((1 << 63) - 1)).alias("doc"), tokens(F.col("m.l")).alias("t"))
-    return written(out.withColumn("r", F.monotonically_increasing_id()), "lines-classes")
+    rows = rows.select(F.xxhash64("l").alias("r"), F.hash("l").alias("b"), F.struct("d.none", "d.doc", "d.text", "line").alias("at"), "l")
+    rows = rows.repartition(partitions(docs.sparkSession), "r").groupBy("r", "b").agg(F.min(F.struct("at", "l")).alias("m"))
+    out = rows.select("m.at", F.coalesce("m.at.doc", F.lit((1 << 63) - 1)).alias("doc"), tokens(F.col("m.l")).alias("t"), "r")
+    return written(bucketed(out, "r"), "lines-classes")
 
 
 def filled(rows: DataFrame, before: Column, size: int, zeros) -> DataFrame:
@@ -192,7 +194,7 @@ def possible(x: str, y: str, similarity: float) -> Column:
     (sx, sy), (zx, zy) = at("s"), at("z")
     odd, half = sx.bitwiseXOR(sy), zx.bitwiseXOR(zy)
     unlike = F.when((nx >= WIDE) & (ny >= WIDE), F.bit_count(half) + F.bit_count(odd.bitwiseXOR(half))).otherwise(F.bit_count(odd))
-    return (F.col(f"{x}.r") != F.col(f"{y}.r")) & near & (reach >= least) & (unlike <= apart)
+    return (F.col(f"{x}.r") != F.col(f"{y}.r")) & (unlike <= apart) & near & (reach >= least)
 
 
 def ends(rows: DataFrame) -> DataFrame:
@@ -211,21 +213,19 @@ def met_twice(rows: DataFrame) -> DataFrame:
     return p.join(q.hint("shuffle_hash"), F.col("p.x") == F.col("q.x")).select(F.col("p.v").alias("v"), F.col("q.v").alias("w"))
 
 
-def lines_of(met: DataFrame, classes: DataFrame) -> list[DataFrame]:
-    """Written ``(r, at, t)`` of the classes ``r`` of ``met``, in two tables, as all tokens shuffled at once would need much disk."""
-    met = written(met.distinct(), "lines-numbers")
-    part = lambda rows, k: rows.where(F.col("r") % 2 == k)
-    out = [written(part(classes, k).select("r", "at", "t").join(part(met, k).hint("shuffle_hash"), "r", "left_semi"), "lines-compared") for k in range(2)]
-    discard(met)
-    return out
-
+def verified(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The later classes ``r`` of pairs ``(a, b, n)`` that are similar on all tokens.
 
-def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """The later classes ``r`` of pairs ``(a, b, n)`` that are similar on all tokens."""
+    The classes that meet are taken out of the buckets first, where they are, so other tokens aren't shuffled.
+    """
+    met = pairs.select(F.explode(F.array("a", "b")).alias("r")).distinct()
+    lines = written(classes.select("r", "at", "t").join(met.hint("shuffle_hash"), "r", "left_semi"), "lines-compared")
     side = lambda s: lines.select(F.col("r").alias(s), F.struct("at", "t").alias(f"v{s}"))
     both = side("a").join(pairs.hint("shuffle_hash"), "a").join(side("b").hint("shuffle_hash"), "b")
     both = both.where(F.size(F.array_intersect("va.t", "vb.t")) * F.lit(1 + similarity) >= F.col("n") * F.lit(similarity) - 1e-9)
-    return written(both.select(F.when(F.col("va.at") > F.col("vb.at"), F.col("a")).otherwise(F.col("b")).alias("r")).distinct(), "lines-removed")
+    out = written(both.select(F.when(F.col("va.at") > F.col("vb.at"), F.col("a")).otherwise(F.col("b")).alias("r")).distinct(), "lines-removed")
+    discard(lines)
+    return out
 
 
 def removed_classes(classes: DataFrame, similarity: float) -> DataFrame:
@@ -243,16 +243,25 @@ def removed_classes(classes: DataFrame, similarity: float) -> DataFrame:
     discard(keys)
     found.append(written(ends(met_twice(few).where(once)).unionByName(ends(many.join(leads, "x").where(later))).distinct(), "lines-pairs"))
     pairs = found[0].unionByName(found[1]).distinct()
-    halves = lines_of(pairs.select(F.explode(F.array("a", "b")).alias("r")).unionByName(many.select("v.r")), classes)
-    lines = halves[0].unionByName(halves[1])
-    gone = verified(pairs, lines, similarity)
+    gone = verified(pairs, classes, similarity)
     open_ = many.join(gone.select(F.col("r").alias("_r")).hint("shuffle_hash"), F.col("v.r") == F.col("_r"), "left_anti")
     found.append(written(unordered(open_.join(other(many), "x").where(later)), "lines-pairs"))
-    last = verified(found[2], lines, similarity)
-    discard(*posts, *found, *halves)
+    last = verified(found[2], classes, similarity)
+    discard(*posts, *found)
     return gone.unionByName(last)
 
 
+def kept_lines(docs: DataFrame, similarity: float) -> DataFrame:
+    """Written ``(_doc, _none, _text, _kept)``: the numbers of the lines with words that each document keeps."""
+    classes = line_classes(docs)
+    kept = classes.select("r", "at").join(removed_classes(classes, similarity).hint("shuffle_hash"), "r", "left_anti")
+    kept = kept.select(F.coalesce("at.doc", F.lit(0)).alias("_doc"), F.col("at.none").alias("_none"), F.col("at.text").alias("_text"), "at.line")
+    kept = kept.repartition("_doc", "_none", "_text").groupBy("_doc", "_none", "_text").agg(F.collect_list("line").alias("_kept"))
+    out = written(kept, "lines-kept")
+    discard(classes)
+    return out
+
+
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """All columns of ``docs``, ``text`` without removed lines, with ``n_lines`` and ``n_removed``.
 
@@ -265,11 +274,8 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         raise ValueError("similarity must be more than 0.5, and 1 at most")
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*kept_columns).withColumn("text", F.coalesce("text", F.lit("")))
-    classes = line_classes(docs)
-    kept = classes.select("r", "at").join(removed_classes(classes, similarity).hint("shuffle_hash"), "r", "left_anti")
-    kept = kept.groupBy(F.coalesce("at.doc", F.lit(0)).alias("_doc"), F.col("at.none").alias("_none"), F.col("at.text").alias("_text")).agg(F.collect_list("at.line").alias("_kept"))
-    kept = written(kept, "lines-kept")
-    discard(classes)
+    with sorted_shuffles(docs.sparkSession):
+        kept = kept_lines(docs, similarity)
     rest = [c for c in kept_columns if c != "text"]
     docs = docs.select(F.struct(*rest).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.xxhash64("text").alias("_hash"))
     out = docs.join(kept.hint("shuffle_hash"), (F.col("_id") == F.col("_doc")) & (F.col("_null") == F.col("_none")) & (F.col("_hash") == F.col("_text")), "left")

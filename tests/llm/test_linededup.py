@@ -179,3 +179,28 @@ def test_shared_pairs_are_not_joined_with_their_classes(spark, monkeypatch):
     assert rows and all(seen) and len(set().union(*seen)) == sum(map(len, seen))
     assert all((r.v.doc, r.v.n, r.v.h, r.v.s, r.v.z) == own[r.v.r][:5] for r in rows)
     assert Counter(r.x for r in rows) == {r.x: r.k for r in rows} and min(r.k for r in rows) > 1
+
+
+def test_classes_are_not_shuffled_again_and_their_table_is_dropped(spark, monkeypatch):
+    """What is joined with the classes by their number meets them in their buckets, also where nothing is broadcast."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    shuffles, plans, real = spark.conf.get("spark.sql.shuffle.partitions"), [], linededup.written
+
+    def noted(df, name):
+        if name == "lines-compared":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(linededup, "written", noted)
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows = [(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j k\nother words")]
+        got = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {1: rows[0][1], 2: "other words"}
+    assert plans and all("Bucketed: true" in p for p in plans)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == shuffles
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lines_classes")]
