@@ -151,3 +151,118 @@ def test_a_shard_of_many_requests_is_put_in_order_by_runs_and_given_out_in_piece
     by = {j: s for _, s, j, _ in rows}
     assert [(u, by[j] is None, by[j] or 0) for u, j in got] == sorted((u, s is None, s or 0) for u, s, _, _ in rows)
     assert {j: None if pd.isna(s) else s for f in out for j, s in zip(f["job"], f["seq"], strict=True)} == by
+
+
+class Stored(dict):
+    """A map, a value and timers as the state store has them, with a count of its calls."""
+
+    calls, n = 0, None
+
+    def exists(self):
+        self.calls += 1
+        return bool(self) or self.n is not None
+
+    def get(self):
+        self.calls += 1
+        return self.n
+
+    def update(self, n):
+        self.calls += 1
+        self.n = n
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self
+
+    def getValue(self, key):
+        self.calls += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self[key]
+
+    def iterator(self):
+        self.calls += 1
+        return iter(list(self.items()))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self[at] = True
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        del self[at]
+
+
+class Watermark:
+    def __init__(self, now):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: now
+
+
+def one_shard(capacity, ttl):
+    shard = claims.Claims(capacity, ttl)
+    shard.held, shard.count, shard.handle = Stored(), Stored(), Stored()
+    return shard
+
+
+def taken(shard, rows, watermark=0):
+    """What a shard gives out for a batch ``(job, kind, ms, seq)``, and for its timers up to the watermark."""
+    frame = pd.DataFrame([(ms * 1000, str(seq), job, kind) for job, kind, ms, seq in rows], columns=claims.REQUEST)
+    out = list(shard.handleInputRows(("0",), iter([frame[at : at + 64] for at in range(0, len(frame), 64)]), Watermark(watermark)))
+    for at in sorted(t for t in shard.handle if t <= watermark):
+        info = Watermark(at)
+        out += shard.handleExpiredTimer(("0",), Watermark(watermark), info)
+        shard.handle.pop(at, None)
+    return [(r.job, r.us // 1000, None if pd.isna(r.seq) else r.seq, r.outcome, r.depth) for f in out for r in f.itertuples(index=False)]
+
+
+def calls(shard):
+    return shard.held.calls + shard.count.calls + shard.handle.calls
+
+
+def test_calls_of_the_state_store_do_not_grow_with_the_requests_of_a_batch():
+    shard, rng = one_shard(1 << 40, 1 << 40), random.Random(5)
+    rows = [(f"j{rng.randrange(20)}", rng.choice(["claim", "claim", "done"]), k, k) for k in range(5000)]
+    assert len(taken(shard, rows[:2500])) == 2500 and calls(shard) < 100
+    assert len(taken(shard, rows[2500:])) == 2500 and calls(shard) < 200 and len(shard.handle) <= 1
+
+
+def test_one_timer_frees_all_jobs_that_are_late_in_the_order_of_their_time():
+    shard = one_shard(1 << 40, 1000)
+    taken(shard, [(f"j{k:04}", "claim", k // 2, k) for k in reversed(range(600))])
+    before, got = calls(shard), taken(shard, [("x", "claim", 1300, 1000)], watermark=1249)
+    assert got[1:] == [(f"j{k:04}", 1000 + k // 2, None, "expired", 600 - k) for k in range(500)]
+    assert calls(shard) - before < 1500 and list(shard.handle) == [1250]
+    assert [r[0] for r in taken(shard, [], watermark=5000)] == [f"j{k:04}" for k in range(500, 600)] + ["x"]
+    assert not shard.held and not shard.handle
+
+
+def test_jobs_that_are_written_before_the_batch_ends_are_found_again(monkeypatch):
+    rng, plain, tight = random.Random(6), {}, one_shard(9, 90)
+    monkeypatch.setattr(claims, "KNOWN", 4)
+    monkeypatch.setattr(claims, "BUCKETS", 3)
+    monkeypatch.setattr(claims, "RUN", 50)
+    monkeypatch.setattr(claims, "PIECE", 7)
+    for step in range(6):
+        rows, want = [(f"j{rng.randrange(30)}", rng.choice(["claim", "claim", "done"]), step * 200 + rng.randrange(200), step * 300 + k) for k in range(300)], []
+        rng.shuffle(rows)
+        for job, kind, ms, seq in sorted(rows, key=lambda r: r[2:]):
+            if plain.get(job, ms + 1) <= ms:
+                want.append((job, plain.pop(job), None, "expired", len(plain)))
+            outcome = ("released" if job in plain else "unknown") if kind == "done" else "pending" if job in plain else "dropped" if len(plain) >= 9 else "claimed"
+            if outcome == "claimed":
+                plain[job] = ms + 90
+            elif outcome == "released":
+                del plain[job]
+            want.append((job, ms, seq, outcome, len(plain)))
+        watermark = step * 200 + 250
+        for until, job in sorted((u, j) for j, u in plain.items() if u <= watermark):
+            del plain[job]
+            want.append((job, until, None, "expired", len(plain)))
+        assert taken(tight, rows, watermark) == want
+    assert {w[3] for w in want} == {"claimed", "pending", "dropped", "released", "unknown", "expired"}
