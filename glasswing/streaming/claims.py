@@ -240,6 +240,23 @@ class Claims(StatefulProcessor):
         """State belongs to the store; there is nothing to close."""
 
 
+def labels(shards: int) -> list[int]:
+    """Numbers whose hash, by which Spark deals out rows, is 0, 1, 2 and so on: shards so called are spread evenly over any number of partitions."""
+
+    def turned(x: int, by: int) -> int:
+        return (x >> by | x << 32 - by) & 0xFFFFFFFF
+
+    def label(x: int) -> int:  # the steps of Murmur3 for an int with seed 42, backwards
+        x = (x ^ x >> 16) * pow(0xC2B2AE35, -1, 1 << 32) & 0xFFFFFFFF
+        x = (x ^ x >> 13 ^ x >> 26) * pow(0x85EBCA6B, -1, 1 << 32) & 0xFFFFFFFF
+        x = (((x ^ x >> 16) ^ 4) - 0xE6546B64) * pow(5, -1, 1 << 32) & 0xFFFFFFFF
+        x = (turned(x, 13) ^ 42) * pow(0x1B873593, -1, 1 << 32) & 0xFFFFFFFF
+        x = turned(x, 15) * pow(0xCC9E2D51, -1, 1 << 32) & 0xFFFFFFFF
+        return x - (x >> 31 << 32)
+
+    return [label(x) for x in range(shards)]
+
+
 def claims(requests: DataFrame, capacity: int = 128, ttl: str = "10 minutes", late: str = "1 minute", shards: int = 8) -> DataFrame:
     """A stream ``(job, at, seq, outcome, depth)`` for a stream ``requests(job, kind, at, seq)``.
 
@@ -253,7 +270,7 @@ def claims(requests: DataFrame, capacity: int = 128, ttl: str = "10 minutes", la
     ttl_ms = spark.sql(f"SELECT CAST(unix_millis(TIMESTAMP'1970-01-01 00:00:00 UTC' + INTERVAL {ttl}) AS LONG)").head()[0]
     rows = requests.select(F.col("job").cast("string"), "kind", F.col("at").cast("timestamp"), F.col("seq").cast("long")).where("job is not null and at is not null")
     rows = rows.withColumn("us", F.unix_micros("at")).withColumn("seq", F.col("seq").cast("string"))  # a long with nulls would become a double
-    shard = F.pmod(F.xxhash64("job"), F.lit(shards)).cast("int")
+    shard = F.get(F.lit(labels(shards)), F.pmod(F.xxhash64("job"), F.lit(shards)).cast("int"))
     rows = rows.withWatermark("at", late).withColumn("shard", shard)
     out = rows.groupBy("shard").transformWithStateInPandas(Claims(capacity, ttl_ms), OUT.replace("at timestamp", "us long"), "Append", "EventTime")
     return out.select("job", F.timestamp_micros("us").alias("at"), "seq", "outcome", "depth")

@@ -266,3 +266,10 @@ def test_jobs_that_are_written_before_the_batch_ends_are_found_again(monkeypatch
             want.append((job, until, None, "expired", len(plain)))
         assert taken(tight, rows, watermark) == want
     assert {w[3] for w in want} == {"claimed", "pending", "dropped", "released", "unknown", "expired"}
+
+
+def test_shards_are_spread_evenly_over_partitions(spark):
+    df = spark.createDataFrame([(x,) for x in claims.labels(48)], "shard int")
+    assert [r[0] for r in df.select(F.hash("shard")).collect()] == list(range(48))
+    for n in (4, 8, 12):
+        assert {r[0] for r in df.repartition(n, "shard").groupBy(F.spark_partition_id()).count().select("count").collect()} == {48 // n}
