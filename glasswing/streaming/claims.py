@@ -35,6 +35,8 @@ OUT = "job string, at timestamp, seq long, outcome string, depth long"
 #: What a state store must be for ``transformWithState``.
 STORE = "spark.sql.streaming.stateStore.providerClass"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of a frame that a worker gets; other operators lower it for long texts, requests are short.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Requests of a sorted run, and of a piece of it that is read at once and of a frame of outcomes.
 RUN, PIECE = 200_000, 10_000
 #: Buckets of a shard's jobs, and jobs that are known at once besides those of one bucket.
@@ -279,11 +281,14 @@ def claims(requests: DataFrame, capacity: int = 128, ttl: str = "10 minutes", la
 def outcomes(make: Callable[..., DataFrame], requests: DataFrame, **how) -> DataFrame:
     """The outcomes of all requests that a stream has now, as a table; the state ends with the run."""
     spark = requests.sparkSession
-    folder, before = f"{shared_folder(spark)}/claims-{uuid.uuid4().hex}", spark.conf.get(STORE, None)
-    spark.conf.set(STORE, PROVIDER)
+    folder, confs = f"{shared_folder(spark)}/claims-{uuid.uuid4().hex}", {STORE: PROVIDER, BATCH: str(PIECE)}
+    before = {k: spark.conf.get(k, None) for k in confs}
     try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
         rows = make(requests, **how)
         rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
     return spark.read.schema(OUT).parquet(f"{folder}/out")

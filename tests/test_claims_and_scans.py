@@ -273,3 +273,14 @@ def test_shards_are_spread_evenly_over_partitions(spark):
     assert [r[0] for r in df.select(F.hash("shard")).collect()] == list(range(48))
     for n in (4, 8, 12):
         assert {r[0] for r in df.repartition(n, "shard").groupBy(F.spark_partition_id()).count().select("count").collect()} == {48 // n}
+
+
+def test_requests_come_in_large_frames_though_other_operators_lowered_them(spark, tmp_path):
+    seen, before = [], spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        rows = stream(spark, str(tmp_path / "in"), [("a", "claim", AT, 1)])
+        made = claims.outcomes(lambda df: (seen.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), claims.claims(df))[1], rows)
+        assert made.count() == 1 and seen == ["10000"] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "500"
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
