@@ -37,6 +37,9 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows of a frame that a worker gets; other operators lower it for long texts, requests are short.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Each partition of the state has a store of its own, with requests or without.
+PARTITIONS = "spark.sql.shuffle.partitions"
+SHARDS = 8
 #: Requests of a sorted run, and of a piece of it that is read at once and of a frame of outcomes.
 RUN, PIECE = 200_000, 10_000
 #: Buckets of a shard's jobs, and jobs that are known at once besides those of one bucket.
@@ -259,7 +262,7 @@ def labels(shards: int) -> list[int]:
     return [label(x) for x in range(shards)]
 
 
-def claims(requests: DataFrame, capacity: int = 128, ttl: str = "10 minutes", late: str = "1 minute", shards: int = 8) -> DataFrame:
+def claims(requests: DataFrame, capacity: int = 128, ttl: str = "10 minutes", late: str = "1 minute", shards: int = SHARDS) -> DataFrame:
     """A stream ``(job, at, seq, outcome, depth)`` for a stream ``requests(job, kind, at, seq)``.
 
     ``kind`` is ``claim`` or ``done``. Outcomes: ``claimed``; ``pending``, where the job is held
@@ -282,6 +285,7 @@ def outcomes(make: Callable[..., DataFrame], requests: DataFrame, **how) -> Data
     """The outcomes of all requests that a stream has now, as a table; the state ends with the run."""
     spark = requests.sparkSession
     folder, confs = f"{shared_folder(spark)}/claims-{uuid.uuid4().hex}", {STORE: PROVIDER, BATCH: str(PIECE)}
+    confs[PARTITIONS] = str(min(int(spark.conf.get(PARTITIONS)), how.get("shards", SHARDS)))  # more would be empty
     before = {k: spark.conf.get(k, None) for k in confs}
     try:
         for k, v in confs.items():

@@ -284,3 +284,17 @@ def test_requests_come_in_large_frames_though_other_operators_lowered_them(spark
         assert made.count() == 1 and seen == ["10000"] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "500"
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_no_more_partitions_of_state_than_shards(spark, tmp_path):
+    name, seen = "spark.sql.shuffle.partitions", []
+    before = spark.conf.get(name)
+    try:
+        for n, shards in (("20", 3), ("2", 3)):
+            spark.conf.set(name, n)
+            rows = stream(spark, str(tmp_path / n), [(f"j{k}", "claim", AT, k) for k in range(50)])
+            made = claims.outcomes(lambda df, **how: (seen.append(spark.conf.get(name)), claims.claims(df, **how))[1], rows, shards=shards)
+            assert made.where("outcome = 'claimed'").count() == 50 and spark.conf.get(name) == n
+    finally:
+        spark.conf.set(name, before)
+    assert seen == ["3", "2"]
